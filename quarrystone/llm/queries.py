@@ -7,19 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import packing
+from quarrystone.llm import packing, simhash_dedup
 from quarrystone.llm.common import table
 
 #: The vocabulary that the packing query counts with.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op7_simhash_dedup": op7_simhash_dedup,
         "op10_packing": op10_packing,
     }
 
