@@ -7,13 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import packing, simhash_dedup
+from quarrystone.llm import language_id, packing, simhash_dedup
 from quarrystone.llm.common import table
 
 #: The vocabulary that the packing query counts with.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(docs, language_id.fit(docs))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -24,6 +29,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op5_language_id": op5_language_id,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op10_packing": op10_packing,
     }
