@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import language_id, packing, simhash_dedup
+from quarrystone.llm import decontaminate, language_id, packing, simhash_dedup
 from quarrystone.llm.common import table
 
 #: The vocabulary that the packing query counts with.
@@ -23,6 +23,10 @@ def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -31,9 +35,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op5_language_id": op5_language_id,
         "op7_simhash_dedup": op7_simhash_dedup,
+        "op8_decontaminate": op8_decontaminate,
         "op10_packing": op10_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op8_decontaminate": decontaminate.SQL,
+    }
