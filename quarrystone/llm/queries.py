@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import decontaminate, language_id, packing, simhash_dedup
+from quarrystone.llm import decontaminate, language_id, packing, secrets, simhash_dedup
 from quarrystone.llm.common import table
 
 #: The vocabulary that the packing query counts with.
@@ -27,6 +27,11 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.report(docs, secrets.train(docs))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
@@ -36,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_language_id": op5_language_id,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op8_decontaminate": op8_decontaminate,
+        "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
     }
 
