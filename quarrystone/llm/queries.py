@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import decontaminate, language_id, packing, secrets, simhash_dedup
+from quarrystone.llm import decontaminate, language_id, packing, secrets, simhash_dedup, warc
 from quarrystone.llm.common import table
 
 #: The vocabulary that the packing query counts with.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
@@ -38,6 +42,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_warc": op1_warc,
         "op5_language_id": op5_language_id,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op8_decontaminate": op8_decontaminate,
@@ -48,5 +53,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_warc": warc.SQL,
         "op8_decontaminate": decontaminate.SQL,
     }
