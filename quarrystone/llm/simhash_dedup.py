@@ -106,7 +106,8 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     index = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("fp", "i", F.expr(VARIANT).alias("variant"))
     shared = written(index.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     twos = shared.where("n = 2").select("a", "b")
-    more = written(index.join(shared.where("n > 2").select("variant", "n"), "variant"), "shared-variants")
+    # the list of shared variants grows with the documents: it is shuffled at every size
+    more = written(index.hint("merge").join(shared.where("n > 2").select("variant", "n"), "variant"), "shared-variants")
     few = more.where(F.col("n") <= paired).select("variant", F.col("fp").alias("a"))
     pairs = few.join(few.select("variant", F.col("a").alias("b")), "variant").where("a < b").select("a", "b")
     many = more.where(F.col("n") > paired).select("fp", "i", "variant", F.expr(OTHER).alias("rest"))
