@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import decontaminate, fingerprint, language_id, packing, secrets, simhash_dedup, warc
+from quarrystone.llm import chunk_dedup, decontaminate, fingerprint, language_id, packing, secrets, simhash_dedup, warc
 from quarrystone.llm.common import table
 
 #: The vocabulary that the packing query counts with.
@@ -27,6 +27,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, language_id.fit(docs))
 
 
+def op6_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunk_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op3_fingerprint": op3_fingerprint,
         "op5_language_id": op5_language_id,
+        "op6_chunk_dedup": op6_chunk_dedup,
         "op7_simhash_dedup": op7_simhash_dedup,
         "op8_decontaminate": op8_decontaminate,
         "op9_secrets": op9_secrets,
