@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import chunk_dedup, decontaminate, fingerprint, language_id, packing, secrets, simhash_dedup, warc
+from quarrystone.llm import chunk_dedup, decontaminate, fingerprint, html_text, language_id, packing, secrets, simhash_dedup, warc
 from quarrystone.llm.common import table
 
 #: The vocabulary that the packing query counts with.
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
 
+def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
@@ -51,6 +55,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
+        "op2_html_text": op2_html_text,
         "op3_fingerprint": op3_fingerprint,
         "op5_language_id": op5_language_id,
         "op6_chunk_dedup": op6_chunk_dedup,
