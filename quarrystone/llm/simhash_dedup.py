@@ -26,7 +26,7 @@ from quarrystone.llm.graph import components
 
 WORDS, SEED = 3, 42
 #: Fingerprints of one variant up to which all pairs are verified.
-PAIRED = 24
+PAIRED = 256
 #: Ways in which documents with one fingerprint are spread for the last join.
 SPREAD = 32
 LANES = np.uint64(0x0101010101010101)
@@ -108,8 +108,11 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     twos = shared.where("n = 2").select("a", "b")
     # the list of shared variants grows with the documents: it is shuffled at every size
     more = written(index.hint("merge").join(shared.where("n > 2").select("variant", "n"), "variant"), "shared-variants")
-    few = more.where(F.col("n") <= paired).select("variant", F.col("fp").alias("a"))
-    pairs = few.join(few.select("variant", F.col("a").alias("b")), "variant").where("a < b").select("a", "b")
+    few = more.where(F.col("n") <= paired).select("variant", "i", F.col("fp").alias("a"))
+    # of the variants that a pair shares, one stands for it: that of the bit at which the segment differs, or else of its lowest
+    apart = F.expr("if(i < 32, shiftrightunsigned(a ^ b, 32), (a ^ b) & 4294967295L)")
+    meets = (F.col("variant") == F.col("other")) & F.expr("a < b") & (bits_apart("a", "b") <= 2) & (apart.isin(0) & F.expr("i % 32 = 0") | (apart == F.expr("shiftleft(1L, i % 32)")))
+    pairs = few.join(few.select(F.col("variant").alias("other"), F.col("a").alias("b")), meets).select("a", "b")
     many = more.where(F.col("n") > paired).select("fp", "i", "variant", F.expr(OTHER).alias("rest"))
     one = many.select("fp", "variant", "rest", F.explode(F.sequence(F.lit(0), F.lit(31))).alias("j")).select("fp", F.struct("variant", "j", F.expr("rest & ~shiftleft(1L, j)").alias("rest")).alias("key"))
     # where one segment is equal, all its 32 variants are shared: that of the lowest bit stands for them
