@@ -6,7 +6,9 @@ import atexit
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +18,23 @@ from pyspark.sql import functions as F
 _own_dir: str | None = None
 
 
+def ship(spark: SparkSession) -> None:
+    """Hands this package to the Python workers of the session's application, once."""
+    context = spark.sparkContext
+    if getattr(context, "_quarrystone_shipped", False):
+        return
+    root = Path(__file__).resolve().parents[2]
+    folder = Path(tempfile.mkdtemp(prefix="quarrystone-code-"))
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(folder / "quarrystone.zip", "w") as archive:
+        for file in sorted((root / "quarrystone").rglob("*.py")):
+            archive.write(file, file.relative_to(root))
+    context.addPyFile(str(folder / "quarrystone.zip"))
+    context._quarrystone_shipped = True
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import chunk_dedup, decontaminate, fingerprint, html_text, language_id, packing, secrets, simhash_dedup, warc
+from quarrystone.llm import chunk_dedup, decontaminate, fingerprint, html_text, language_id, packing, secrets, simhash_dedup, toxicity, warc
 from quarrystone.llm.common import table
 
 #: The vocabulary that the packing query counts with.
@@ -26,6 +26,11 @@ def op3_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare(table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.predict(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return language_id.predict(docs, language_id.fit(docs))
@@ -57,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_html_text": op2_html_text,
         "op3_fingerprint": op3_fingerprint,
+        "op4_toxicity": op4_toxicity,
         "op5_language_id": op5_language_id,
         "op6_chunk_dedup": op6_chunk_dedup,
         "op7_simhash_dedup": op7_simhash_dedup,
