@@ -27,6 +27,8 @@ from quarrystone.llm.graph import components
 WORDS, SEED = 3, 42
 #: Fingerprints of one variant up to which all pairs are verified.
 PAIRED = 256
+#: Fingerprints whose variants one task makes and counts: 64 rows each.
+PER_TASK = 16_000
 #: Ways in which documents with one fingerprint are spread for the last join.
 SPREAD = 32
 LANES = np.uint64(0x0101010101010101)
@@ -103,6 +105,7 @@ OTHER = "if(i < 32, fp & 4294967295L, shiftrightunsigned(fp, 32))"
 
 def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     """Edges (a, b) between distinct fingerprints ``fp`` that have the components of all links of 2 bits or fewer."""
+    prints = prints.select("fp").repartition(max(1, -(-prints.count() // PER_TASK)))
     index = prints.select("fp", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")).select("fp", "i", F.expr(VARIANT).alias("variant"))
     shared = written(index.groupBy("variant").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1"), "variants")
     twos = shared.where("n = 2").select("a", "b")
