@@ -32,7 +32,7 @@ SEQUENCE = 1024
 DIMENSIONS, BITS = 4, 15
 FEATURES = 1024
 #: Text bytes that one task tokenizes at a time, and words whose ids it keeps.
-BLOCK_BYTES, KEPT_WORDS = 8 << 20, 1_200_000
+BLOCK_BYTES, KEPT_WORDS = 4 << 20, 600_000
 
 
 def hilbert_key(axes: np.ndarray, bits: int) -> np.ndarray:
