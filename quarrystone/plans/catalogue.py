@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import admin, documents, lifecycle, public  # noqa: F401
+from quarrystone.plans import admin, documents, lifecycle, public, quality  # noqa: F401
 from quarrystone.plans.registry import QUERIES, SQL, Query
 
 
