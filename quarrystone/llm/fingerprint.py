@@ -104,7 +104,8 @@ def within(prints: DataFrame, queries: DataFrame, radius: int = RADIUS, blocks:
     held = tables(prints.select("fp").distinct(), radius, blocks)
     apart = F.col("q").bitwiseXOR(F.col("fp"))
     first = F.coalesce(*[F.when(apart.bitwiseAND(F.lit(mask)) == 0, F.lit(t)) for t, mask in enumerate(masks(radius, blocks))])
-    return held.join(asked, (F.col("table") == F.col("q_table")) & (F.col("key") == F.col("q_key")) & (F.bit_count(apart) <= radius) & (first == F.col("table"))).select("q", "fp")
+    # a query has as many rows here as there are tables, which Spark's sizes don't show: no side is broadcast
+    return held.hint("merge").join(asked, (F.col("table") == F.col("q_table")) & (F.col("key") == F.col("q_key")) & (F.bit_count(apart) <= radius) & (first == F.col("table"))).select("q", "fp")
 
 
 def compare(docs: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFrame:
