@@ -5,7 +5,7 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text as tx
-from quarrystone.operators import evidence, picks, quality, state
+from quarrystone.operators import discovery, evidence, picks, quality, state
 from quarrystone.sources import sinks
 from quarrystone.streaming import usage
 
@@ -113,3 +113,26 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("days").agg(F.sum("n")).first()[0] == events.count() + 50
+
+
+def test_links_of_odd_pages(spark):
+    rows = [(1, "http://www.a.example/x", '<a href="/p">p</a><A class=b HREF=\'http://a.example/f.PDF?x=1\'>f</A><a href="/p">again</a><a href="mailto:x@y">m</a><a href="">e</a><a href="#t">t</a><a href="http://b.example/">b</a>'), (2, None, None), (3, "u", "")]
+    got = {(r.page_id, r.target): (r.kind, r.internal) for r in discovery.links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {(1, "/p"): ("html", True), (1, "http://a.example/f.PDF?x=1"): ("pdf", True), (1, "mailto:x@y"): ("excluded", False), (1, ""): ("empty", True), (1, "#t"): ("anchor", True), (1, "http://b.example/"): ("html", False)}
+
+
+def test_page_evidence_has_a_floor(spark):
+    rows = [(1, "http://h/loan", "<title>Loan</title><h1>A loan</h1>loan"), (2, "http://h/", "login cookie careers"), (3, None, None)]
+    got = {r.page_id: (r.score, r.reasons) for r in discovery.page_evidence(spark.createDataFrame(rows, "page_id long, url string, html string"), ["loan"], ["login", "cookie", "careers"]).collect()}
+    assert got == {1: (8, ["title", "heading", "url", "body"]), 2: (0, ["negative"]), 3: (0, [])}
+
+
+def test_contract_takes_the_first_usable_field(spark):
+    df = spark.createDataFrame([(1, "s", None, 2.0), (2, "s", 1.0, 2.0), (3, "s", None, None), (4, "other", None, None), (5, None, None, None)], "id int, kind string, a double, b double")
+    got = {r.id: (r.met, r.missing, r.complete) for r in discovery.comparison_contract(df, "kind", {"s": {"rate": ["a", "b"]}}).collect()}
+    assert got == {1: (["b"], [], True), 2: (["a"], [], True), 3: ([], ["rate"], False), 4: ([], [], True), 5: ([], [], True)}
+
+
+def test_siblings_need_two(spark):
+    df = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 1, False), ("b", 2, True), ("c", 1, None)], "k string, n int, v boolean")
+    assert sorted((r.k, r.n, r.sibling) for r in discovery.siblings(df, "k", "n", F.col("v")).collect()) == [("a", 1, True), ("a", 3, True), ("b", 1, False), ("c", 1, False)]
