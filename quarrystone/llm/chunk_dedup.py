@@ -1,16 +1,21 @@
 """Substring duplicates by content-defined chunking.
 
 A gear hash rolls over the UTF-8 bytes of a text: each byte's table value is added to the hash
-shifted left, so a hash of ``WINDOW`` bits depends on the last ``WINDOW`` bytes alone. A chunk
-ends where the hash's upper bits are zero, unless another such place lies in the ``SHORTEST``
-bytes before it. Both rules look at nearby bytes only, so an insertion moves no boundary but
-those beside it. Chunks are told apart by a 128-bit digest; one that two documents hold is a
-repeat. Neighbouring repeats of a document make a span, and spans of ``SPAN`` characters or
-more are reported, with the document of smallest id that holds the span's first chunk.
-
-* A span lacks the edges of its passage: up to some 30 bytes and a chunk at either side. A
-  passage of 51 words (some 300 bytes) is reported with a probability of over 98 %, one of 60
-  words of over 99.5 %.
+shifted left, so a hash of ``WINDOW`` bits depends on the last ``WINDOW`` bytes alone. Of every
+``AHEAD`` hashes in a row, the last of the least ones is picked; a chunk lies between two picked
+places, and its digest covers the gear window before it too. So no chunk is longer than
+``AHEAD`` bytes (runs of one byte aside), periodic text has a chunk in each period, and any
+2 x ``AHEAD`` + ``WINDOW`` - 1 bytes that two texts share hold a chunk that both have. The
+shortest passage of ``WORDS`` words, of one byte each, is longer than that.
+
+A chunk that two documents hold is a seed. Each run of ``WORDS`` words that holds a seed, and no
+chunk that must repeat if the run does but doesn't, is compared whole by a 128-bit digest; the
+runs that two documents hold are repeats. Overlapping repeats of a document make a span, with
+the document of smallest id that holds the span's first run of words.
+
+* Every passage of ``WORDS`` words or more that two documents hold is reported, from its first
+  whole word to its last. Words lie between ASCII white space; each character of U+3000 to
+  U+9FFF is a word, as there is no space between those. White space within counts as it stands.
 * A null or empty text has no chunks. Offsets are code points, ends exclusive. Documents
   without repeats give no rows; repeats within one document are none. A null doc_id is a
   document of its own that is never named first. Repeated rows count as one document.
@@ -27,85 +32,159 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import flat, written
+from quarrystone.llm.common import texts_of, written
 
-#: Bytes that a boundary depends on; upper bits that must be zero there (1 place in 16); shortest chunk but the first.
-WINDOW, ZEROS, SHORTEST = 16, 4, 12
-#: Characters of a reported span. Chance repeats of chunks seldom come in a row of this length.
-SPAN = 128
-BLOCK_BYTES = 8 << 20
+#: Bytes that a hash depends on; hashes of which one is picked; equal bytes in a row that make no boundary.
+WINDOW, AHEAD, SHORTEST = 16, 40, 12
+#: Words of the shortest reported span: over 50.
+WORDS = 51
+#: Rows that a task gathers before it hands them on.
+FLUSHED = 100_000
 
 GEAR = np.random.default_rng(1913).integers(0, 1 << WINDOW, 256, dtype=np.uint16)
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_NONE = np.uint64((1 << 64) - 1)
 
 
-def boundaries(data: np.ndarray) -> np.ndarray:
-    """Ends of chunks in ``data`` (the end of the data aside): only between characters."""
+def picked(data: np.ndarray) -> np.ndarray:
+    """Places whose hash is the last of the least ones among some ``AHEAD`` in a row."""
+    n = len(data)
+    if n < AHEAD:
+        return np.zeros(0, np.int64)
     h = GEAR[data]
     step = 1
     while step < WINDOW:  # the sum over twice as many bytes, from two sums over half of them
         more = h.copy()
         more[step:] += h[:-step] << np.uint16(step)
         h, step = more, step * 2
-    ends = np.flatnonzero(h < (1 << (WINDOW - ZEROS))) + 1
-    ends = ends[ends < len(data)]
-    ends = ends[(data[ends] & 0xC0) != 0x80]
-    return ends[np.diff(ends, prepend=-SHORTEST) >= SHORTEST]
-
-
-def chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """For blocks of texts: row numbers, starts and ends (code points) of their chunks, and digests (n, 2)."""
-    data, ends = flat(column)
-    at = 0
-    while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1)
-        own, starts = data[ends[at] : ends[to]], ends[at : to + 1] - ends[at]
-        rows, cuts = [], []
-        for k in range(to - at):
-            part = own[starts[k] : starts[k + 1]]
-            if len(part):
-                inner = boundaries(part) + starts[k]
-                cuts.append(np.concatenate([[starts[k]], inner, [starts[k + 1]]]))
-                rows.append(np.full(len(inner) + 1, at + k))
-        if rows:
-            raw = own.tobytes()
-            begin, end = np.concatenate([c[:-1] for c in cuts]), np.concatenate([c[1:] for c in cuts])
-            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(begin.tolist(), end.tolist(), strict=True)), np.int64).reshape(-1, 2)
-            chars = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])
-            row = np.concatenate(rows)
-            base = chars[starts[row - at]]
-            yield row, chars[begin] - base, chars[end] - base, digests
-        at = to
+    # of equal hashes the later one is less
+    least = (h.astype(np.uint64) << np.uint64(40)) | np.arange(n, 0, -1, dtype=np.uint64)
+    same = np.concatenate([[0], np.cumsum(data[1:] == data[:-1])])
+    least[SHORTEST - 1 :][same[SHORTEST - 1 :] - same[: n - SHORTEST + 1] == SHORTEST - 1] = _NONE
+    step = 1
+    while step < AHEAD:  # the least of up to twice as many, from two that may overlap
+        by = min(step, AHEAD - step)
+        least, step = np.minimum(least[:-by], least[by:]), step + by
+    least = least[np.concatenate([[True], least[1:] != least[:-1]])]
+    return np.unique(n - (least[least != _NONE] & np.uint64((1 << 40) - 1)).astype(np.int64))
+
+
+def boundaries(data: np.ndarray) -> np.ndarray:
+    """Where the picked places are settled, whatever follows: ``AHEAD`` bytes after each."""
+    ends = picked(data) + AHEAD
+    return ends[ends < len(data)]
+
+
+def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the words in ``data``, in bytes."""
+    word = np.concatenate([[False], ~_SPACE[data], [False]])
+    alone = np.concatenate([(data >= 0xE3) & (data <= 0xE9), np.zeros(4, bool)])[: len(data) + 1]
+    breaks = alone.copy()
+    breaks[3:] |= alone[:-3]
+    starts = word[1:] & (~word[:-1] | breaks)
+    ends = word[:-1] & (~word[1:] | breaks)
+    return np.flatnonzero(starts), np.flatnonzero(ends)
+
+
+def within(at: np.ndarray, sums: np.ndarray, after: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """The sum over chunks that lie between places ``after`` and ``before``, from running sums."""
+    upto = np.maximum(np.searchsorted(at, before) - 1, 0)
+    return sums[upto] - sums[np.minimum(np.searchsorted(at, after), upto)]
 
 
 def chunked(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, stop, d1, d2): one row per chunk of every document."""
-    names = ["doc_id", "start", "stop", "d1", "d2"]
+    """(row, number, seed): one row per chunk of every text of ``docs`` (row, text)."""
+    names = ["row", "number", "seed"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows, sizes, seeds = [], [], []
+
+        def flush() -> pa.RecordBatch:
+            number = np.concatenate([np.arange(n, dtype=np.int32) for n in sizes])
+            out = pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(rows, np.int64), sizes)), pa.array(number), pa.array(np.array(seeds, np.uint64).view(np.int64))], names)
+            for part in (rows, sizes, seeds):
+                part.clear()
+            return out
+
         for b in batches:
-            for row, start, stop, digest in chunks(b.column(1)):
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), pa.array(digest[:, 0]), pa.array(digest[:, 1])], names)
+            for row, text in zip(b.column(0).to_pylist(), texts_of(b.column(1)), strict=True):
+                at = picked(np.frombuffer(text, np.uint8))
+                if len(at) > 1:
+                    rows.append(row)
+                    sizes.append(len(at) - 1)
+                    seeds += [xxhash.xxh3_64_intdigest(text[max(0, i) : j]) for i, j in zip((at[:-1] - WINDOW + 1).tolist(), (at[1:] + 1).tolist(), strict=True)]
+                if len(seeds) > FLUSHED:
+                    yield flush()
+        if rows:
+            yield flush()
+
+    return docs.select("row", "text").mapInArrow(of, "row long, number int, seed long")
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "doc_id long, start int, stop int, d1 long, d2 long")
 
+def compared(docs: DataFrame) -> DataFrame:
+    """(doc_id, start, stop, d1, d2): the runs of ``WORDS`` words that can repeat, by the ``seeds`` (chunk numbers) of each text."""
+    names = ["doc_id", "start", "stop", "d1", "d2"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, waiting = [], 0
 
-def repeats(docs: DataFrame, span: int = SPAN) -> DataFrame:
+        def flush() -> pa.RecordBatch:
+            columns = [np.concatenate(part) for part in list(zip(*found, strict=True))[1:]]
+            ids = pa.array([i for i, own, _, _ in found for _ in range(len(own))], pa.int64())
+            found.clear()
+            return pa.RecordBatch.from_arrays([ids, *map(pa.array, (columns[0], columns[1], np.ascontiguousarray(columns[2][:, 0]), np.ascontiguousarray(columns[2][:, 1])))], names)
+
+        for b in batches:
+            for doc_id, text, marks in zip(b.column(0).to_pylist(), texts_of(b.column(1)), b.column(2), strict=True):
+                data = np.frombuffer(text, np.uint8)
+                at, (starts, ends) = picked(data), words_of(data)
+                if len(starts) < WORDS:
+                    continue
+                own = np.zeros(len(at) - 1, np.int64)
+                own[marks.values.to_numpy()] = 1
+                seeds = np.concatenate([[0], np.cumsum(own)])
+                starts, ends = starts[: len(starts) - WORDS + 1], ends[WORDS - 1 :]
+                can = within(at, seeds, starts + WINDOW - 1, ends) > 0
+                # chunks so far within that both their places are picked in any text that holds the words
+                can &= within(at, np.arange(len(at)) - seeds, starts + WINDOW + AHEAD - 2, ends - AHEAD + 1) == 0
+                starts, ends = starts[can], ends[can]
+                if len(starts):
+                    chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)]).astype(np.int32)
+                    digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(text[i:j]) for i, j in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64).reshape(-1, 2)
+                    found.append((doc_id, chars[starts], chars[ends], digests))
+                    waiting += len(starts)
+                if waiting > FLUSHED:
+                    yield flush()
+                    waiting = 0
+        if found:
+            yield flush()
+
+    return docs.select("doc_id", "text", "seeds").mapInArrow(of, "doc_id long, start int, stop int, d1 long, d2 long")
+
+
+def repeats(docs: DataFrame) -> DataFrame:
     """(doc_id, start, stop, n_chars, n_chunks, first_doc, kept): the repeated spans of every document.
 
-    ``kept`` is true where the document itself is the first to hold the span's first chunk.
-    Which chunks repeat is found by partial aggregation, so a chunk that very many documents
-    hold costs each task one row; the join that hands this on to the chunks is one that Spark
-    splits when skewed.
+    ``n_chunks`` counts the span's repeated runs of ``WORDS`` words. ``kept`` is true where the
+    document itself is the first to hold the span's first one. What repeats is found by partial
+    aggregation, so a chunk that very many documents hold costs each task one row; the joins
+    that hand this on are ones that Spark splits when skewed.
     """
-    every = chunked(docs)
-    shared = every.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("first_doc <> last_doc or (unnamed and first_doc is not null)")
-    # the list of repeated chunks grows with the documents: it is shuffled at every size
-    held = every.hint("merge").join(shared.select("d1", "d2", "first_doc"), ["d1", "d2"]).select("doc_id", "start", "stop", "first_doc")
-    held = written(held, "repeated-chunks").distinct()
-    by_doc = Window.partitionBy("doc_id").orderBy("start")
-    runs = held.withColumn("run", F.sum(F.when(F.col("start") == F.lag("stop").over(by_doc), 0).otherwise(1)).over(by_doc))
-    found = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.min_by("first_doc", "start").alias("first_doc"))
-    return found.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_chars"), "n_chunks", "first_doc", (F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False))).alias("kept")).where(F.col("n_chars") >= span)
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc_id", "text"))
+    every = chunked(own)
+    seeds = every.groupBy("seed").agg(F.min("row").alias("a"), F.max("row").alias("b")).where("a <> b").select("seed")
+    # the lists of what repeats grow with the documents: they are shuffled at every size
+    marked = written(every.hint("merge").join(seeds, "seed").select("row", "number"), "repeated-chunks")
+    runs = compared(own.hint("merge").join(marked.groupBy("row").agg(F.collect_set("number").alias("seeds")), "row"))
+    shared = runs.groupBy("d1", "d2").agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"), F.max(F.col("doc_id").isNull()).alias("unnamed")).where("first_doc <> last_doc or (unnamed and first_doc is not null)")
+    held = runs.hint("merge").join(shared.select("d1", "d2", "first_doc"), ["d1", "d2"]).select("doc_id", "start", "stop", "first_doc")
+    held = written(held, "repeated-words").distinct()
+    by_doc = Window.partitionBy("doc_id").orderBy("start", "stop")
+    before = F.max("stop").over(by_doc.rowsBetween(Window.unboundedPreceding, -1))
+    spans = held.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("run", F.sum("new").over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
+    found = spans.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.count("*").alias("n_chunks"), F.min_by("first_doc", "start").alias("first_doc"))
+    return found.select("doc_id", "start", "stop", (F.col("stop") - F.col("start")).alias("n_chars"), "n_chunks", "first_doc", (F.coalesce(F.col("doc_id") == F.col("first_doc"), F.lit(False))).alias("kept"))
 
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:

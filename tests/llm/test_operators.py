@@ -266,6 +266,19 @@ def test_repeats_are_found_and_clean_documents_left(spark):
     assert chunk_dedup.repeats(empty(df)).count() == 0
 
 
+def test_short_and_periodic_repeats_are_whole(spark):
+    r = random.Random(10)
+    words = lambda n, a=3, b=9: " ".join("".join(r.choices("abcdefghijklmnopé", k=r.randint(a, b))) for _ in range(n))
+    passages = [words(51) for _ in range(15)] + [words(51, 1, 4) for _ in range(15)] + [words(51, 1, 1), " ".join("abcdefghijklmnopqrstuvwxyz" * 2)[:101]]
+    passages += [" ".join((words(n).split() * 60)[:60]) for n in (2, 3, 5, 8) for _ in range(5)] + [" ".join("x" * 400 if k == 25 else "y" for k in range(51))]
+    passages += ["".join(chr(0x4E00 + r.randrange(5000)) for _ in range(60))]
+    rows = [(2 * k + j, f"Q{words(40 + j)}Q {p} Q{words(30)}Q") for k, p in enumerate(passages) for j in (0, 1)] + [(900 + k, f"{words(40)} {p} {words(30)}") for p in [words(50)] for k in (0, 1)]
+    text = dict(rows)
+    got = chunk_dedup.repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((g.doc_id, text[g.doc_id][g.start : g.stop]) for g in got) == [(2 * k + j, p) for k, p in enumerate(passages) for j in (0, 1)]
+    assert all(g.first_doc == g.doc_id - g.doc_id % 2 and g.kept == (g.doc_id % 2 == 0) for g in got)
+
+
 # 7
 
 
