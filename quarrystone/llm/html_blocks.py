@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections.abc import Iterator
 from typing import NamedTuple
 
 #: Tags that begin and end a block; all others are inline, and <br> is white space.
@@ -14,17 +15,19 @@ BLOCK_TAGS = frozenset(
 )
 #: Tags without content, and those whose content is no text of the page.
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = ("script", "style", "noscript", "template", "svg", "math", "title")
+RAW_TAGS = ("script", "style", "noscript", "template", "title")
 #: A tag that opens ends these, up to the nearest of its stops.
 ENDED_BY = {"p": (), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 TOKEN = re.compile(
     r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?/](?:[^>]*>|[^>]*\Z)|<[a-zA-Z][^>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
+#: What ends an svg: its end tag, or a tag that HTML has only outside it, unless in a foreignObject.
+SVG_END = re.compile(r"<foreignobject(?=[\s/>]).*?</foreignobject\s*>|</svg\s*>|(?=<(?:p|div|h[1-6]|ul|ol|li|dl|table|blockquote|pre|body)[\s/>])", re.DOTALL | re.IGNORECASE)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))", re.IGNORECASE)
 PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
@@ -41,6 +44,18 @@ def names_of(attrs: str) -> str:
     return "".join(f".{p}" for p in dict.fromkeys(found))
 
 
+def tokens(page: str) -> Iterator[tuple[re.Match, int]]:
+    """Tags and comments, and where the text goes on. An svg goes up to its end, if it isn't closed by itself and has one."""
+    at, closed = 0, True
+    while m := TOKEN.search(page, at):
+        at = m.end()
+        if closed and (m["tag"] or "").lower() == "svg" and not m["close"] and m["attrs"][:1] in " \t\n\f\r/" and not m["attrs"].endswith("/"):
+            end = next((e.end() for e in SVG_END.finditer(page, at) if e[0][:2] in ("", "</")), None)
+            closed = end is not None
+            at = end if closed else at
+        yield m, at
+
+
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order. ``path`` holds tag names with their class words; ``linked`` counts characters within links."""
     out: list[Block] = []
@@ -65,9 +80,9 @@ def blocks(page: str) -> list[Block]:
             if in_link:
                 linked += len(text.strip())
 
-    for m in TOKEN.finditer(page):
+    for m, then in tokens(page):
         add(page[upto : m.start()])
-        upto = m.end()
+        upto = then
         tag = (m["tag"] or "").lower()
         if not tag:
             continue

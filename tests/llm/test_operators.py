@@ -84,6 +84,17 @@ def test_html_blocks():
     assert [b.text for b in blocks("<ul><li>1<li>2<ul><li>2a</ul><li>3</ul><table><tr><td>x<td>y</table>")] == ["1", "2", "2a", "3", "x", "y"]
 
 
+def test_html_blocks_of_custom_elements_icons_and_formulas():
+    texts = lambda page: [b.text for b in blocks(page)]
+    for odd in ("<svg-icon></svg-icon>", "<svg-icon name='x'>", "<template-card></template-card>", "<title-bar></title-bar>", "<style-guide>", '<svg class="i"/>', "<svg/>", "<math/>", "<svg viewBox='0 0 1 1'>"):
+        assert texts(f"<p>a</p>{odd}<article><p>main text</p></article>") == ["a", "main text"], odd
+        assert texts(f"<p>a</p>{odd}<p>b</p><svg><text>no</text></svg ><p>c</p>")== ["a", "b", "c"]
+    assert texts("<svg><foreignObject><p>no</p></foreignObject></svg><p>b") == ["b"]
+    assert texts("<p>a</p><svg class=i/><p>b</p><svg><title/><path d='>'/><text>no</text></svg><p>c</p>") == ["a", "b", "c"]
+    assert texts("<p>let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> hold</p>") == ["let x=2 hold"]
+    assert texts("<title>no</title><style\n>no</style><script/>no</script><template>no</template><p>b") == ["b"]
+
+
 def test_html_text_finds_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages.withColumn("text", F.lit("clash"))).collect()}
