@@ -443,6 +443,21 @@ def test_secret_network_on_unseen_findings():
     assert found[y == 1].mean() > 0.85 and found[y == 0].mean() < 0.1
 
 
+def test_secret_keys_after_paths_and_without_digits(spark):
+    r = random.Random(6)
+    some = lambda letters, n: "".join(r.choices(letters, k=n)).encode()
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    network = secrets.train(spark.createDataFrame([(None, None)], "doc_id long, text string").limit(0))
+    tailed = [b"see /hooks/services/some/long/name/of/path/" + some(letters + "0123456789", 32) + b" here" for _ in range(100)]
+    bare = [b"the key " + some(letters, 24) + b" here" for _ in range(100)]
+    plain = [b"see /hooks/services/some/long/name/of/another/" + w + b"/of/the/path here" for w in (b"section", b"interesting", b"thing")] + [b"an internationalisation of " + b"-" * 60]
+    found = lambda texts: [any(k == 3 and e > t.index(b" here") - 2 for _, k, e in own) for t, own in zip(texts, secrets.spans_of(texts, network), strict=True)]
+    assert np.mean(found(tailed)) > 0.85 and np.mean(found(bare)) > 0.85
+    assert not any(secrets.spans_of(plain, network))
+    # a key in any place of a long candidate is seen whole by one part
+    assert all(any(a <= at and at + 20 <= z for a, z in secrets.parts(3, 3 + n)) for n in (41, 60, 61, 99, 200) for at in range(3, 3 + n - 19))
+
+
 # 10
 
 
