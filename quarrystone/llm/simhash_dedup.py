@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.llm.common import texts_of, written
@@ -128,32 +128,59 @@ def links(prints: DataFrame, paired: int = PAIRED) -> DataFrame:
     return twos.union(pairs).union(stars).where(bits_apart("a", "b") <= 2).distinct()
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
-
-    Documents with one fingerprint are linked without pairing them. A null doc_id never
-    names a component unless all its documents have none; repeated rows are repeated in the
-    result; an empty table gives no rows. Other columns are not read.
-    """
+def grouped(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, root, component_id) of every row. ``root`` tells components apart that have the same smallest id."""
     own = written(fingerprints(docs), "fingerprints")
     prints = written(own.groupBy("fp").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")), "prints")
     roots = written(components(written(links(prints.select("fp")), "links")), "roots")
     linked = roots.join(prints, roots["node"] == prints["fp"]).select("fp", "root", "least")
-    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "component_id")
+    named = linked.join(linked.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("fp", "root", "component_id")
     groups = (
         prints.join(named, "fp", "left")
-        .select("fp", F.coalesce("component_id", "least").alias("component_id"), "n", "least")
-        .where("n > 1 or component_id <> least or least is null")
-        .select("fp", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
+        .select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "least").alias("component_id"), "n", "least")
+        .where("n > 1 or component_id <> least or least is null or root <> fp")
+        .select("fp", "root", "component_id", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("spread"))
     )
     spread = own.withColumn("spread", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int"))
-    return spread.join(groups, ["fp", "spread"], "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return spread.join(groups, ["fp", "spread"], "left").select("doc_id", "fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """One row per document: doc_id, fingerprint (16 hex digits), component_id.
+
+    Documents with one fingerprint are linked without pairing them. A null doc_id never
+    names a component unless all its documents have none; repeated rows are repeated in the
+    result; an empty table gives no rows. Other columns are not read.
+    """
+    return grouped(docs).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def printed(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with their fingerprints in column ``name``."""
+    names = [*docs.columns, name]
+    at = names.index("text")
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(simhashes(texts_of(b.column(at)))), pa.int64())], names)
+
+    return docs.mapInArrow(of, docs.select("*", F.lit(None).cast("long").alias(name)).schema)
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that name their component, one for each; a component without ids keeps its rows."""
-    found = written(near_duplicates(docs), "near-duplicates")
-    keepers = found.where("component_id = doc_id or component_id is null").select("doc_id").distinct()
-    kept = docs.join(keepers.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi")
-    repeated = keepers.join(found, "doc_id").groupBy("doc_id").count().where("count > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    """The rows of ``docs`` that name their component, one for each; a component without ids keeps its rows.
+
+    Rows are found again by id and fingerprint, so an id on texts of several components keeps
+    one row in each. Of rows that share their component's id, that of least fingerprint and
+    text stays.
+    """
+    found = written(grouped(docs), "near-duplicates")
+    named = found.where("component_id = doc_id").groupBy("root", "doc_id").agg(F.min("fp").alias("kept_fp"), F.count("*").alias("kept_n")).select(F.col("doc_id").alias("kept_id"), "kept_fp", "kept_n")
+    unnamed = found.where("component_id is null").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"), F.lit(1).cast("long").alias("kept_n")).distinct()
+    keepers = written(named.union(unnamed), "keepers")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_fp") == F.col("kept_fp"))
+    kept = printed(docs, "own_fp").join(keepers, same)
+    if keepers.where("kept_n > 1").limit(1).count():
+        first = Window.partitionBy("kept_id", "kept_fp").orderBy("text")
+        kept = kept.where("kept_n = 1").withColumn("kept_place", F.lit(1)).union(kept.where("kept_n > 1").withColumn("kept_place", F.row_number().over(first))).where("kept_place = 1")
+    return kept.select(*docs.columns)

@@ -355,6 +355,18 @@ def test_near_duplicates_of_odd_rows(odd):
     assert kept.columns == odd.columns and sorted((r.doc_id for r in kept.collect()), key=str) == sorted([1, 4, 5, 6, 7, 9, 10, 12, None], key=str)
 
 
+def test_one_is_kept_of_each_group_of_odd_ids(spark):
+    r = random.Random(12)
+    text = lambda: " ".join("".join(r.choices("abcdefghijklm", k=6)) for _ in range(40))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    # null ids with texts of their own, and beside an id; an id on two texts; a repeated row; an id twice in one group
+    rows = [(None, a), (None, b), (None, b), (1, c), (None, c), (2, d), (2, e), (3, e), (4, f), (4, f), (5, f), (6, a.upper() + " x y z"), (7, "one"), (7, "ONE"), (8, "one")]
+    kept = lambda own: sorted(map(repr, map(tuple, simhash_dedup.keep_one(spark.createDataFrame(own, "doc_id long, text string")).collect())))
+    want = [(None, a), (None, b), (None, b), (1, c), (2, d), (2, e), (4, f), (6, a.upper() + " x y z"), (7, "ONE")]
+    assert kept(rows) == sorted(map(repr, want))
+    assert kept(rows[:5]) == sorted(map(repr, want[:4]))
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
