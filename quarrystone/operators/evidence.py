@@ -12,6 +12,8 @@ from quarrystone.functions import text as tx
 from quarrystone.operators.picks import latest_per_key
 
 CHUNK, OVERLAP, DIMENSIONS = 900, 120, 64
+#: Queries of one block of a vector search.
+ASKED = 1000
 
 
 def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
@@ -72,16 +74,17 @@ def hashed_embedding(df: DataFrame, key: str, text: str) -> DataFrame:
     return sums.join(norms, key).select(key, "dimension", F.round(F.col("total") / F.col("norm"), 6).alias("value"))
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = ASKED) -> DataFrame:
     """The ``k`` nearest vectors of each query by cosine, brute force.
 
-    Queries are a stated set: their ids and vectors go to every task, each task keeps its best
-    ``k`` of every query, and only those meet.
+    Queries are dealt into blocks of some ``block``. A task holds one block against one part
+    of the vectors and keeps its best ``k`` of each query; only those meet.
     """
     dot = F.aggregate(F.zip_with("embedding", "asked", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
     norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
-    scored = vectors.crossJoin(F.broadcast(asked)).where("vec_id <> query_id").select("query_id", "vec_id", (dot / (norm("embedding") * norm("asked"))).alias("cosine"))
+    asked = asked.repartition(max(1, -(-asked.count() // block)))
+    scored = vectors.crossJoin(asked.hint("shuffle_replicate_nl")).where("vec_id <> query_id").select("query_id", "vec_id", (dot / (norm("embedding") * norm("asked"))).alias("cosine"))
     return latest_per_key(scored, ["query_id"], [F.desc("cosine"), F.asc("vec_id")], k, "rank")
 
 

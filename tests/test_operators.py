@@ -136,3 +136,15 @@ def test_contract_takes_the_first_usable_field(spark):
 def test_siblings_need_two(spark):
     df = spark.createDataFrame([("a", 1, True), ("a", 2, False), ("a", 3, True), ("b", 1, False), ("b", 2, True), ("c", 1, None)], "k string, n int, v boolean")
     assert sorted((r.k, r.n, r.sibling) for r in discovery.siblings(df, "k", "n", F.col("v")).collect()) == [("a", 1, True), ("a", 3, True), ("b", 1, False), ("c", 1, False)]
+
+
+def test_nearest_takes_queries_in_blocks(spark):
+    vectors = spark.createDataFrame([(i, [float(i % 7), float(i % 5) + 1, float(i * i % 11)]) for i in range(60)], "vec_id long, embedding array<double>")
+    rows = {r.vec_id: r.embedding for r in vectors.collect()}
+    norm = lambda v: sum(x * x for x in v) ** 0.5
+    cosine = lambda a, b: sum(x * y for x, y in zip(a, b, strict=True)) / (norm(a) * norm(b))
+    found = evidence.nearest(vectors, vectors.where("vec_id % 2 = 0"), 3, 4)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    want = {(q, round(c, 9)) for q in range(0, 60, 2) for c in sorted((cosine(rows[v], rows[q]) for v in rows if v != q), reverse=True)[:3]}
+    got = found.collect()
+    assert len(got) == 90 and {(r.query_id, round(r.cosine, 9)) for r in got} == want
