@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quarrystone.plans import catalogue
+from quarrystone.plans import admin, catalogue
 from quarrystone.sources.adapters import BASE
 
 SF = "/root/testdata/sf0.001"
@@ -35,3 +35,10 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_every_query_has_sql_but_chunks():
     assert set(catalogue.queries()) - set(catalogue.oracle_sql()) == {"document_chunks"}
+
+
+def test_coverage_gaps_take_all_types(spark, monkeypatch):
+    tables = {"product": spark.createDataFrame([("B1", f"t{i}") for i in range(1200)] + [("B1", None)], "bank_code string, product_type string"), "bank": spark.createDataFrame([("B1", "C"), ("B2", "C")], "bank_code string, country_code string")}
+    monkeypatch.setattr(admin, "read", lambda spark, sf_dir, name: tables[name])
+    got = {(r.bank_code, r.product_type) for r in catalogue.queries()["coverage_gaps"](spark, "").collect()}
+    assert got == {("B2", f"t{i}") for i in range(1200)} | {("B1", None), ("B2", None)}
