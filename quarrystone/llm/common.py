@@ -73,6 +73,11 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def freed() -> None:
+    """Gives back what Arrow's pool keeps for later: called where a task ends, since its worker lives on."""
+    pa.default_memory_pool().release_unused()
+
+
 def held_out(doc_id="doc_id"):
     """crc32 of the id as text, modulo 4, is 2; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 4 == 2

@@ -26,13 +26,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import flat
+from quarrystone.llm.common import flat, freed
 
 SEQUENCE = 1024
 DIMENSIONS, BITS = 4, 15
 FEATURES = 1024
-#: Text bytes that one task tokenizes at a time, and words whose ids it keeps.
-BLOCK_BYTES, KEPT_WORDS = 4 << 20, 600_000
+#: Text bytes that one task takes at a time, and bytes of words whose ids it keeps.
+BLOCK_BYTES, KEPT_BYTES = 2 << 20, 4 << 20
+#: Documents whose hashed vectors are held at a time: 12 kB each.
+VECTORS = 2000
 
 
 def hilbert_key(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -77,7 +79,7 @@ def curve_keys(column: pa.Array, project: np.ndarray) -> np.ndarray:
     keys = np.empty(len(column), np.int64)
     at = 0
     while at < len(column):
-        to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1)
+        to = min(at + VECTORS, max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1))
         own = data[ends[at] : ends[to]].astype(np.uint32)
         vectors = np.zeros((to - at, FEATURES), np.float32)
         if len(own) > 2:
@@ -109,10 +111,11 @@ class Ids:
         self.clear()
 
     def clear(self) -> None:
+        """Forgets all words: at the end of each task, so that no later one of the worker carries them."""
         self.words: dict[str, int] = {}
         self.heads: dict[str, int] = {}
         self.starts, self.lens, self.odd = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
-        self.ids, self.used, self.n = np.zeros(1 << 16, np.int32), 0, 0
+        self.ids, self.used, self.n, self.kept = np.zeros(1 << 16, np.int32), 0, 0, 0
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.encoder.encode_batch(texts, add_special_tokens=False)]
@@ -134,6 +137,7 @@ class Ids:
             table.update(zip(part, range(self.n, self.n + len(part)), strict=True))
             self.n += len(part)
             self.used += int(lens.sum())
+            self.kept += sum(map(len, part))
 
     def rows(self, table: dict[str, int], words: list[str], head: bool) -> np.ndarray:
         if new := [w for w in words if w not in table]:
@@ -142,7 +146,7 @@ class Ids:
 
     def of(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text (null: none)."""
-        if self.n > KEPT_WORDS:
+        if self.kept > KEPT_BYTES:
             self.clear()
         cut = pc.split_pattern(pc.replace_substring(texts.fill_null(""), "\n", " \n"), " ")
         ends = cut.offsets.to_numpy().astype(np.int64)
@@ -228,6 +232,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(curve_keys(b.column(1), project))], ["doc_id", "text", "curve"])
+        freed()
 
     names = [x.split()[0] for x in PIECE.split(",")]
 
@@ -239,17 +244,21 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int
             rows, made.rows = made.rows, []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
 
-        for b in batches:
-            ends = flat(b.column(1))[1]
-            at = 0
-            while at < b.num_rows:
-                to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1)
-                for doc_id, own in zip(b.column(0).slice(at, to - at).to_pylist(), ids.of(b.column(1).slice(at, to - at)), strict=True):
-                    made.put(doc_id, np.append(own, np.int32(end_id)))
-                at = to
-                yield out()
-        made.end()
-        yield out()
+        try:
+            for b in batches:
+                ends = flat(b.column(1))[1]
+                at = 0
+                while at < b.num_rows:
+                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1)
+                    for doc_id, own in zip(b.column(0).slice(at, to - at).to_pylist(), ids.of(b.column(1).slice(at, to - at)), strict=True):
+                        made.put(doc_id, np.append(own, np.int32(end_id)))
+                    at = to
+                    yield out()
+            made.end()
+            yield out()
+        finally:
+            ids.clear()
+            freed()
 
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
