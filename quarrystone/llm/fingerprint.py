@@ -12,8 +12,9 @@ table whose key is those blocks. Candidates that meet in several tables count in
 * A null text counts as empty; an empty text has one empty term. Equal texts have equal
   fingerprints. Texts and counts are in code points.
 * The order of documents is by descending doc_id, null ids last, and equal ids by the hash of
-  their text. A row that repeats another's id and text is taken once. A single document is
-  its own next one; an empty table gives no rows. Other columns are not read.
+  their text. A row that repeats another's id and text stands next to it: the next document of
+  all such rows but one is their own text, and each has its row in the result. A single
+  document is its own next one; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from pyspark.sql import functions as F
 from quarrystone.llm.common import written
 
 RADIUS, BLOCKS = 3, 6
+#: Ways in which documents with one fingerprint are spread where counts are handed to them.
+SPREAD = 32
 HEAVIEST = 4
 TWO_LANES = 0x0000000100000001
 
@@ -71,12 +74,19 @@ def in_order(docs: DataFrame) -> DataFrame:
     return ranked.join(heads, (ranked["part"] == heads["head_part"]) & (ranked["at"] == 1), "left").select("doc_id", "h", F.coalesce("before", "head").alias("to")).select("doc_id", "h", F.col("to.doc_id").alias("to_id"), F.col("to.h").alias("to_h"), F.col("to.n").alias("to_n"))
 
 
+def with_copies(order: DataFrame, copies: DataFrame) -> DataFrame:
+    """``order`` with how many rows each step stands for, ``n``: repeated rows (doc_id, h, copies) also step to themselves."""
+    again = order.join(copies.withColumnsRenamed({"doc_id": "own_id", "h": "own_h"}), F.col("to_id").eqNullSafe(F.col("own_id")) & (F.col("to_h") == F.col("own_h")))
+    again = again.select(F.col("to_id").alias("doc_id"), F.col("to_h").alias("h"), "to_id", "to_h", "to_n", (F.col("copies") - 1).alias("n"), F.lit(True).alias("again"))
+    return order.select("*", F.lit(1).cast("long").alias("n"), F.lit(False).alias("again")).union(again)
+
+
 def edited(docs: DataFrame, order: DataFrame) -> DataFrame:
-    """doc_id, h, text and edited: the last third replaced by as many code points of the next document."""
+    """doc_id, h, n, again, text and edited: the last third replaced by as many code points of the next document."""
     given = docs.join(order.withColumnsRenamed({"doc_id": "own_id", "h": "own_h"}), docs["doc_id"].eqNullSafe(F.col("own_id")) & (docs["h"] == F.col("own_h")))
-    given = given.select("to_id", "to_h", F.expr("substring(text, 1, cast(to_n div 3 as int))").alias("piece"))
+    given = given.select("to_id", "to_h", "n", "again", F.expr("substring(text, 1, cast(to_n div 3 as int))").alias("piece"))
     kept = F.expr("substring(text, 1, cast(length(text) - length(text) div 3 as int))")
-    return docs.join(given, docs["doc_id"].eqNullSafe(given["to_id"]) & (docs["h"] == given["to_h"])).select("doc_id", "h", "text", F.concat(kept, F.col("piece")).alias("edited"))
+    return docs.join(given, docs["doc_id"].eqNullSafe(given["to_id"]) & (docs["h"] == given["to_h"])).select("doc_id", "h", "n", "again", "text", F.concat(kept, F.col("piece")).alias("edited"))
 
 
 def tables(prints: DataFrame, radius: int, blocks: int) -> DataFrame:
@@ -116,20 +126,25 @@ def compare(docs: DataFrame, radius: int = RADIUS, every: int = 20) -> DataFrame
     for the others.
     """
     own = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    repeats = own.groupBy("doc_id", "h").count().where("count > 1").limit(1).count()
-    own = own.dropDuplicates(["doc_id", "text"]) if repeats else own
-    order = written(in_order(own), "next")
-    both = edited(own, order).select("doc_id", "h", F.length("text").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("t"))
-    keys = ["doc_id", "h", "n_chars", "sha", "which"]
-    prints = written(simhash(both.select(*keys[:4], "t.which", "t.body"), keys, "body"), "prints")
-    pair = prints.groupBy(*keys[:4]).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"))
+    copies = written(own.groupBy("doc_id", "h").agg(F.count("*").alias("copies")).where("copies > 1"), "copies")
+    # each step below takes a row once; ``n`` says for how many it stands
+    own = own.dropDuplicates(["doc_id", "text"]) if copies.limit(1).count() else own
+    order = written(with_copies(in_order(own), copies), "next")
+    both = edited(own, order).select("doc_id", "h", "n", "again", F.length("text").alias("n_chars"), F.unhex(F.sha2("edited", 256)).alias("sha"), F.explode(F.array(F.struct(F.lit(0).alias("which"), F.col("text").alias("body")), F.struct(F.lit(1).alias("which"), F.col("edited").alias("body")))).alias("t"))
+    keys = ["doc_id", "h", "n", "again", "n_chars", "sha", "which"]
+    prints = written(simhash(both.select(*keys[:6], "t.which", "t.body"), keys, "body"), "prints")
+    pair = prints.groupBy(*keys[:6]).agg(F.max(F.when(F.col("which") == 0, F.col("fp"))).alias("fp"), F.max(F.when(F.col("which") == 1, F.col("fp"))).alias("edited_fp"))
     pair = written(pair, "pairs")
-    following = pair.join(order.withColumnsRenamed({"doc_id": "own_id", "h": "own_h"}), pair["doc_id"].eqNullSafe(F.col("own_id")) & (pair["h"] == F.col("own_h"))).select("to_id", "to_h", F.col("fp").alias("next_fp"))
-    counts = pair.groupBy("fp").agg(F.count("*").alias("n"))
+    following = pair.where("not again").join(order.where("not again").select(F.col("doc_id").alias("own_id"), F.col("h").alias("own_h"), "to_id", "to_h"), pair["doc_id"].eqNullSafe(F.col("own_id")) & (pair["h"] == F.col("own_h"))).select("to_id", "to_h", F.col("fp").alias("next_fp"))
+    counts = pair.groupBy("fp").agg(F.sum("n").alias("n"))
     asked = pair.where(F.col("doc_id") % every == 0)
     near = within(counts, asked, radius).join(counts, "fp").groupBy("q").agg(F.sum("n").alias("n_near"))
-    found = asked.select("doc_id", "h", "fp").join(near, F.col("fp") == F.col("q")).select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), "n_near")
+    # very many documents may ask with one fingerprint: its count is handed out in several places
+    near = near.select("q", "n_near", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
+    dealt = asked.where("not again").select("doc_id", "h", "fp", F.pmod(F.xxhash64("doc_id"), F.lit(SPREAD)).cast("int").alias("spread"))
+    found = dealt.join(near, (F.col("fp") == F.col("q")) & (F.col("spread") == F.col("part"))).select(F.col("doc_id").alias("near_id"), F.col("h").alias("near_h"), "n_near")
     out = pair.join(following, pair["doc_id"].eqNullSafe(following["to_id"]) & (pair["h"] == following["to_h"]))
     out = out.join(found, (out["doc_id"] == found["near_id"]) & (out["h"] == found["near_h"]), "left")
+    out = out.withColumn("next_fp", F.when(F.col("again"), F.col("fp")).otherwise(F.col("next_fp"))).withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "n")))
     digits = lambda c: F.lower(F.lpad(F.hex(c), 16, "0"))
     return out.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), F.lower(F.hex("sha")).alias("edited_sha256"), digits("fp").alias("fingerprint"), digits("edited_fp").alias("edited_fingerprint"), likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"), "n_near")
