@@ -93,6 +93,17 @@ def texts_of(column: pa.Array | pa.ChunkedArray) -> Iterator[bytes]:
         yield bytes(view[ends[i] : ends[i + 1]])
 
 
+def sliced(batches: Iterator[pa.RecordBatch], at: int, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most ``size`` bytes of column ``at`` (or one row), so that what a task holds is bounded by bytes."""
+    for b in batches:
+        ends, row = flat(b.column(at))[1], 0
+        while row < b.num_rows:
+            to = max(row + 1, int(np.searchsorted(ends, ends[row] + size, "right")) - 1)
+            yield b.slice(row, to - row)
+            row = to
+    freed()
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of an Arrow string column as one array and the n + 1 offsets into it; null is empty."""
     if column.null_count:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import texts_of, written
+from quarrystone.llm.common import sliced, texts_of, written
 
 WINDOW = 13
 SHINGLE = 2
@@ -68,7 +68,7 @@ def document_frequencies(docs: DataFrame, wanted: set[tuple[bytes, ...]]) -> dic
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary, counts = shared.value, Counter()
-        for b in batches:
+        for b in sliced(batches, 0):
             for text in texts_of(b.column(0)):
                 words = words_of(text)
                 for size in sizes:
@@ -138,7 +138,7 @@ def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shi
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
-            for b in batches:
+            for b in sliced(batches, at):
                 n_words, all_spans, all_items = [], [], []
                 for text, before, had in zip(texts_of(b.column(at)), b.column(len(names) - 2).to_pylist(), b.column(len(names) - 1).to_pylist(), strict=True):
                     words, items = words_of(text), set(had)

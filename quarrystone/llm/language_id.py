@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import held_out, texts_of
+from quarrystone.llm.common import held_out, sliced, texts_of
 
 PER_LANGUAGE, DOC_CHARS = 200, 250
 DICTIONARY_BYTES, LEVEL, PIECE = 48 << 10, 6, 4096
@@ -100,7 +100,7 @@ def predict(docs: DataFrame, content: dict[str, bytes]) -> DataFrame:
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(content)
-        for b in batches:
+        for b in sliced(batches, 2):
             found = [sizes.predict(t) for t in texts_of(b.column(2))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
@@ -114,7 +114,7 @@ def accepted(docs: DataFrame, content: dict[str, bytes], narrow: float = NARROW)
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = Sizes(content)
         at = names.index("text")
-        for b in batches:
+        for b in sliced(batches, at):
             kept = [lang != UNKNOWN and score >= narrow for lang, score in map(sizes.predict, texts_of(b.column(at)))]
             yield b.filter(pa.array(kept, pa.bool_()))
 

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import flat, freed
+from quarrystone.llm.common import flat, sliced
 
 SEQUENCE = 1024
 DIMENSIONS, BITS = 4, 15
@@ -230,9 +230,8 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int
     project = projection()
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(curve_keys(b.column(1), project))], ["doc_id", "text", "curve"])
-        freed()
 
     names = [x.split()[0] for x in PIECE.split(",")]
 
@@ -245,20 +244,14 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
 
         try:
-            for b in batches:
-                ends = flat(b.column(1))[1]
-                at = 0
-                while at < b.num_rows:
-                    to = max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1)
-                    for doc_id, own in zip(b.column(0).slice(at, to - at).to_pylist(), ids.of(b.column(1).slice(at, to - at)), strict=True):
-                        made.put(doc_id, np.append(own, np.int32(end_id)))
-                    at = to
-                    yield out()
+            for b in sliced(batches, 1, BLOCK_BYTES):
+                for doc_id, own in zip(b.column(0).to_pylist(), ids.of(b.column(1)), strict=True):
+                    made.put(doc_id, np.append(own, np.int32(end_id)))
+                yield out()
             made.end()
             yield out()
         finally:
             ids.clear()
-            freed()
 
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

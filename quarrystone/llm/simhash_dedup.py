@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import texts_of, written
+from quarrystone.llm.common import sliced, texts_of, written
 from quarrystone.llm.graph import components
 
 WORDS, SEED = 3, 42
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) of every row; a null text counts as empty."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 1):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(list(simhashes(texts_of(b.column(1)))), pa.int64())], ["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(of, "doc_id long, fp long")
@@ -161,7 +161,7 @@ def printed(docs: DataFrame, name: str) -> DataFrame:
     at = names.index("text")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, at):
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(list(simhashes(texts_of(b.column(at)))), pa.int64())], names)
 
     return docs.mapInArrow(of, docs.select("*", F.lit(None).cast("long").alias(name)).schema)
