@@ -258,12 +258,57 @@ def test_language_of_odd_rows(odd):
 
 
 def test_boundaries_survive_insertions():
-    r = np.random.default_rng(1)
-    data = r.integers(97, 123, 4000, dtype=np.uint8)
-    cuts = set(chunk_dedup.boundaries(data).tolist())
-    moved = {c - 3 for c in chunk_dedup.boundaries(np.concatenate([data[:1000], data[:3], data[1000:]])).tolist() if c > 1100}
-    assert moved == {c for c in cuts if c > 1097} and {c for c in cuts if c < 1000} <= set(chunk_dedup.boundaries(data[:1001]).tolist()) | {1000}
-    assert len(chunk_dedup.boundaries(np.zeros(500, np.uint8))) <= 500 // chunk_dedup.SHORTEST + 1
+    r = random.Random(1)
+    words = ["".join(r.choices("abcdefghijklmnop", k=r.randint(1, 9))) for _ in range(900)]
+    places = lambda own: set(chunk_dedup.picked(data := np.frombuffer(" ".join(own).encode(), np.uint8), chunk_dedup.words_of(data)[1])[0].tolist())
+    plain, moved = places(words), places(words[:300] + ["new", "words", "here"] + words[300:])
+    assert {p for p in plain if p < 250} == {p for p in moved if p < 250} and {p for p in plain if p > 360} == {p - 3 for p in moved if p > 363}
+    assert max(np.diff(sorted(plain))) <= chunk_dedup.AHEAD and not places(words[:20]) and not places([])
+
+
+def brute_repeats(rows):
+    """doc_id, start, stop, runs, first_doc, kept of every repeated span, from all runs of 51 words of distinct (id, text)."""
+    whole = collections.Counter()
+    for i, t in rows:
+        whole[i, t] = 1 if i is not None else whole[i, t] + 1
+    holders, own = collections.defaultdict(list), {}
+    for (i, t), n in whole.items():
+        words = [m.span() for m in re.finditer(r"[\u3000-\u9fff]|[^\s\u3000-\u9fff]+", t or "", re.ASCII)]
+        own[i, t] = [(words[k][0], words[k + 50][1]) for k in range(len(words) - 50)]
+        for a, z in set(own[i, t]):
+            holders[t[a:z]] += [(i is None, i or 0, t)] * n
+    out = []
+    for (i, t), n in whole.items():
+        spans = []
+        for a, z in own[i, t]:
+            if len(set(holders[t[a:z]])) > 1 or i is None and holders[t[a:z]].count((True, 0, t)) > 1:
+                if not spans or a > spans[-1][1]:
+                    spans.append([a, z, min(holders[t[a:z]])])
+                spans[-1][1] = max(spans[-1][1], z)
+        out += [(i, a, z, None if first[0] else first[1], first[0] or i == first[1]) for a, z, first in spans] * n
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("bounded", [2, 500])
+def test_repeats_are_those_of_brute_force(spark, bounded):
+    r = random.Random(12)
+    words = lambda n, a=1, b=9: [("".join(r.choices("abcdeé", k=r.randint(a, b)))) for _ in range(n)]
+    pool = [words(r.choice([51, 52, 60, 75, 140]), 1, r.choice([1, 3, 9])) for _ in range(12)]
+    rows = []
+    for k in range(60):
+        text = words(r.randint(0, 30))
+        for _ in range(r.randint(0, 4)):
+            p = r.choice(pool)
+            a = r.randrange(0, 12)
+            text += p[a : r.randint(len(p) - 12, len(p))] + words(r.randint(0, 20))
+        if k % 3 == 0 and text:  # near copies
+            text[r.randrange(len(text))] = "changed"
+        rows.append((None if k % 11 == 0 else k, r.choice([" ", " ", "\n"]).join(text)))
+    rows += [rows[3], rows[5], (70, rows[7][1]), (71, rows[7][1]), (None, rows[7][1]), (None, rows[8][1]), (2, rows[9][1]), (90, None), (91, ""), (92, "word " * 30_000), (93, "other " + "word " * 300)]
+    rows += [(None, " ".join(lone := words(80))), (None, " ".join(lone)), (94, " ".join(words(90) + lone[5:70])), (95, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(70)) * 2), (96, rows[-1][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("least", F.lit(1)).repartition(5)
+    got = chunk_dedup.repeats(df, bounded).collect()
+    assert sorted([(g.doc_id, g.start, g.stop, g.first_doc, g.kept) for g in got], key=str) == brute_repeats(rows)
 
 
 def test_repeats_are_found_and_clean_documents_left(spark):
