@@ -12,9 +12,9 @@ first four words, of one byte each, may lie in a gear window that begins before
 A chunk that two different texts hold is a seed. A run of ``WORDS`` words can repeat only if all
 chunks that it fixes, whatever stands around it, are seeds. Such runs are compared whole, by
 digest, with the runs that have the same rarest seed: runs that share a seed travel as one row,
-sorted by it. Seeds that more than ``BOUNDED`` chunks have are taken another way, run by run,
-with partial aggregation and a join that Spark splits when skewed. Overlapping repeats make a
-span, with the document of smallest id that holds the span's first run of words.
+sorted by it. Seeds that more than ``BOUNDED`` chunks have are taken another way: equal rows
+become one by partial aggregation, the runs of different rows are compared, and a join that
+Spark splits when skewed hands on what is found. Overlapping repeats make a span, with the document of smallest id that holds the span's first run of words.
 
 * Every passage of ``WORDS`` words or more that two documents hold is reported, from its first
   whole word to its last. Words lie between ASCII white space; each character of U+3000 to
@@ -242,12 +242,24 @@ def resolved(runs: DataFrame) -> DataFrame:
     return runs.select("row", "least", "seed", "starts", "stops", "digests").repartition("seed").sortWithinPartitions("seed").mapInArrow(of, HELD)
 
 
-def resolved_one_by_one(runs: DataFrame) -> DataFrame:
-    """The repeated runs of ``runs``, compared by partial aggregation of single runs, however many share a seed."""
-    each = runs.select("row", "least", "seed", F.explode(F.arrays_zip("starts", "stops", "digests")).alias("r")).select("row", "least", "seed", F.col("r.starts").alias("start"), F.col("r.stops").alias("stop"), F.col("r.digests").alias("digest"))
+def resolved_at_large(runs: DataFrame) -> DataFrame:
+    """The repeated stretches of ``runs``, however many share a seed: equal rows are taken as one, with partial aggregation.
+
+    What very many texts hold makes few different rows. Their runs are compared one by one; what is found is handed
+    to the texts by a join that Spark splits when skewed.
+    """
     holder = F.struct(F.col("least").isNull().alias("unnamed"), "least", "row")
-    shared = each.groupBy("seed", "digest").agg(F.min(holder).alias("a"), F.max(holder).alias("b")).where("a.row <> b.row").select("seed", "digest", F.col("a.least").alias("first_least"), F.col("a.row").alias("first_row"))
-    return each.hint("merge").join(shared, ["seed", "digest"]).select("row", "least", "start", "stop", F.lit(1).alias("words"), "first_least", "first_row")
+    runs = runs.withColumn("key", F.xxhash64("seed", "digests"))
+    kinds = written(runs.groupBy("seed", "key").agg(F.min(holder).alias("a"), F.max(holder).alias("b"), F.min("digests").alias("digests")), "run-kinds")
+    each = kinds.select("seed", "key", "a", "b", F.posexplode("digests").alias("at", "digest"))
+    shared = written(each.groupBy("seed", "digest").agg(F.min("a").alias("first"), F.max("b").alias("last")).where("first.row <> last.row").select("seed", "digest", "first"), "shared-runs")
+    found = each.hint("merge").join(shared, ["seed", "digest"]).select("seed", "key", "at", "first")
+    # runs side by side with one first holder have one difference of place and rank
+    rank = F.row_number().over(Window.partitionBy("seed", "key", "first").orderBy("at"))
+    stretches = found.withColumn("island", F.col("at") - rank).groupBy("seed", "key", "first", "island").agg(F.min("at").alias("low"), F.max("at").alias("high"))
+    stretches = written(stretches.select("seed", "key", "first", "low", "high"), "stretches")
+    held = runs.select("seed", "key", "row", "least", "starts", "stops").hint("merge").join(stretches, ["seed", "key"])
+    return held.select("row", "least", F.expr("starts[low]").alias("start"), F.expr("stops[high]").alias("stop"), F.expr("high - low + 1").alias("words"), F.col("first.least").alias("first_least"), F.col("first.row").alias("first_row"))
 
 
 def repeats(docs: DataFrame, bounded: int = BOUNDED) -> DataFrame:
@@ -260,15 +272,15 @@ def repeats(docs: DataFrame, bounded: int = BOUNDED) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("text"))
     every = chunked(own)
-    seeds = every.groupBy("seed").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.count("*").alias("n")).where("a <> b").select("seed", "n")
-    # the lists of what repeats grow with the documents: they are shuffled at every size
+    seeds = written(every.groupBy("seed").agg(F.min("row").alias("a"), F.max("row").alias("b"), F.count("*").alias("n")).where("a <> b").select("seed", "n"), "seeds")
+    # the lists of what repeats grow with the documents: they are shuffled at every size, and written first, so that a skewed side can be split
     marks = every.hint("merge").join(seeds, "seed").groupBy("row").agg(F.collect_set(F.struct("number", "n")).alias("marks"))
     ids = written(own.groupBy("row", "doc_id").agg(F.count("*").alias("n")), "texts")
     texts = ids.groupBy("row").agg(F.min("doc_id").alias("least"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1)).alias("copies"))
     asked = texts.join(marks, "row", "left").where("copies > 1 or marks is not null").withColumnRenamed("row", "asked_row")
     runs = written(compared(own.hint("merge").join(asked, (F.col("row") == F.col("asked_row")) & F.col("doc_id").eqNullSafe(F.col("least")))), "runs")
     whole = runs.where("seed is null").select("row", "least", F.col("starts")[0].alias("start"), F.col("stops")[0].alias("stop"), "words", F.col("least").alias("first_least"), F.col("row").alias("first_row"))
-    held = resolved(runs.where(F.col("n") <= bounded)).union(resolved_one_by_one(runs.where(F.col("n") > bounded))).union(whole)
+    held = resolved(runs.where(F.col("n") <= bounded)).union(resolved_at_large(runs.where(F.col("n") > bounded))).union(whole)
     by_row = Window.partitionBy("row").orderBy("start", "stop")
     before = F.max("stop").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
     spans = held.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("span", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
