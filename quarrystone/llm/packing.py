@@ -31,10 +31,10 @@ from quarrystone.llm.common import flat, sliced
 SEQUENCE = 1024
 DIMENSIONS, BITS = 4, 15
 FEATURES = 1024
-#: Text bytes that one task takes at a time, and bytes of words whose ids it keeps.
-BLOCK_BYTES, KEPT_BYTES = 2 << 20, 4 << 20
-#: Documents whose hashed vectors are held at a time: 12 kB each.
-VECTORS = 2000
+#: Text bytes that one task tokenizes at a time, and bytes of words whose ids it keeps.
+BLOCK_BYTES, KEPT_BYTES = 4 << 20, 4 << 20
+#: Text bytes and documents whose hashed vectors are made at a time: few enough for a core's cache.
+VECTOR_BYTES, VECTORS = 1 << 19, 1000
 
 
 def hilbert_key(axes: np.ndarray, bits: int) -> np.ndarray:
@@ -79,7 +79,7 @@ def curve_keys(column: pa.Array, project: np.ndarray) -> np.ndarray:
     keys = np.empty(len(column), np.int64)
     at = 0
     while at < len(column):
-        to = min(at + VECTORS, max(at + 1, int(np.searchsorted(ends, ends[at] + BLOCK_BYTES, "right")) - 1))
+        to = min(at + VECTORS, max(at + 1, int(np.searchsorted(ends, ends[at] + VECTOR_BYTES, "right")) - 1))
         own = data[ends[at] : ends[to]].astype(np.uint32)
         vectors = np.zeros((to - at, FEATURES), np.float32)
         if len(own) > 2:
