@@ -75,6 +75,26 @@ VIEWS = {
                CASE WHEN o_orderkey % 7 = 0 THEN 'ManualOverride' WHEN o_orderstatus = 'O' THEN 'New' WHEN o_orderstatus = 'F' THEN 'Updated' ELSE 'Discontinued' END AS event_type,
                o_orderdate AS detected_at, CASE WHEN o_orderkey % 3 = 0 THEN 'rate,fee' WHEN o_orderkey % 3 = 1 THEN 'rate' ELSE '' END AS changed_fields
         FROM {orders}""",
+    "offer": """
+        SELECT concat('P', CAST(k AS STRING)) AS product_id, family AS product_family, kind AS product_type, shown AS display_rate, CAST('2026-04-13' AS DATE) AS reference_date,
+               CASE k % 14
+                 WHEN 0 THEN concat('Earn up to ', r, '% interest rate for the first 3 months. Limited time offer.')
+                 WHEN 1 THEN concat('**Interest rate**: ', r, '% APR. A purchase rate of ', s, '% may apply.')
+                 WHEN 2 THEN concat('Rates from ', r, '% APR to ', s, '% for qualified borrowers, interest rate varies')
+                 WHEN 3 THEN concat('The full term return is ', r, '% of the original investment,  not an annual rate')
+                 WHEN 4 THEN concat('Offer valid until March ', CAST(1 + k % 28 AS STRING), ', ', CAST(2025 + k % 3 AS STRING), '. Promotional rate of ', r, '%')
+                 WHEN 5 THEN concat('Redeem as much as ', r, '% of principal each year')
+                 WHEN 6 THEN concat(r, '% intro APR for 12 months, then a variable rate of ', s, '% APR')
+                 WHEN 7 THEN 'Annual percentage rate {{{{rate}}}}% applies; see xx.xx%'
+                 WHEN 8 THEN concat('Offer valid from January 3 through Feb ', CAST(1 + k % 28 AS STRING), 'th, 2025. Earn a savings rate of ', r, '% for 6 months')
+                 WHEN 9 THEN concat('Variable mortgage rate of prime + ', r, '%; minimum down payment ', s, '%')
+                 WHEN 10 THEN concat('1 year ', r, '% 2 years ', s, '% 90 days 1.5%')
+                 WHEN 11 THEN concat(r, '% for 6 months, ', s, '% for 1.5 years, 3% for 2 years')
+                 WHEN 12 THEN concat('Term Rate (%) APY (%): 1 year ', r, '% ', s, '% 2 years 2% 2.05%')
+                 ELSE NULL END AS offer_text
+        FROM (SELECT p_partkey AS k, CASE WHEN p_type IN ('PROMO', 'ECONOMY', 'MEDIUM') THEN 'deposit' ELSE 'lending' END AS family, CASE p_type WHEN 'SMALL' THEN 'mortgage' WHEN 'LARGE' THEN 'credit-card' WHEN 'MEDIUM' THEN 'gic' ELSE 'other' END AS kind,
+                     CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_partkey * 37 % 12000 AS DOUBLE) / 100 END AS shown, concat(CAST(p_partkey % 13 AS STRING), '.', CAST(10 + p_size % 40 AS STRING)) AS r, concat(CAST(p_size % 29 AS STRING), '.', CAST(10 + p_partkey % 80 AS STRING)) AS s
+              FROM {part})""",
 }
 
 NEEDS = {"product": ("bank",)}
@@ -84,7 +104,7 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A base table by its Parquet, or a relation of ``VIEWS``."""
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    names = {part.split("}")[0] for part in VIEWS[name].split("{")[1:]}
+    names = [n for n in BASE + tuple(VIEWS) if f"{{{n}}}" in VIEWS[name]]
     return spark.sql(VIEWS[name], **{n: read(spark, sf_dir, n) for n in names})
 
 
