@@ -77,6 +77,56 @@ def url(x: Column) -> Column:
     return F.concat(head, path, F.when(F.size(pairs) > 0, F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise(""))
 
 
+# Query keys that tell sources apart, on any path and on paths of disclosures.
+SOURCE_KEYS = ("accountid", "accounttype", "agreementid", "cardid", "disclosureid", "documentid", "market", "product", "productcode", "productid", "region", "state", "zip", "zipcode")
+DISCLOSURE_KEYS, DISCLOSURE_PATHS = ("cid", "offerid", "pocd"), ("agreement", "disclosure", "fee", "pdf", "pricing", "rate", "terms")
+
+
+def source_url(x: Column) -> Column:
+    """The URL that names a source: scheme and host in lower case, no default port, the path without doubled or closing slashes, identity keys alone and in order; null unless http or https."""
+    bare = F.regexp_replace(F.trim(x), "#.*$", "")
+    head = F.lower(F.regexp_extract(bare, r"^([a-zA-Z]+://[^/?]+)", 1))
+    head = F.regexp_replace(F.regexp_replace(head, r"^(http://.*):80$", "$1"), r"^(https://.*):443$", "$1")
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[a-zA-Z]+://[^/?]+([^?]*)", 1), "/{2,}", "/")
+    path = F.when(path.isin("", "/"), "/").otherwise(F.regexp_replace(path, "/$", ""))
+    low = F.lower(path)
+    disclosure = low.contains(DISCLOSURE_PATHS[0])
+    for mark in DISCLOSURE_PATHS[1:]:
+        disclosure = disclosure | low.contains(mark)
+    pairs = F.transform(F.split(F.regexp_extract(bare, r"[?](.*)$", 1), "&"), lambda p: F.struct(F.lower(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.trim(F.regexp_extract(p, "=(.*)$", 1)).alias("v")))
+    kept = F.array_sort(F.filter(pairs, lambda p: (p["v"] != "") & (p["k"].isin(*SOURCE_KEYS) | disclosure & p["k"].isin(*DISCLOSURE_KEYS))))
+    query = F.array_join(F.transform(kept, lambda p: F.concat_ws("=", p["k"], p["v"])), "&")
+    return F.when(head.rlike("^https?://"), F.concat(head, path, F.when(F.size(kept) > 0, F.concat(F.lit("?"), query)).otherwise("")))
+
+
+def official_domain(x: Column) -> Column:
+    """The domain of an official site, or null for what is none: an address in numbers, localhost, a name without a dot."""
+    name = F.regexp_replace(F.lower(F.regexp_extract(F.trim(x), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*://)?([^/:?#]*)", 1)), r"^\.+|\.+$", "")
+    name = F.regexp_replace(name, r"^www\.", "")
+    return F.when(name.contains(".") & ~name.rlike(r"^[0-9.]+$") & (name != "localhost"), name)
+
+
+LANGUAGES = ("en", "fr", "es", "de", "it", "pt", "zh", "ja", "ko")
+
+
+def locale_conflict(x: Column, language: str) -> Column:
+    """Whether a URL's first host label, or one of its first three path segments, names another language."""
+    label = F.regexp_extract(F.lower(x), r"://([^./:?#]*)", 1)
+    label = F.when(label == "zt", "zh").otherwise(label)
+    segments = F.slice(F.filter(F.split(F.regexp_extract(F.lower(x), r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/"), lambda s: s != ""), 1, 3)
+    named = F.filter(F.transform(segments, lambda s: F.substring_index(F.translate(s, "_", "-"), "-", 1)), lambda s: s.isin(*LANGUAGES))
+    return (label.isin(*LANGUAGES) & (label != language)) | F.coalesce(F.get(named, F.lit(0)) != language, F.lit(False))
+
+
+def market_conflict(x: Column, country: str) -> Column:
+    """Whether a URL's host or path names markets, and not the one asked for."""
+    name = F.lower(F.regexp_extract(x, r"://([^/:?#]*)", 1))
+    segments = F.slice(F.filter(F.split(F.regexp_extract(F.lower(x), r"^[a-z]+://[^/?#]*([^?#]*)", 1), "/"), lambda s: s != ""), 1, 3)
+    found = lambda c: F.substring_index(name, ".", 1).isin(c) | name.endswith(f".{c}") | F.exists(segments, lambda s: F.translate(s, "_", "-").rlike(f"^([a-z]{{2}}-)?{c}$"))
+    other = {"ca": "us", "us": "ca"}[country]
+    return found(other) & ~found(country)
+
+
 def host(x: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_extract(x, r"://([^/:?#]*)", 1)), r"^www\.", "")
 

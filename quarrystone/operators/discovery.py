@@ -65,3 +65,33 @@ def siblings(variants: DataFrame, key: str, order: str, valid: Column, least: in
     counts = marked.groupBy(F.col(key).alias("_key")).agg(F.count_if("_valid").alias("_n"), F.min(order).alias("_first"))
     both = marked.join(counts, F.col(key) == F.col("_key")).withColumn("sibling", F.col("_n") >= least)
     return both.where((F.col("sibling") & F.col("_valid")) | (~F.col("sibling") & (F.col(order) == F.col("_first")))).drop("_valid", "_key", "_n", "_first")
+
+
+def drifted(observed: DataFrame) -> DataFrame:
+    """(source_id, issue_code, severity, expected_url, detected_url) of sources whose fetch failed, moved, or gave another type."""
+    failed, kind, given = F.col("final_url").isNull(), F.col("source_type"), F.lower(F.trim("content_type"))
+    fits = F.when(kind == "pdf", given.startswith("application/pdf")).when(kind == "html", given.startswith("text/html")).otherwise(True)
+    issue = lambda test, code, severity: F.when(test, F.struct(F.lit(code).alias("issue_code"), F.lit(severity).alias("severity")))
+    issues = F.array(issue(failed, "fetch_failed", "error"), issue(~failed & (F.col("final_url") != F.col("expected_url")), "final_url_changed", "warning"), issue(~failed & ~fits, "content_type_changed", "warning"))
+    return observed.select("source_id", "expected_url", F.col("final_url").alias("detected_url"), F.inline(F.array_compact(issues))).select("source_id", "issue_code", "severity", "expected_url", "detected_url")
+
+
+def refresh_differences(drift: DataFrame, unregistered: DataFrame, missing: DataFrame) -> DataFrame:
+    """Drift, links to what isn't registered, and sources not found again, as (change_type, severity, source_id, expected_url, detected_url), each once."""
+    warned = unregistered.select(F.lit("out_of_registry_link").alias("change_type"), F.lit("warning").alias("severity"), F.lit(None).cast("long").alias("source_id"), F.lit(None).cast("string").alias("expected_url"), "detected_url")
+    lost = missing.select(F.lit("source_missing_from_discovery").alias("change_type"), F.lit("warning").alias("severity"), "source_id", "expected_url", F.lit(None).cast("string").alias("detected_url"))
+    return drift.withColumnRenamed("issue_code", "change_type").unionByName(warned).unionByName(lost).distinct()
+
+
+def link_score(fingerprint: Column, weights: dict[str, int], excluded: list[str]) -> Column:
+    """The sum of the weights of words that a link's URL and anchor hold; an excluded word decides against it."""
+    score = F.lit(0)
+    for word, weight in weights.items():
+        score = score + F.when(fingerprint.contains(word), weight).otherwise(0)
+    return F.when(fingerprint.rlike("|".join(excluded)), -8).otherwise(score)
+
+
+def combined_score(heuristic: Column, relevance: Column, role: Column) -> Column:
+    """Twice the heuristic score, and the model's relevance and role where it gave them."""
+    bonus = F.when(role == "detail", 2.0).when(role == "supporting_html", -1.0).when(role == "irrelevant", -3.0).otherwise(0.0)
+    return heuristic * 2.0 + F.coalesce(relevance + bonus, F.lit(0.0))

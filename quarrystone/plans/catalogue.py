@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import admin, discovery, documents, lifecycle, public, quality, rates  # noqa: F401
+from quarrystone.plans import admin, discovery, documents, lifecycle, pages, public, quality, rates  # noqa: F401
 from quarrystone.plans.registry import QUERIES, SQL, Query
 
 
