@@ -22,6 +22,13 @@ def ranking(df: DataFrame, order: list[Column], size: int = 5, least: int = 3) -
     return top.withColumn("rank", F.row_number().over(one.orderBy(*order))).withColumn("_n", F.count("*").over(one)).where((F.col("_n") >= least) & (F.col("rank") <= size)).drop("_n")
 
 
+def or_top(df: DataFrame, test: Column, order: list[Column], size: int, instead: int) -> DataFrame:
+    """The first ``size`` rows that pass a test, as warnings; where none does, the first ``instead`` of all, as information."""
+    found = df.where(test).orderBy(*order).limit(size).withColumn("signal", F.lit("warning"))
+    others = df.orderBy(*order).limit(instead).withColumn("signal", F.lit("info"))
+    return found.unionByName(others.join(F.broadcast(found.agg(F.count("*").alias("_n"))), F.col("_n") == 0).drop("_n"))
+
+
 def breakdown(df: DataFrame, code: str) -> DataFrame:
     """code, n and share_percent of the total, for the non-blank values of a column."""
     counts = df.where(F.col(code).isNotNull() & (F.col(code) != "")).groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.operators import picks
+from quarrystone.operators import picks, state
 from quarrystone.plans.registry import query
 from quarrystone.sources.adapters import read, sql
 
@@ -233,12 +233,12 @@ def known_bank_codes(spark, sf_dir):
 @query(sql("""
 SELECT a.run_id, a.schedule_key, a.started_at, b.run_id AS next_run_id FROM run a JOIN run b ON a.schedule_key = b.schedule_key AND a.run_state = 'failed' AND b.run_state = 'completed' AND (b.started_at > a.started_at OR (b.started_at = a.started_at AND b.run_id > a.run_id)) AND b.started_at <= a.started_at + INTERVAL 20 DAY""", "run"))
 def run_recoveries(spark, sf_dir):
-    """Failed runs with the completed ones that followed soon on the same schedule: equality on the key, the rest as its residue."""
+    """Failed runs with the completed ones that followed within twenty days on the same schedule."""
     run = read(spark, sf_dir, "run")
     a = run.where("run_state = 'failed'").select("run_id", "schedule_key", "started_at")
-    b = run.where("run_state = 'completed'").select(F.col("run_id").alias("next_run_id"), F.col("schedule_key").alias("key"), F.col("started_at").alias("next_at"))
+    b = run.where("run_state = 'completed'").select(F.col("run_id").alias("next_run_id"), "schedule_key", F.col("started_at").alias("next_at"))
     later = F.struct("next_at", "next_run_id") > F.struct("started_at", "run_id")
-    return a.join(b, (F.col("schedule_key") == F.col("key")) & later & (F.col("next_at") <= F.col("started_at") + F.expr("INTERVAL 20 DAYS"))).select("run_id", "schedule_key", "started_at", "next_run_id")
+    return state.followed(a, b, "schedule_key", "started_at", "next_at", 20, later).select("run_id", "schedule_key", "started_at", "next_run_id")
 
 
 @query(sql("SELECT product_id FROM product WHERE subtype_code IS DISTINCT FROM 'standard' AND (bank_code, product_id) > ('B5', 'P5') AND regexp_matches(product_name, '^(red|blue) [a-z]+$')", "product"))

@@ -42,7 +42,7 @@ def product_upsert(spark, sf_dir):
 def product_merge(spark, sf_dir):
     current = picks.latest_per_key(read(spark, sf_dir, "version"), ["product_id"], [F.desc("version_no")])
     incoming = read(spark, sf_dir, "product").where("product_id NOT LIKE '%9'").select("product_id", F.coalesce("display_fee", "monthly_fee", F.lit(0.0)).alias("rate_value"), F.when(F.col("status") == "active", "A").otherwise("R").alias("note"))
-    return state.merged(current, incoming, "product_id", ["rate_value", "note"])
+    return state.merged(current, incoming, "product_id", ["rate_value", "note"]).select("product_id", "rate_value", "note")
 
 
 @query(sql("""
@@ -74,7 +74,7 @@ WITH r AS (SELECT *, row_number() OVER (PARTITION BY refresh_scope, country_code
 SELECT refresh_scope, country_code, CAST(count(*) FILTER (WHERE kept) AS BIGINT) AS n_kept, CAST(count(*) FILTER (WHERE NOT kept) AS BIGINT) AS n_removed FROM r GROUP BY 1, 2""", "refresh"))
 def snapshot_retention(spark, sf_dir):
     recent = F.col("attempted_at") >= F.lit(AS_OF).cast("timestamp") - F.expr("INTERVAL 14 DAYS")
-    kept = state.retained(read(spark, sf_dir, "refresh").where("refresh_status = 'completed'"), ["refresh_scope", "country_code"], [F.desc("refreshed_at"), F.desc("snapshot_id")], 2, recent)
+    kept = state.retained(read(spark, sf_dir, "refresh").where("refresh_status = 'completed'"), ["refresh_scope", "country_code"], [F.desc("refreshed_at"), F.desc("snapshot_id")], 2, recent, "snapshot_id")
     return kept.groupBy("refresh_scope", "country_code").agg(F.count_if("kept").alias("n_kept"), F.count_if(~F.col("kept")).alias("n_removed"))
 
 

@@ -95,6 +95,13 @@ VIEWS = {
         FROM (SELECT p_partkey AS k, CASE WHEN p_type IN ('PROMO', 'ECONOMY', 'MEDIUM') THEN 'deposit' ELSE 'lending' END AS family, CASE p_type WHEN 'SMALL' THEN 'mortgage' WHEN 'LARGE' THEN 'credit-card' WHEN 'MEDIUM' THEN 'gic' ELSE 'other' END AS kind,
                      CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_partkey * 37 % 12000 AS DOUBLE) / 100 END AS shown, concat(CAST(p_partkey % 13 AS STRING), '.', CAST(10 + p_size % 40 AS STRING)) AS r, concat(CAST(p_size % 29 AS STRING), '.', CAST(10 + p_partkey % 80 AS STRING)) AS s
               FROM {part})""",
+    "payload": """
+        SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id,
+               concat('{{"rate": "', CAST(p_size % 12 AS STRING), '.5", "fee": ', CAST(p_partkey % 20 AS STRING), ', "name": "', p_name, '", "flags": ["', CASE p_partkey % 3 WHEN 0 THEN 'online", "branch' WHEN 1 THEN 'phone' ELSE 'online", "phone", "app' END, '"]}}') AS payload,
+               CASE p_partkey % 4 WHEN 0 THEN NULL WHEN 1 THEN '{{}}' ELSE concat('{{"rate": "', CAST(p_size % 9 AS STRING), '.25", "note": "v', CAST(p_partkey % 5 AS STRING), '"}}') END AS version_payload,
+               concat('[{{"name": "rate", "value": "', CAST(p_size % 12 AS STRING), '.5"}}, {{"name": "fee", "value": "', CASE WHEN p_partkey % 6 = 0 THEN 'none' ELSE CAST(p_partkey % 20 AS STRING) END, '"}}', CASE WHEN p_partkey % 2 = 0 THEN ', {{"name": "term"}}' ELSE '' END, ']') AS fields,
+               concat('2026-0', CAST(1 + p_size % 9 AS STRING), '-', CAST(10 + p_partkey % 18 AS STRING), CASE p_partkey % 3 WHEN 0 THEN 'T10:30:00Z' WHEN 1 THEN ' 08:00:00' ELSE 'T23:59:59+00:00' END) AS verified_at
+        FROM {part}""",
 }
 
 NEEDS = {"product": ("bank",)}

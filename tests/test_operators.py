@@ -94,12 +94,6 @@ def test_snapshot_replacement_leaves_other_partitions(spark, tmp_path):
     assert {(r.v, r.c) for r in spark.read.parquet(path).collect()} == {(9, "CA"), (2, "US")}
 
 
-def test_merge_into_writes_beside(spark, tmp_path):
-    path = str(tmp_path / "m")
-    spark.createDataFrame([("a", 1)], "k string, v int").write.parquet(path)
-    new = sinks.merge_into(spark, spark.createDataFrame([("a", 2), ("b", 3)], "k string, v int"), path, "k", ["v"])
-    assert {(r.k, r.v) for r in spark.read.parquet(new).collect()} == {("a", 2), ("b", 3)}
-    assert spark.read.parquet(path).count() == 1
 
 
 def test_stream_gives_the_batch_result(spark, tmp_path):
