@@ -4,6 +4,15 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 and read again as the next stage's documents. All but the last return the columns of
 ``docs``. Labels, benchmarks and models are looked up anew in each stage; what a stage fits,
 it fits on its own input.
+
+* A null or empty text, and one without letters, has no language and goes in the first stage;
+  so no later one meets it in ``run``, though each takes it: it is linked like any other text,
+  has no windows and no secrets, and packs to its closing id.
+* Very long texts are read whole by every stage. Ties: equal sizes go to the language that
+  sorts first, the smallest id of linked documents stays, curve neighbours go by doc_id.
+* Rows that repeat each other are near copies: one of them stays. Documents without an id are
+  kept unless linked to one that has an id.
+* An empty table gives no rows. Further columns pass through all stages but the last.
 """
 
 from __future__ import annotations

@@ -33,6 +33,8 @@ from quarrystone.llm.html_blocks import Block, blocks
 
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 256, 64, 8, 24
 PAGES_TRAINED, EPOCHS, TOGETHER = 1400, 9, 64
+#: Blocks of one batch, padding included; a page with more is a batch of its own.
+CELLS = 1 << 15
 
 
 @functools.lru_cache(100_000)
@@ -150,8 +152,13 @@ class Labeller:
         """For each page, which of its blocks are main text."""
         out: list[np.ndarray] = [np.zeros(0, bool)] * len(pages)
         order = sorted((i for i, p in enumerate(pages) if p), key=lambda i: len(pages[i]))
-        for at in range(0, len(order), TOGETHER):
-            rows = order[at : at + TOGETHER]
+        at = 0
+        while at < len(order):
+            # pages come in order of their blocks: the last of a batch is its longest, to which all are padded
+            to = at + 1
+            while to < min(len(order), at + TOGETHER) and (to + 1 - at) * len(pages[order[to]]) <= CELLS:
+                to += 1
+            rows, at = order[at:to], to
             x, mask = padded([vectors(pages[i]) for i in rows])
             for i, s in zip(rows, self.scores(x, mask), strict=True):
                 out[i] = s[: len(pages[i])] >= 0.5

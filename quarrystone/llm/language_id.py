@@ -8,8 +8,9 @@ beyond ASCII tell nothing of the language: texts are lower-cased, and runs of th
 become one space.
 
 * Dictionaries are fitted on at most ``PER_LANGUAGE`` documents of each language (expected
-  number; those with the smallest hash of their id) and ``DOC_CHARS`` characters of each. This
-  bound is a parameter; predictions read whole texts.
+  number; those with the smallest hash of their id), ``DOC_CHARS`` characters of each, and hold
+  ``DICTIONARY_BYTES`` bytes at most, since a dictionary's size is part of the method. These
+  bounds of the model are parameters; predictions read whole texts.
 * ``und`` is returned for a null text and for one without any letter, with score 0; so it is
   for every text where no document has a language to learn.
 * Rows are never dropped by ``predict``; repeated rows are repeated; columns other than those

@@ -15,6 +15,8 @@ labelled documents.
 * Labels are learnt only from documents that are not held out, at most ``LABELLED`` rows of
   each label (expected number; those with the smallest hashes of their id). Misspellings that
   such documents without toxicity hold count as ordinary words. Scores read whole texts.
+* The lexicon has at most ``TERMS`` terms, those with the highest weights, taken from the 20 times as
+  many that most toxic documents of the sample hold: a bound of the model, not of what is scored.
 * A null or empty text, and a text without hits, gets the score of no hits. Where there are no
   toxic labels to learn from, that score is 0. Rows of ``labels`` with a null are left out.
 * Repeated rows are repeated; an empty table gives no rows. Of ``docs`` only doc_id and text
@@ -40,6 +42,8 @@ LABELLED = 5000
 #: Letters of beginnings; share of the toxic documents that a term needs (and how many at least: copies of a few repeat
 #: all their words); logarithm of how much more often toxic documents hold it; terms kept.
 STEMS, COMMON, LEAST, ODDS, TERMS = range(4, 9), 0.02, 4, 2.0, 1000
+#: States of the automata that a worker keeps before it makes them anew.
+STATES = 50_000
 #: Letters from which a word may be one, or two, edits away from a term. Beginnings must match exactly.
 ONE_EDIT, TWO_EDITS = 5, 9
 WINDOW, QUOTED, FUZZY, NEAR, REPEATED = 12, 0.3, 0.7, 1.25, 0.2
@@ -88,6 +92,10 @@ class Matcher:
 
     def __init__(self, trie: Trie):
         self.trie = trie
+        self.clear()
+
+    def clear(self) -> None:
+        """Forgets all states but the first; they are made anew when they are met."""
         self.sets: list[frozenset] = []
         self.numbers: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
@@ -151,6 +159,8 @@ class Matcher:
 
     def weights(self, word: str) -> tuple[float, float]:
         """Weights of the heaviest terms that ``word`` is, and that it is near."""
+        if len(self.sets) > STATES:
+            self.clear()
         state = self.start
         for letter in word:
             known = self.steps[state]

@@ -107,6 +107,15 @@ def test_html_text_finds_articles(spark):
     assert right >= 0.96 * len(got)
 
 
+def test_html_labels_do_not_depend_on_batches(monkeypatch):
+    made = html_text.Maker(5)
+    pages = [blocks(f"<div class=nav><p>{made.words(3)}</p></div>" + "".join(f"<p>{made.words(k % 9 + 3)}</p>" for k in range(n))) for n in (1, 3, 400, 2, 40, 7)] + [[]]
+    net = html_text.trained()
+    whole = net.label(pages)
+    monkeypatch.setattr(html_text, "CELLS", 60)
+    assert all((a == b).all() for a, b in zip(whole, net.label(pages), strict=True)) and [len(x) for x in whole] == [len(p) for p in pages]
+
+
 def test_html_text_of_odd_pages(spark):
     long = "<article>" + "".join(f"<p>This is paragraph number {i} of a long story, told in plain words.</p>" for i in range(3000)) + "</article>"
     pages = spark.createDataFrame([(1, None, None), (2, "u", ""), (3, "u", "   "), (4, "u", long), (4, "u", long)], "page_id long, url string, html string")
@@ -212,6 +221,14 @@ def test_automaton_is_edit_distance():
     assert matcher.weights("loweichaft") == (1.0, 0.0) and matcher.weights("lower") == (0.0, 0.0)
 
 
+def test_automaton_made_anew_gives_the_same(monkeypatch):
+    matcher = toxicity.Matcher(toxicity.Trie({"idiot": 1.0, "moron": 0.5, "worthless": 0.8}))
+    words = ["idiot", "idiiot", "moronn", "wrothless", "house", "idi", "mormon", "worthles"]
+    want = [matcher.weights(w) for w in words]
+    monkeypatch.setattr(toxicity, "STATES", 3)
+    assert [matcher.weights(w) for w in words * 2] == want * 2 and len(matcher.sets) < 60
+
+
 def test_quotation_weighs_less():
     scorer = toxicity.Scorer({"idiot": 1.0, "scum": 1.0}, set(), 1.0, 0.0)
     plain, quoted, told, many = scorer.severities(pa.array(["you are an idiot today", "the sign has “ an idiot ” on it", "she said idiot once", "idiot and scum, idiot"]))
