@@ -6,6 +6,7 @@ import html
 import itertools
 import random
 import re
+import string
 import zlib
 
 import numpy as np
@@ -13,6 +14,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import xxhash
+import zstandard
 from pyspark.sql import functions as F
 
 from quarrystone.llm import chunk_dedup, decontaminate, fingerprint, html_text, language_id, packing, secrets, simhash_dedup, toxicity, warc
@@ -260,6 +262,24 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
 
 
+def brute_language(text, content):
+    """The language under whose dictionary a text, in pieces of 4096 bytes, is smallest; the first of equals."""
+    if not re.search(r"[^\W\d_]", text or ""):
+        return "und"
+    data = " ".join(re.split(r"[\x00-\x60\x7b-\x7f]+", text.lower())).strip(" ").encode()
+    params = zstandard.ZstdCompressionParameters.from_level(language_id.LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+    size = lambda lang: sum(len(zstandard.ZstdCompressor(compression_params=params, dict_data=zstandard.ZstdCompressionDict(content[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)).compress(data[k : k + 4096])) for k in range(0, max(1, len(data)), 4096))
+    return min(sorted(content), key=size)
+
+
+def test_language_is_that_of_brute_force(spark, docs, texts):
+    content = language_id.fit(docs)
+    content["zz"] = content[sorted(content)[0]]  # ties go to the language that sorts first
+    got = {r.doc_id: r.lang_pred for r in language_id.predict(docs, content).collect()}
+    some = sorted(texts)[:60]
+    assert {i: got[i] for i in some} == {i: brute_language(texts[i], content) for i in some} and "zz" not in got.values()
+
+
 def test_language_of_odd_rows(odd):
     content = language_id.fit(odd)
     assert all(len(c) <= language_id.DICTIONARY_BYTES for c in content.values()) and set(content) <= {"en", "de", "fr"}
@@ -514,15 +534,56 @@ def test_secret_patterns_on_made_texts():
 
 def test_secret_network_on_unseen_findings():
     network = secrets.Network()
-    x, y = secrets.generated(1200, 1)
+    x, y, _ = secrets.generated(1200, 1)
     network.fit(np.array(x), np.array(y))
-    x, y = (np.array(a) for a in secrets.generated(600, 2))
+    x, y = (np.array(a) for a in secrets.generated(600, 2)[:2])
     network.calibrate(x, y, secrets.RECALL)
-    x, y = (np.array(a) for a in secrets.generated(600, 3))
+    x, y = (np.array(a) for a in secrets.generated(600, 3)[:2])
     found = network.scores(x) >= network.threshold
     assert found[y == 1].mean() > 0.85 and found[y == 0].mean() < 0.1
 
 
+def brute_model_spans(text, network):
+    """Every candidate by itself, every 40 characters of it (each half further) by themselves."""
+    found = []
+    base = [(s, e) for s, _, e in secrets.base_spans(text)]
+    for m in re.finditer(rb"[A-Za-z0-9+/_=-]{16,}", text):
+        start, end = m.span()
+        at = [start] if end - start <= 40 else [*range(start, end - 40, 20), end - 40]
+        best = max(network.scores(secrets.view(text, a, min(end, a + 40))[None])[0] for a in at)
+        if best >= network.threshold and not any(s < end and start < e for s, e in base):
+            found.append((start, 3, end))
+    return found
+
+
+def test_secret_model_spans_on_planted_keys(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where("text is not null and length(text) > 100")
+    network, r, letters = secrets.train(docs), random.Random(77), string.ascii_letters + string.digits
+    texts = [d.text for d in docs.orderBy("doc_id").limit(300).collect()]
+    some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
+    kinds = [lambda: "ghp_" + some(letters, 36), lambda: "sk_live_" + some(letters, 24), lambda: some(letters + "+/", 40), lambda: some("0123456789ABCDEF", 40), lambda: some(string.ascii_letters, 32), lambda: "/hooks/services/" + some(letters, 40)]
+    assert not any(k == 3 for own in secrets.spans_of([t.encode() for t in texts], network) for _, k, _ in own)
+    planted, keys = [], []
+    for k in range(120):
+        text, key = r.choice(texts), kinds[k % len(kinds)]()
+        at = text.find(" ", r.randrange(len(text) // 2)) + 1
+        planted.append(text[:at] + key + " " + text[at:])
+        keys.append((at, at + len(key)))
+    got = list(secrets.spans_of([t.encode() for t in planted], network))
+    assert np.mean([any(k == 3 and s < z and a < e for s, k, e in own) for own, (a, z) in zip(got, keys, strict=True)]) > 0.9
+    for text, own in zip(planted, got, strict=True):
+        data = text.encode()
+        chars = [len(data[:k].decode("utf-8", "ignore")) for k in range(len(data) + 1)] if not data.isascii() else range(len(data) + 1)
+        assert [(s, k, e) for s, k, e in own if k == 3] == [(chars[s], k, chars[e]) for s, k, e in brute_model_spans(data, network)]
+
+
+def test_secrets_of_a_text_with_very_many_candidates():
+    network = secrets.Network()
+    network.threshold = 0.0
+    text = b" ".join(b"candidate-%015d" % k for k in range(20_000))
+    assert len(next(secrets.spans_of([text], network))) == 20_000
+
+
 def test_secret_keys_after_paths_and_without_digits(spark):
     r = random.Random(6)
     some = lambda letters, n: "".join(r.choices(letters, k=n)).encode()
