@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import admin, discovery, documents, gates, lifecycle, pages, public, quality, rates, records  # noqa: F401
+from quarrystone.plans import admin, discovery, documents, gates, lifecycle, pages, public, quality, rates, records, supplements  # noqa: F401
 from quarrystone.plans.registry import QUERIES, SQL, Query
 
 
