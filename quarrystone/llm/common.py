@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _own_dir: str | None = None
+#: Paths in the shared folder that this process has made.
+_made: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -57,7 +59,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 def shared_path(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def written(df: DataFrame, what: str) -> DataFrame:
@@ -75,6 +78,12 @@ def drop_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Deletes all that this process has made in the shared folder: to be called when the results that read it are saved."""
+    while _made:
+        drop_path(spark, _made.pop())
+
+
 def freed() -> None:
     """Gives back what Arrow's pool keeps for later: called where a task ends, since its worker lives on."""
     pa.default_memory_pool().release_unused()

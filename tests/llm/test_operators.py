@@ -17,7 +17,7 @@ import xxhash
 import zstandard
 from pyspark.sql import functions as F
 
-from quarrystone.llm import chunk_dedup, decontaminate, fingerprint, html_text, language_id, packing, secrets, simhash_dedup, toxicity, warc
+from quarrystone.llm import chunk_dedup, common, decontaminate, fingerprint, html_text, language_id, packing, secrets, simhash_dedup, toxicity, warc
 from quarrystone.llm.graph import components
 from quarrystone.llm.html_blocks import blocks
 
@@ -51,6 +51,15 @@ def empty(df):
     return df.limit(0)
 
 
+def test_what_was_made_can_be_cleared(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(common, "_made", [])
+    monkeypatch.setattr(common, "_own_dir", str(tmp_path))
+    kept = common.written(spark.range(3), "numbers")
+    assert kept.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    common.clear(spark)
+    assert not list(tmp_path.iterdir()) and common._made == []
+
+
 # 1
 
 
