@@ -15,6 +15,7 @@ import pyarrow as pa
 import pytest
 import xxhash
 import zstandard
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from quarrystone.llm import chunk_dedup, common, decontaminate, fingerprint, html_text, language_id, packing, secrets, simhash_dedup, toxicity, warc
@@ -51,13 +52,15 @@ def empty(df):
     return df.limit(0)
 
 
-def test_what_was_made_can_be_cleared(spark, tmp_path, monkeypatch):
+def test_what_was_made_can_be_cleared(spark, monkeypatch):
     monkeypatch.setattr(common, "_made", [])
-    monkeypatch.setattr(common, "_own_dir", str(tmp_path))
     kept = common.written(spark.range(3), "numbers")
-    assert kept.count() == 3 and len(list(tmp_path.iterdir())) == 1
+    path = common._made[0]
+    assert kept.count() == 3 and spark.read.parquet(path).count() == 3
     common.clear(spark)
-    assert not list(tmp_path.iterdir()) and common._made == []
+    assert common._made == []
+    with pytest.raises(AnalysisException):
+        spark.read.parquet(path)
 
 
 # 1
