@@ -109,6 +109,16 @@ def test_stream_gives_the_batch_result(spark, tmp_path):
     assert spark.table("days").agg(F.sum("n")).first()[0] == events.count() + 50
 
 
+def test_stream_of_sessions(spark, tmp_path):
+    rows = [(1, "2024-01-01 10:00:00", 7), (2, "2024-01-01 10:20:00", 7), (3, "2024-01-01 11:00:00", 7), (4, "2024-01-01 10:00:00", 8)]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "user_id", F.lit("x").alias("event_type"), F.lit(1.0).alias("value"), F.lit("{}").alias("props"))
+    df.write.parquet(str(tmp_path / "src"))
+    query = usage.sessions(usage.events(spark, str(tmp_path / "src"))).writeStream.format("memory").queryName("sessions").outputMode("complete").start()
+    query.processAllAvailable()
+    query.stop()
+    assert sorted((r.user_id, r.n) for r in spark.table("sessions").collect()) == [(7, 1), (7, 2), (8, 1)]
+
+
 def test_links_of_odd_pages(spark):
     rows = [(1, "http://www.a.example/x", '<a href="/p">p</a><A class=b HREF=\'http://a.example/f.PDF?x=1\'>f</A><a href="/p">again</a><a href="mailto:x@y">m</a><a href="">e</a><a href="#t">t</a><a href="http://b.example/">b</a>'), (2, None, None), (3, "u", "")]
     got = {(r.page_id, r.target): (r.kind, r.internal) for r in discovery.links(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
