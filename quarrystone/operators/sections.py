@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Iterator
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -139,11 +141,68 @@ def slug(text: str) -> str:
     return re.sub("[^a-z0-9]+", "-", text.lower()).strip("-") or "section"
 
 
+class _Scripts(HTMLParser):
+    """JSON in scripts of a page, and in its data attributes."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: list[str] = []
+        self.inside = False
+
+    def handle_starttag(self, tag, attrs):
+        given = dict(attrs)
+        self.inside = tag == "script" and (given.get("type") or "").lower().endswith("json")
+        if self.inside:
+            self.found.append("")
+        self.found += [v for k, v in attrs if k.startswith("data-") and v and v.lstrip()[:1] in "{["]
+
+    def handle_endtag(self, tag):
+        if tag == "script":
+            self.inside = False
+
+    def handle_data(self, data):
+        if self.inside:
+            self.found[-1] += data
+
+
+#: Keys of structured data whose texts a reader of the page would see.
+SHOWN = ("headline", "name", "title", "description", "text", "label", "value", "body", "content")
+
+
+def structured_texts(html: str) -> list[str]:
+    """One text for each JSON object of a page that shows any: the texts under ``SHOWN`` keys in their order, markup taken off; what isn't JSON is passed over."""
+    reader, out = _Scripts(), []
+    reader.feed(html)
+    reader.close()
+    for source in reader.found:
+        try:
+            top = json.loads(source)
+        except (ValueError, RecursionError):
+            continue
+        lines: dict[str, None] = {}
+        waiting = [top]
+        while waiting:
+            at = waiting.pop()
+            if isinstance(at, list):
+                waiting.extend(reversed(at))
+            elif isinstance(at, dict):
+                for key, value in at.items():
+                    if key in SHOWN and isinstance(value, (str, int, float)) and not isinstance(value, bool):
+                        text = " ".join(unescape(re.sub("<[^>]*>", " ", str(value))).split())
+                        if text:
+                            lines.setdefault(text)
+                waiting.extend(v for v in reversed(list(at.values())) if isinstance(v, (dict, list)))
+        if lines:
+            out.append("\n".join(lines))
+    return list(dict.fromkeys(out))
+
+
 SECTIONS = "page_id long, section_index int, anchor string, text string, start int, stop int"
 
 
 def sections(pages: DataFrame) -> DataFrame:
     """(page_id, section_index, anchor, text, start, stop) of every page; places count in the sections' texts joined by an empty line.
+    Texts of structured data follow the sections.
 
     A tree of tags is beyond SQL, so Python reads each page; pages stay where they are. A null
     or empty page has no sections.
@@ -154,8 +213,9 @@ def sections(pages: DataFrame) -> DataFrame:
             rows = []
             for page_id, html in zip(f.page_id, f.html.fillna(""), strict=True):
                 at = 0
-                for k, (heading, text) in enumerate(sections_of(html)):
-                    rows.append((page_id, k, slug(heading), text, at, at + len(text)))
+                own = [(slug(heading), text) for heading, text in sections_of(html)] + [(f"structured-component-{k}", text) for k, text in enumerate(structured_texts(html), 1)]
+                for k, (anchor, text) in enumerate(own):
+                    rows.append((page_id, k, anchor, text, at, at + len(text)))
                     at += len(text) + 2
             yield pd.DataFrame(rows, columns=["page_id", "section_index", "anchor", "text", "start", "stop"])
 

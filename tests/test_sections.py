@@ -19,6 +19,12 @@ def test_odd_pages(html, want):
     assert got == want or [(h, t.replace(" ", "")) for h, t in got] == want
 
 
+def test_structured_texts():
+    html = """<script type="application/ld+json">{"@type": "Product", "name": "Card &amp; more", "offers": [{"description": "<b>No</b> fee", "price": 3}, {"value": 4.5}], "url": "x"}</script>
+<div data-props='{"title": "Rate", "nested": {"text": "5%", "flag": true}}' data-id="7"></div><script type="application/json">{broken</script><script>var a = {"name": "no"};</script><script type="text/json">[]</script>"""
+    assert sections.structured_texts(html) == ["Card & more\nNo fee\n4.5", "Rate\n5%"] and sections.structured_texts("") == []
+
+
 def test_sections_and_chunks_of_a_table(spark):
     pages = spark.createDataFrame([(1, PAGE), (2, None), (3, ""), (4, "<h1>Long</h1><p>" + "word " * 600 + "</p>"), (4, "<p>x</p>")], "page_id long, html string")
     parts = sections.sections(pages)
