@@ -84,6 +84,12 @@ def clear(spark: SparkSession) -> None:
         drop_path(spark, _made.pop())
 
 
+def replaced(df: DataFrame, added: dict[str, str]) -> DataFrame:
+    """``df`` with the columns ``added`` (name: type) last, null as yet, in place of any that have their names."""
+    lowered = {name.lower() for name in added}
+    return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in lowered), *(F.lit(None).cast(kind).alias(name) for name, kind in added.items()))
+
+
 def freed() -> None:
     """Gives back what Arrow's pool keeps for later: called where a task ends, since its worker lives on."""
     pa.default_memory_pool().release_unused()

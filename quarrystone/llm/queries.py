@@ -7,11 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrystone.llm import chunk_dedup, decontaminate, fingerprint, html_text, language_id, packing, secrets, simhash_dedup, toxicity, warc
+from quarrystone.llm import chunk_dedup, decontaminate, fingerprint, html_text, importance, infill, language_id, packing, piece_codec, secrets, simhash_dedup, toxicity, warc
 from quarrystone.llm.common import table
 
 #: The vocabulary that the packing query counts with.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+#: The vocabulary that texts are encoded and decoded with.
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +59,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+def op11_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_codec.report(table(spark, sf_dir, "documents"), PIECES)
+
+
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill.report(table(spark, sf_dir, "documents"))
+
+
+def op13_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -69,6 +83,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_decontaminate": op8_decontaminate,
         "op9_secrets": op9_secrets,
         "op10_packing": op10_packing,
+        "op11_sentencepiece": op11_sentencepiece,
+        "op12_fill_in_middle": op12_fill_in_middle,
+        "op13_importance": op13_importance,
     }
 
 
@@ -76,4 +93,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_warc": warc.SQL,
         "op8_decontaminate": decontaminate.SQL,
+        "op12_fill_in_middle": infill.SQL,
     }

@@ -48,7 +48,7 @@ def test_run_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
-@pytest.mark.parametrize("name", ["op1_warc", "op8_decontaminate"])
+@pytest.mark.parametrize("name", ["op1_warc", "op8_decontaminate", "op12_fill_in_middle"])
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "pages", "benchmark"):
@@ -61,5 +61,5 @@ def test_query_matches_sql(spark, name):
 
 def test_all_queries_are_there():
     names = __spark_entry__.queries()
-    assert {f"op{n}" for n in range(1, 11)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
+    assert {f"op{n}" for n in range(1, 14)} == {n.split("_")[0] for n in names if n.startswith("op")} and "pipeline" in names
     assert secrets.KINDS[:3] == ("assign", "access", "hex")
