@@ -14,7 +14,8 @@ chunks that it fixes, whatever stands around it, are seeds. Such runs are compar
 digest, with the runs that have the same rarest seed: runs that share a seed travel as one row,
 sorted by it. Seeds that more than ``BOUNDED`` chunks have are taken another way: equal rows
 become one by partial aggregation, the runs of different rows are compared, and a join that
-Spark splits when skewed hands on what is found. Overlapping repeats make a span, with the document of smallest id that holds the span's first run of words.
+Spark splits when skewed hands on what is found. Overlapping repeats that have one first
+holder, the document of smallest id that holds them, make a span; where the holder changes, spans overlap.
 
 * Every passage of ``WORDS`` words or more that two documents hold is reported, from its first
   whole word to its last. Words lie between ASCII white space; each character of U+3000 to
@@ -38,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import sliced, texts_of, written
+from quarrystone.llm.common import sliced, texts_of, unused, written
 
 #: Bytes that a hash depends on; word ends of which one is picked.
 WINDOW, AHEAD = 8, 23
@@ -266,7 +267,7 @@ def repeats(docs: DataFrame, bounded: int = BOUNDED) -> DataFrame:
     """(doc_id, start, stop, n_chars, n_chunks, first_doc, kept, text_hash): the repeated spans of every document.
 
     ``n_chunks`` counts the span's repeated runs of ``WORDS`` words. ``kept`` is true where the
-    document itself is the first to hold the span's first one. What repeats is found by partial
+    document itself is the first to hold them. What repeats is found by partial
     aggregation, so a chunk that very many documents hold costs each task one row; the joins
     that hand this on are ones that Spark splits when skewed.
     """
@@ -278,14 +279,16 @@ def repeats(docs: DataFrame, bounded: int = BOUNDED) -> DataFrame:
     ids = written(own.groupBy("row", "doc_id").agg(F.count("*").alias("n")), "texts")
     texts = ids.groupBy("row").agg(F.min("doc_id").alias("least"), F.sum(F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1)).alias("copies"))
     asked = texts.join(marks, "row", "left").where("copies > 1 or marks is not null").withColumnRenamed("row", "asked_row")
-    runs = written(compared(own.hint("merge").join(asked, (F.col("row") == F.col("asked_row")) & F.col("doc_id").eqNullSafe(F.col("least")))), "runs")
+    # rows of one text become one before they are shuffled
+    distinct = own.groupBy("row").agg(F.min("text").alias("text"))
+    runs = written(compared(distinct.hint("merge").join(asked, F.col("row") == F.col("asked_row"))), "runs")
     whole = runs.where("seed is null").select("row", "least", F.col("starts")[0].alias("start"), F.col("stops")[0].alias("stop"), "words", F.col("least").alias("first_least"), F.col("row").alias("first_row"))
     held = resolved(runs.where(F.col("n") <= bounded)).union(resolved_at_large(runs.where(F.col("n") > bounded))).union(whole)
-    by_row = Window.partitionBy("row").orderBy("start", "stop")
+    by_row = Window.partitionBy("row", "first_least", "first_row").orderBy("start", "stop")
     before = F.max("stop").over(by_row.rowsBetween(Window.unboundedPreceding, -1))
     spans = held.withColumn("new", F.when(F.col("start") <= before, 0).otherwise(1)).withColumn("span", F.sum("new").over(by_row.rowsBetween(Window.unboundedPreceding, 0)))
-    first = F.struct("start", F.col("first_least").isNull().alias("unnamed"), "first_least", "first_row")
-    found = written(spans.groupBy("row", "span").agg(F.min("least").alias("least"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_chunks"), F.min(first).alias("first")), "spans")
+    first = F.struct(F.col("first_least").isNull().alias("unnamed"), "first_least", "first_row")
+    found = written(spans.groupBy("row", "first_least", "first_row", "span").agg(F.min("least").alias("least"), F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("words").alias("n_chunks"), F.min(first).alias("first")).drop("first_least", "first_row", "span"), "spans")
     # a text of one document has that as its least; those of very many are dealt by id
     alone = found.join(texts.where("copies > 1").select("row"), "row", "left_anti").withColumn("doc_id", F.col("least"))
     many = ids.join(texts.where("copies > 1").select("row"), "row", "left_semi").select("row", F.when(F.col("doc_id").isNull(), F.col("n")).otherwise(1).alias("rows"), "doc_id").hint("merge").join(found, "row")
@@ -301,6 +304,15 @@ def repeats(docs: DataFrame, bounded: int = BOUNDED) -> DataFrame:
 
 def without_repeats(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """``docs`` with the spans that an earlier document holds cut out of their texts."""
-    cut = spans.where("not kept").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias("cuts")).withColumnsRenamed({"doc_id": "cut_id", "text_hash": "cut_hash"})
-    kept = F.expr("concat_ws('', transform(sequence(0, size(cuts)), i -> substring(text, if(i = 0, 0, cuts[greatest(i, 1) - 1].stop) + 1, if(i = size(cuts), length(text), cuts[least(i, size(cuts) - 1)].start) - if(i = 0, 0, cuts[greatest(i, 1) - 1].stop))))")
-    return docs.join(cut, docs["doc_id"].eqNullSafe(cut["cut_id"]) & (F.xxhash64(docs["text"]) == cut["cut_hash"]), "left").withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(kept)).drop("cuts", "cut_id", "cut_hash")
+    cuts, cut_id, cut_hash = unused(docs, "cuts", "cut_id", "cut_hash")
+    cut = spans.where("not kept").groupBy("doc_id", "text_hash").agg(F.sort_array(F.collect_set(F.struct("start", "stop"))).alias(cuts)).withColumnsRenamed({"doc_id": cut_id, "text_hash": cut_hash})
+    text = F.col("text")
+    # from cut to cut: how far the text is done, and what of it stays
+    passed = F.aggregate(
+        cuts,
+        F.struct(F.lit(0).alias("upto"), F.array().cast("array<string>").alias("kept")),
+        lambda done, c: F.struct(F.greatest(done["upto"], c["stop"].cast("int")).alias("upto"), F.array_append(done["kept"], text.substr(done["upto"] + 1, F.greatest(c["start"].cast("int") - done["upto"], F.lit(0)))).alias("kept")),
+        lambda done: F.array_join(F.array_append(done["kept"], text.substr(done["upto"] + 1, F.length(text))), ""),
+    )
+    joined = docs.join(cut, F.col("doc_id").eqNullSafe(F.col(cut_id)) & (F.xxhash64("text") == F.col(cut_hash)), "left")
+    return joined.withColumn("text", F.when(F.col(cuts).isNull(), text).otherwise(passed)).select(*docs.columns)

@@ -90,6 +90,17 @@ def replaced(df: DataFrame, added: dict[str, str]) -> DataFrame:
     return df.select(*(F.col(f"`{c}`") for c in df.columns if c.lower() not in lowered), *(F.lit(None).cast(kind).alias(name) for name, kind in added.items()))
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with underscores behind it until no column of ``df`` has it."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def freed() -> None:
     """Gives back what Arrow's pool keeps for later: called where a task ends, since its worker lives on."""
     pa.default_memory_pool().release_unused()

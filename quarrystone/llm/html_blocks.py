@@ -20,8 +20,8 @@ RAW_TAGS = ("script", "style", "noscript", "template", "title")
 ENDED_BY = {"p": (), "li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "option": ("select",)}
 
 TOKEN = re.compile(
-    r"<!--(?:.*?-->|.*\Z)"
-    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"<!--(?:-?>|.*?--!?>|.*\Z)"
+    r"|<(?P<raw>" + "|".join(RAW_TAGS) + r")(?=[\s/>])(?:(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>.*?(?:</(?P=raw)(?=[\s/>])[^>]*>|\Z)"
     r"|<(?P<close>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+|[^>]*+)>"
     r"|<[!?/](?:[^>]*>|[^>]*\Z)|<[a-zA-Z][^>]*\Z",
     re.DOTALL | re.IGNORECASE,

@@ -5,8 +5,8 @@ read as one Hilbert key, Spark range-sorts the documents by that key, and each r
 into sequences in curve order, so that a sequence holds neighbouring documents.
 
 * A null text counts as empty: its only id is the closing one.
-* Ties on the curve are broken by doc_id, so repeated rows stay side by side and a group of
-  copies is spread over as many ranges as its size asks for.
+* Ties on the curve are broken by doc_id, then by the row's number, so repeated rows stay side by
+  side and a group of copies is spread over as many ranges as its size asks for, with ids or without.
 * A document may be cut anywhere; each of its ids lies in exactly one piece.
 * Every sequence is full but the last of a range. That one is cut into sequences whose
   lengths are powers of two, which need no padding.
@@ -231,7 +231,7 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(curve_keys(b.column(1), project))], ["doc_id", "text", "curve"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(curve_keys(b.column(1), project))], ["doc_id", "text", "row", "curve"])
 
     names = [x.split()[0] for x in PIECE.split(",")]
 
@@ -254,10 +254,10 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int
             ids.clear()
 
     return (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .mapInArrow(keyed, "doc_id long, text string, curve long")
-        .repartitionByRange("curve", "doc_id")
-        .sortWithinPartitions("curve", "doc_id")
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
+        .mapInArrow(keyed, "doc_id long, text string, row long, curve long")
+        .repartitionByRange("curve", "doc_id", "row")
+        .sortWithinPartitions("curve", "doc_id", "row")
         .select("doc_id", "text")
         .mapInArrow(packed, PIECE)
     )

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import sliced, texts_of, written
+from quarrystone.llm.common import sliced, texts_of, unused, written
 from quarrystone.llm.graph import components
 
 WORDS, SEED = 3, 42
@@ -175,12 +175,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     text stays.
     """
     found = written(grouped(docs), "near-duplicates")
-    named = found.where("component_id = doc_id").groupBy("root", "doc_id").agg(F.min("fp").alias("kept_fp"), F.count("*").alias("kept_n")).select(F.col("doc_id").alias("kept_id"), "kept_fp", "kept_n")
-    unnamed = found.where("component_id is null").select(F.col("doc_id").alias("kept_id"), F.col("fp").alias("kept_fp"), F.lit(1).cast("long").alias("kept_n")).distinct()
-    keepers = written(named.union(unnamed), "keepers")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")) & (F.col("own_fp") == F.col("kept_fp"))
-    kept = printed(docs, "own_fp").join(keepers, same)
-    if keepers.where("kept_n > 1").limit(1).count():
-        first = Window.partitionBy("kept_id", "kept_fp").orderBy("text")
-        kept = kept.where("kept_n = 1").withColumn("kept_place", F.lit(1)).union(kept.where("kept_n > 1").withColumn("kept_place", F.row_number().over(first))).where("kept_place = 1")
+    kept_id, kept_fp, kept_n, own_fp, place = unused(docs, "kept_id", "kept_fp", "kept_n", "own_fp", "kept_place")
+    named = found.where("component_id = doc_id").groupBy("root", "doc_id").agg(F.min("fp").alias("fp"), F.count("*").alias("n")).select("doc_id", "fp", "n")
+    unnamed = found.where("component_id is null").select("doc_id", "fp", F.lit(1).cast("long").alias("n")).distinct()
+    keepers = written(named.union(unnamed).toDF(kept_id, kept_fp, kept_n), "keepers")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(kept_id)) & (F.col(own_fp) == F.col(kept_fp))
+    kept = printed(docs, own_fp).join(keepers, same)
+    if keepers.where(F.col(kept_n) > 1).limit(1).count():
+        first = Window.partitionBy(kept_id, kept_fp).orderBy("text")
+        alone, several = kept.where(F.col(kept_n) == 1).withColumn(place, F.lit(1)), kept.where(F.col(kept_n) > 1).withColumn(place, F.row_number().over(first))
+        kept = alone.union(several).where(F.col(place) == 1)
     return kept.select(*docs.columns)

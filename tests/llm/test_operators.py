@@ -109,6 +109,15 @@ def test_html_blocks_of_custom_elements_icons_and_formulas():
     assert texts("<title>no</title><style\n>no</style><script/>no</script><template>no</template><p>b") == ["b"]
 
 
+def test_html_blocks_of_odd_comments_and_raw_text():
+    texts = lambda page: [b.text for b in blocks(page)]
+    for comment in ("<!-->", "<!--->", "<!---->", "<!-- x --!>", "<!-- > <p>no</p> -->", "<!--x-->"):
+        assert texts(f"<p>a</p>{comment}b<p>c</p>") == ["a", "b", "c"], comment
+    assert texts("<p>a</p><!-- open <p>c</p>") == ["a"]
+    for raw in ("<script>no</script foo>", "<script>no</script\n>", "<script>no</scripty></script/>", '<script src="x>var a=1;</script>', "<style media='p>no</style>", "<script a=\"it's\">no</script>"):
+        assert texts(f"<p>a</p>{raw}<p>b</p>") == ["a", "b"], raw
+
+
 def test_html_text_finds_articles(spark):
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     got = {r.page_id: r for r in html_text.extract(pages.withColumn("text", F.lit("clash"))).collect()}
@@ -316,25 +325,36 @@ def test_boundaries_survive_insertions():
 
 
 def brute_repeats(rows):
-    """doc_id, start, stop, runs, first_doc, kept of every repeated span, from all runs of 51 words of distinct (id, text)."""
+    """doc_id, start, stop, first_doc, kept, runs of every repeated span, from all runs of 51 words of distinct (id, text).
+
+    Overlapping runs with one first holder make a span; a text of several documents is repeated as a whole, too.
+    """
     whole = collections.Counter()
     for i, t in rows:
         whole[i, t] = 1 if i is not None else whole[i, t] + 1
-    holders, own = collections.defaultdict(list), {}
+    holders, own, copies = collections.defaultdict(list), {}, collections.Counter()
     for (i, t), n in whole.items():
         words = [m.span() for m in re.finditer(r"[\u3000-\u9fff]|[^\s\u3000-\u9fff]+", t or "", re.ASCII)]
         own[i, t] = [(words[k][0], words[k + 50][1]) for k in range(len(words) - 50)]
+        copies[t] += n
         for a, z in set(own[i, t]):
-            holders[t[a:z]] += [(i is None, i or 0, t)] * n
+            holders[t[a:z]].append((i is None, i or 0, t))
     out = []
     for (i, t), n in whole.items():
-        spans = []
+        spans = {}
         for a, z in own[i, t]:
-            if len(set(holders[t[a:z]])) > 1 or i is None and holders[t[a:z]].count((True, 0, t)) > 1:
-                if not spans or a > spans[-1][1]:
-                    spans.append([a, z, min(holders[t[a:z]])])
-                spans[-1][1] = max(spans[-1][1], z)
-        out += [(i, a, z, None if first[0] else first[1], first[0] or i == first[1]) for a, z, first in spans] * n
+            first = min(holders[t[a:z]])
+            if len({h[2] for h in holders[t[a:z]]}) > 1:
+                mine = spans.setdefault(first, [])
+                if not mine or a > mine[-1][1]:
+                    mine.append([a, z, 0])
+                mine[-1][1] = max(mine[-1][1], z)
+                mine[-1][2] += 1
+        if copies[t] > 1 and own[i, t]:
+            least = min((j is None, j or 0, u) for j, u in whole if u == t)
+            mine = spans.setdefault(least, [])
+            spans[least] = [[own[i, t][0][0], own[i, t][-1][1], len(own[i, t]) + sum(m[2] for m in mine)]]
+        out += [(i, a, z, None if first[0] else first[1], first[0] or (i, t) == (first[1], first[2]), runs) for first, mine in spans.items() for a, z, runs in mine] * n
     return sorted(out, key=str)
 
 
@@ -357,7 +377,30 @@ def test_repeats_are_those_of_brute_force(spark, bounded):
     rows += [(None, " ".join(lone := words(80))), (None, " ".join(lone)), (94, " ".join(words(90) + lone[5:70])), (95, "".join(chr(0x4E00 + r.randrange(3000)) for _ in range(70)) * 2), (96, rows[-1][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("row", F.lit("clash")).withColumn("least", F.lit(1)).repartition(5)
     got = chunk_dedup.repeats(df, bounded).collect()
-    assert sorted([(g.doc_id, g.start, g.stop, g.first_doc, g.kept) for g in got], key=str) == brute_repeats(rows)
+    assert sorted([(g.doc_id, g.start, g.stop, g.first_doc, g.kept, g.n_chunks) for g in got], key=str) == brute_repeats(rows)
+    # each row keeps what no earlier document holds
+    cut = chunk_dedup.without_repeats(df.withColumn("cuts", F.lit(1)).withColumn("cut_ID", F.lit(2)).withColumn("upto", F.lit(3)), spark.createDataFrame(got, "doc_id long, start int, stop int, n_chars int, n_chunks long, first_doc long, kept boolean, text_hash long"))
+    assert cut.columns == ["doc_id", "text", "row", "least", "cuts", "cut_ID", "upto"]
+    gone = collections.defaultdict(set)
+    for i, a, z, _, kept, _ in brute_repeats(rows):
+        if not kept:
+            gone[i].update(range(a, z))
+    ids = collections.Counter(i for i, _ in set(rows))
+    want = sorted(("".join(c for k, c in enumerate(t or "") if k not in gone[i]) for i, t in rows if i is not None and ids[i] == 1 and t is not None))
+    assert sorted(r.text for r in cut.collect() if r.doc_id is not None and ids[r.doc_id] == 1 and r.text is not None) == want
+
+
+def test_a_passage_within_a_repeated_text_goes_with_its_first_holder(spark):
+    r = random.Random(14)
+    words = lambda n: " ".join("".join(r.choices("abcdefghijklmnop", k=r.randint(3, 9))) for _ in range(n))
+    passage, other = words(70), words(60)
+    text = f"{words(40)} {passage} {words(55)} {other} {words(20)}"
+    rows = [(1, f"{words(30)} {passage} {words(10)}"), (5, text), (6, text), (7, f"{words(5)} {other} {words(5)}"), (5, text)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = chunk_dedup.repeats(df).collect()
+    assert sorted([(g.doc_id, g.start, g.stop, g.first_doc, g.kept, g.n_chunks) for g in got], key=str) == brute_repeats(rows)
+    cut = {x.doc_id: x.text for x in chunk_dedup.without_repeats(df, spark.createDataFrame(got)).collect()}
+    assert cut[1] == rows[0][1] and cut[5] == text.replace(passage, "") and cut[6] == "" and cut[7] == rows[3][1].replace(other, "")
 
 
 def test_repeats_are_found_and_clean_documents_left(spark):
@@ -467,6 +510,17 @@ def test_one_is_kept_of_each_group_of_odd_ids(spark):
     assert kept(rows[:5]) == sorted(map(repr, want[:4]))
 
 
+def test_one_is_kept_whatever_the_further_columns_are_called(spark):
+    names = ["kept_id", "kept_fp", "kept_n", "own_fp", "KEPT_PLACE", "root", "component_id", "fp", "n", "spread", "least"]
+    rows = [(1, "a b c d"), (2, "A b c d"), (2, "A b c d"), (3, "other words than these here"), (3, "OTHER words than these here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", *[F.lit(f"own {n}").alias(n) for n in names])
+    kept = simhash_dedup.keep_one(df)
+    assert kept.columns == df.columns
+    got = kept.collect()
+    assert sorted((r.doc_id, r.text) for r in got) == [(1, "a b c d"), (3, "OTHER words than these here")]
+    assert all(r[n] == f"own {n}" for r in got for n in names)
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(0, 30)] + [(100, i) for i in range(101, 130)] + [(7, 7), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -656,6 +710,20 @@ def test_packing(spark, docs, texts, odd, encoder):
     assert packing.pack(empty(odd), path).count() == 0
 
 
+def test_equal_texts_without_ids_are_spread_over_ranges(spark):
+    r = random.Random(15)
+    rows = [(k, " ".join("".join(r.choices("abcdefgh", k=5)) for _ in range(12))) for k in range(2000)] + [(None, "the same few words")] * 2000
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        packed = packing.pack(df, public_tokenizers.path("byte_bpe_50k.json")).where("start = 0").collect()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    sizes = collections.Counter(p.sequence_id >> 40 for p in packed)
+    assert len(packed) == 4000 and max(sizes.values()) < 2 * np.median(list(sizes.values()))
+
+
 def test_ids_of_words_are_those_of_texts(encoder):
     texts = ["", None, " ", "a  b", "a \nb", "\na", "a\n", "a\nb", "a b c", "　x y", "\x1c a", "it's 's a's\nb's", "a\r\nb\tc d", "\n\nq", " lead", "trail ", "a\x85b \x85", "<|endoftext|> x", "é\nß 12ab", "a\n\nb c\n d"]
     assert [x.tolist() for x in encoder.of(pa.array(texts))] == encoder.encode([t or "" for t in texts])
