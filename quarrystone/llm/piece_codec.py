@@ -23,7 +23,7 @@ from __future__ import annotations
 
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,12 @@ SPACE = "▁"
 #: Kinds of pieces, and the type of a merge vocabulary, in the model's file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
-#: Characters of the longest stretch whose ids are kept, and of all kept ones before they are forgotten.
-STRETCH, KEPT = 64, 2 << 20
+#: Characters of the longest stretch whose ids are kept, and of those that are kept before the ones not met since are forgotten.
+STRETCH, KEPT = 64, 4 << 20
 #: Neighbours whose compatibility is kept, and text bytes encoded at a time.
 PAIRS, BLOCK_BYTES = 400_000, 4 << 20
+#: Characters of a text from which its stretches are cut out one by one.
+LONG = 1 << 20
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -95,6 +97,25 @@ class Vocabulary:
         self.unknown_surface = trainer.get(44, " ⁇ ".encode())
 
 
+class Kept(dict):
+    """Packed ids by stretch. When many are kept, those that were not met since the last time go."""
+
+    def __init__(self, of: Callable[[str], bytes]):
+        self.of, self.older, self.size = of, {}, 0
+
+    def __missing__(self, text: str) -> bytes:
+        found = self.older.get(text)
+        if found is None:
+            found = self.of(text)
+        if len(text) <= STRETCH:
+            if self.size > KEPT:
+                self.older, self.size = dict(self), 0
+                self.clear()
+            self[text] = found
+            self.size += len(text)
+        return found
+
+
 class Codec:
     """Encodes and decodes texts by one model file."""
 
@@ -117,9 +138,9 @@ class Codec:
         line = "" if "\n" in self.known else "\n"
         self.stretches = re.compile("(?s).+" if odd else f"{SPACE}*[^{SPACE}{line}]+|{SPACE}+|\n+")
         self.surfaces = [self.surface(i) for i in range(len(own.pieces))]
+        self.lengths = [len(p) for p in own.pieces]
         self.fits: dict[int, bool] = {}
-        self.kept: dict[str, bytes] = {}
-        self.kept_size = 0
+        self.kept = Kept(self.stretch)
 
     def merged(self, text: str) -> list[str]:
         """The parts that remain of ``text``, best score first, leftmost first; for the short texts of one or two pieces."""
@@ -136,43 +157,46 @@ class Codec:
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether two pieces side by side, taken apart and merged anew, are those two again."""
-        key = left << 32 | right
-        found = self.fits.get(key)
-        if found is None:
-            a, b = self.vocabulary.pieces[left], self.vocabulary.pieces[right]
-            if len(self.fits) >= PAIRS:
-                self.fits.clear()
-            found = self.fits[key] = self.merged(a + b) == [a, b]
+        a, b = self.vocabulary.pieces[left], self.vocabulary.pieces[right]
+        if len(self.fits) >= PAIRS:
+            self.fits.clear()
+        found = self.fits[left << 32 | right] = self.merged(a + b) == [a, b]
         return found
 
     def backtracked(self, text: str) -> list[int]:
         """Ids of a stretch whose characters are all known."""
-        n, pieces = len(text), self.vocabulary.pieces
+        n, lengths, shorter, fits = len(text), self.lengths, self.shorter, self.fits.get
         longest: list[int | None] = [None] * (n + 1)
         for end, i in self.automaton.iter(text):
-            longest[end + 1 - len(pieces[i])] = i  # ends come in order, so the last one is the longest
+            longest[end + 1 - lengths[i]] = i  # ends come in order, so the last one is the longest
         failed = bytearray(n // 8 + 1)
         out: list[int] = []
-        at, i = 0, longest[0]
+        at, i, last = 0, longest[0], None
         while at < n:
             while i is not None:
-                to = at + len(pieces[i])
-                if not failed[to >> 3] >> (to & 7) & 1 and (not out or self.compatible(out[-1], i)):
-                    break
-                i = self.shorter[i]
+                to = at + lengths[i]
+                if not failed[to >> 3] >> (to & 7) & 1:
+                    if last is None:
+                        break
+                    fit = fits(last << 32 | i)
+                    if fit or fit is None and self.compatible(last, i):
+                        break
+                i = shorter[i]
             if i is not None:
                 out.append(i)
-                at = to
+                at, last = to, i
                 i = longest[at]
             else:
                 failed[at >> 3] |= 1 << (at & 7)
-                last = out.pop()
-                at -= len(pieces[last])
-                i = self.shorter[last]
+                i = out.pop()
+                at -= lengths[i]
+                i, last = shorter[i], out[-1] if out else None
         return out
 
     def stretch(self, text: str) -> bytes:
         """Ids of a stretch, packed; characters that no piece holds are byte pieces."""
+        if self.known.issuperset(text):
+            return struct.pack(f"<{len(own)}I", *own) if len(own := self.backtracked(text)) < 64 else np.asarray(own, "<u4").tobytes()
         out: list[int] = []
         begin = 0
         for at, c in enumerate(text):
@@ -182,26 +206,15 @@ class Codec:
                 out += [self.byte_ids[b] for b in c.encode()]
                 begin = at + 1
         if begin < len(text):
-            out += self.backtracked(text[begin:] if begin else text)
+            out += self.backtracked(text[begin:])
         return np.asarray(out, "<u4").tobytes()
 
-    def __getitem__(self, text: str) -> bytes:
-        found = self.kept.get(text)
-        if found is None:
-            found = self.stretch(text)
-            if len(text) <= STRETCH:
-                if self.kept_size > KEPT:
-                    self.kept, self.kept_size = {}, 0
-                self.kept[text] = found
-                self.kept_size += len(text)
-        return found
-
     def encode(self, text: str) -> bytes:
         """All ids of ``text``, begin and end among them, as little-endian unsigned 32-bit integers."""
         ends = self.vocabulary.begin, self.vocabulary.end
         if text:
             text = (SPACE if self.vocabulary.dummy_prefix else "") + text.replace(" ", SPACE)
-        own = b"".join(self[m.group()] for m in self.stretches.finditer(text))
+        own = b"".join(map(self.kept.__getitem__, self.stretches.findall(text) if len(text) <= LONG else (m.group() for m in self.stretches.finditer(text))))
         return struct.pack("<I", ends[0]) + own + struct.pack("<I", ends[1])
 
     def surface(self, i: int) -> bytes:
