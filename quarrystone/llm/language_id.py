@@ -7,10 +7,10 @@ too close the text can be rejected. Case and everything that is neither an ASCII
 beyond ASCII tell nothing of the language: texts are lower-cased, and runs of the rest
 become one space.
 
-* Dictionaries are fitted on at most ``PER_LANGUAGE`` documents of each language (expected
-  number; those with the smallest hash of their id), ``DOC_CHARS`` characters of each, and hold
-  ``DICTIONARY_BYTES`` bytes at most, since a dictionary's size is part of the method. These
-  bounds of the model are parameters; predictions read whole texts.
+* Dictionaries are fitted on a bounded sample of labelled rows: some ``PER_LANGUAGE`` documents
+  of each language (expected number; those with the smallest hash of their id) among those of
+  at most ``LONGEST`` bytes, each of them whole. Both bounds are parameters; predictions read
+  whole texts.
 * ``und`` is returned for a null text and for one without any letter, with score 0; so it is
   for every text where no document has a language to learn.
 * Rows are never dropped by ``predict``; repeated rows are repeated; columns other than those
@@ -29,28 +29,28 @@ from pyspark.sql import functions as F
 
 from quarrystone.llm.common import held_out, sliced, texts_of
 
-PER_LANGUAGE, DOC_CHARS = 200, 250
-DICTIONARY_BYTES, LEVEL, PIECE = 48 << 10, 6, 4096
+PER_LANGUAGE, LONGEST = 100, 4096
+LEVEL, PIECE = 6, 4096
 #: Share of the second smallest size below which a margin is narrow.
 NARROW = 0.002
 UNKNOWN = "und"
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, doc_chars: int = DOC_CHARS) -> dict[str, bytes]:
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, longest: int = LONGEST) -> dict[str, bytes]:
     """Dictionary content by language, from documents that are not held out and have a language."""
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string")).where(~held_out() & F.col("lang").isNotNull() & (F.octet_length("text") <= longest))
     counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     if not counts:
         return {}
     # the hash of an id lies in 0 .. 2**31 - 1; the documents below a language's limit are its sample
     limits = F.create_map(*[x for lang, n in counts.items() for x in (F.lit(lang), F.lit(int(min(1.0, per_language / n) * 2**31)))])
     drawn = F.pmod(F.xxhash64("doc_id", F.lit("sample")), F.lit(2**31))
-    sample = rows.where(drawn < limits[F.col("lang")]).select("lang", drawn.alias("drawn"), F.substring("text", 1, doc_chars).alias("text")).collect()
-    content: dict[str, bytes] = {}
-    for lang in sorted(counts):
-        own = [letters(r["text"].encode()) for r in sorted((r for r in sample if r["lang"] == lang), key=lambda r: (r["drawn"], r["text"]))]
-        content[lang] = b"\n".join(own)[:DICTIONARY_BYTES]
-    return {lang: c for lang, c in content.items() if c}
+    # an id that very many rows have is one document
+    sample = rows.where(drawn < limits[F.col("lang")]).groupBy("lang", "doc_id", drawn.alias("drawn")).agg(F.min("text").alias("text")).collect()
+    own: dict[str, list[bytes]] = {lang: [] for lang in sorted(counts)}
+    for r in sorted(sample, key=lambda r: (r["drawn"], r["text"])):
+        own[r["lang"]].append(letters(r["text"].encode()))
+    return {lang: c for lang, texts in own.items() if (c := b"\n".join(texts).strip())}
 
 
 _SPACED = bytes(c if c > 127 or 97 <= c <= 122 else 32 for c in range(256))

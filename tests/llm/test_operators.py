@@ -283,6 +283,16 @@ def test_language_on_held_out_rows(spark):
     assert np.mean([r.lang_pred == r.lang for r in got]) > 0.97
 
 
+def test_language_is_learnt_from_whole_documents(spark):
+    rows = [(k, f"document number {'x' * k} has an end", "en") for k in range(30)] + [(None, "no id", "en")] * 50 + [(99, "y" * 5000, "en"), (100, None, "en"), (101, "unlabelled", None)]
+    content = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    learnt = [k for k in range(30) if zlib.crc32(str(k).encode()) % 4 != 2]
+    want = {f"document number {'x ' if k else ''}has an end".replace("x ", "x" * k + " ") for k in learnt} | {"no id"}
+    assert set(content["en"].decode().split("\n")) == want and content["en"].count(b"no id") == 1
+    few = language_id.fit(spark.createDataFrame([r for r in rows if r[0] is not None], "doc_id long, text string, lang string"), per_language=5)
+    assert 0 < len(few["en"].split(b"\n")) < 15
+
+
 def brute_language(text, content):
     """The language under whose dictionary a text, in pieces of 4096 bytes, is smallest; the first of equals."""
     if not re.search(r"[^\W\d_]", text or ""):
@@ -303,7 +313,7 @@ def test_language_is_that_of_brute_force(spark, docs, texts):
 
 def test_language_of_odd_rows(odd):
     content = language_id.fit(odd)
-    assert all(len(c) <= language_id.DICTIONARY_BYTES for c in content.values()) and set(content) <= {"en", "de", "fr"}
+    assert set(content) <= {"en", "de", "fr"} and b"same text for two rows of the table" in content["en"] and b"no id at all but words" in content["en"] and content["en"].count(b"one\n") <= 1
     got = language_id.predict(odd, content).collect()
     assert len(got) == len(ODD) and {r.lang_pred for r in got if r.doc_id in (1, 2, 3)} == {"und"} and all(0 <= r.score <= 1 for r in got)
     assert language_id.predict(empty(odd), content).count() == 0 and language_id.fit(empty(odd)) == {}
