@@ -15,29 +15,40 @@ def quoted(pattern: str) -> str:
     return "'" + pattern.replace("'", "''") + "'"
 
 
-def _day(x: str) -> str:
-    """A day in DuckDB's SQL, read from words."""
-    plain = rf"trim(regexp_replace(regexp_replace({x}, '([0-9])(st|nd|rd|th)', '\1'), '\s*,\s*|\s+', ' ', 'g'))"
-    return f"CAST(coalesce(try_strptime({plain}, '%Y-%m-%d'), try_strptime({plain}, '%B %d %Y'), try_strptime({plain}, '%b %d %Y')) AS DATE)"
+def _list(items) -> str:
+    return "[" + ", ".join(quoted(i) for i in items) + "]"
 
 
-def _expired(t: str) -> str:
-    days = [_day(f"regexp_extract({t}, {quoted(p)}, 1)") for p in rates.ENDS]
-    return f"CASE WHEN regexp_matches({t}, {quoted(rates.END_MARKS)}) THEN coalesce({', '.join(f'CASE WHEN {d} < reference_date THEN {d} END' for d in days)}) END"
+def _words(x: str) -> str:
+    """The words of a text, in DuckDB's SQL."""
+    for pattern, to in rates.STEPS:
+        x = f"regexp_replace({x}, {quoted(pattern)}, {quoted(to)}, 'g')"
+    return f"string_split_regex(trim({x}), ' +')"
 
 
-def _suppressed(value: str) -> str:
-    return f"CASE WHEN expired IS NOT NULL THEN 'expired_promotional_offer' WHEN no_rate THEN 'non_annual_return_context' WHEN {value} >= {rates.IMPLAUSIBLE} THEN 'implausible_annual_deposit_rate' END"
+def _any(x: str, phrases) -> str:
+    return f"len([1 for phrase in {_list(phrases)} if contains({x}, phrase)]) > 0"
 
 
-_TOTALS = [f"TRY_CAST(nullif(regexp_extract(t, {quoted(p)}, 1), '') AS DOUBLE)" for p in rates.TOTALS]
-_LEFT_OPEN = rf"regexp_matches(t, {quoted('(?i)' + rates.PLACEHOLDER + '|(?:^|[^a-z0-9])' + rates.MASKED + '(?:[^a-z0-9]|$)')})"
+def _beside(rule: rates.Beside) -> str:
+    tests = [f"list_has_any(w[greatest(i - {n}, 1):i - 1], {_list(g)})" for g, n in rule.before] + [f"list_has_any(w[i + 1:i + {n}], {_list(g)})" for g, n in rule.after]
+    if rule.never[1]:
+        tests.append(f"NOT list_has_any(w[greatest(i - {rule.never[1]}, 1):i - 1], {_list(rule.never[0])})")
+    return "(" + " AND ".join(tests) + ")"
 
 
-@query(sql(f"""
-WITH o AS (SELECT product_id, display_rate, reference_date, {T} AS t FROM offer), e AS (SELECT *, {_expired('t')} AS expired, regexp_matches(t, {quoted(rates.NOT_ANNUAL_RE)}) AS no_rate FROM o)
-SELECT product_id, {_suppressed('display_rate')} AS reason, expired AS expired_on, CASE WHEN regexp_matches(t, {quoted(rates.PROMO_MARKS)}) THEN coalesce({', '.join(f'CASE WHEN ({_suppressed(r)}) IS NULL THEN {r} END' for r in _TOTALS)}) END AS promotional_total,
-  {_LEFT_OPEN} AS left_open, NOT {_LEFT_OPEN} AND ({' OR '.join(f'regexp_matches(t, {quoted(p)})' for p in rates.EXPLICIT)}) AS explicit FROM e""", "offer"))
+_DAY_AFTER = rf"""CAST(coalesce(CASE WHEN regexp_matches(array_to_string(w[i + 1:i + 5], ''), '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}$') THEN try_strptime(array_to_string(w[i + 1:i + 5], ''), '%Y-%m-%d') END,
+  CASE WHEN list_contains({_list(rates.MONTH_WORDS)}, w[i + 1]) AND regexp_matches(w[i + 3], '^[0-9]{{4}}$') THEN try_strptime(substr(w[i + 1], 1, 3) || ' ' || regexp_replace(w[i + 2], '(st|nd|rd|th)$', '') || ' ' || w[i + 3], '%b %d %Y') END) AS DATE)"""
+_VALUE = "CAST(replace(w[i], '%', '') AS DOUBLE)"
+_TOTAL = ", ".join(f"[v for v in [{_VALUE} for i in f if {_beside(r)}] if v < {rates.IMPLAUSIBLE}][1]" for r in rates.TOTALS)
+
+
+@query(sql(rf"""
+WITH o AS (SELECT product_id, display_rate, reference_date, {T} AS t FROM offer), w AS (SELECT *, {_words('t')} AS w FROM o), f AS (SELECT *, [i for i in range(1, len(w) + 1) if regexp_matches(w[i], {quoted(rates.FIGURE)})] AS f FROM w),
+e AS (SELECT *, [d for d in [{_DAY_AFTER} for i in range(1, len(w) + 1) if list_contains({_list(rates.ENDING)}, w[i])] if d < reference_date][1] AS expired, {_any('t', rates.NOT_ANNUAL)} OR len([1 for i in f if {' OR '.join(map(_beside, rates.NO_RATES))}]) > 0 AS no_rate,
+  {_any('t', rates.LEFT_OPEN)} OR len([1 for x in w if regexp_matches(translate(x, '$.%', ''), '^[x*]{{2,}}$')]) > 0 AS left_open, len([1 for i in f if list_has_any(w[greatest(i - 4, 1):i - 1], {_list(rates.LABELS)}) OR list_has_any(w[i + 1:i + 2], {_list(rates.LABELS)})]) > 0 AS labelled FROM f)
+SELECT product_id, CASE WHEN expired IS NOT NULL THEN 'expired_promotional_offer' WHEN no_rate THEN 'non_annual_return_context' WHEN display_rate >= {rates.IMPLAUSIBLE} THEN 'implausible_annual_deposit_rate' END AS reason, expired AS expired_on,
+  CASE WHEN {_any('t', rates.PROMO_MARKS)} AND NOT no_rate AND expired IS NULL THEN coalesce({_TOTAL}) END AS promotional_total, left_open, NOT left_open AND labelled AS explicit FROM e""", "offer"))
 def rate_suppressions(spark, sf_dir):
     """Why the rate of an offer isn't shown, when the offer ended, what it promises in all, and whether it states a rate at all."""
     t, day = F.col("t"), F.col("reference_date")
@@ -45,23 +56,20 @@ def rate_suppressions(spark, sf_dir):
     return df.select("product_id", rates.suppression(F.col("display_rate"), t, day).alias("reason"), rates.expired_on(t, day).alias("expired_on"), rates.promotional_total(t, day).alias("promotional_total"), rates.placeholder(t).alias("left_open"), rates.explicit(t).alias("explicit"))
 
 
-def _near(p: str, before: int, after: int, pattern: str) -> str:
-    return f"regexp_matches(substr(t, greatest({p}.a - {before}, 1), {p}.z + {after} - greatest({p}.a - {before}, 1)), {quoted(pattern)})"
+def _spoken(first: str, last: str, phrases) -> str:
+    return _any(f"' ' || array_to_string(w[greatest({first}, 1):{last}], ' ') || ' '", [f" {p} " for p in phrases])
 
 
-def _ahead(p: str, n: int, pattern: str) -> str:
-    return f"regexp_matches(substr(t, greatest({p}.a - {n}, 1), least({p}.a - 1, {n})), {quoted(pattern)})"
+def _fits(i: str, j: str) -> str:
+    spread = f"list_has_any(w[greatest({i} - 4, 1):{i} - 1], {_list(rates.BASES)}) AND list_has_any(w[greatest({i} - 2, 1):{i} - 1], {_list(rates.ADDED)})"
+    return f"{_spoken(f'{i} - {rates.REACH}', f'{j} + {rates.REACH}', rates.NEAR)} AND NOT ({_spoken(f'{i} - {rates.CLOSE}', f'{j} + {rates.CLOSE}', rates.AGAINST)}) AND NOT ({spread})"
 
 
 MINED = rf"""
-WITH o AS (SELECT *, lower(trim(regexp_replace(regexp_replace(coalesce(offer_text, ''), '\*\*|__', '', 'g'), '\s+', ' ', 'g'))) AS t FROM offer), s AS (SELECT *, string_split(t, '%') AS parts FROM o),
-f AS (SELECT *, [x for x in [{{'a': CAST(list_sum([length(q) + 1 for q in parts[1:i]]) AS BIGINT) - length(regexp_extract(parts[i], '([0-9]{{1,3}}(?:\.[0-9]+)?\s*)$', 1)), 'z': CAST(list_sum([length(q) + 1 for q in parts[1:i]]) AS BIGINT) + 1,
-  'v': TRY_CAST(nullif(regexp_extract(parts[i], '(?:^|[^0-9.])([0-9]{{1,3}}(?:\.[0-9]+)?)\s*$', 1), '') AS DOUBLE)}} for i in range(1, len(parts))] if x.v IS NOT NULL] AS found FROM s),
-g AS (SELECT *, [p.v for p in found if regexp_matches(substr(t, p.z, 24), {quoted(rates.INTRO_AFTER)}) OR {_ahead('p', 40, rates.INTRO_BEFORE)}] AS intro,
-  [p.v for p in found if {_near('p', 48, 48, rates.NEAR)} AND NOT {_near('p', 24, 28, rates.AGAINST)} AND NOT {_near('p', 24, 28, rates.SPREAD)}] AS single,
-  [[p.low, p.high] for p in [{{'a': found[i].a, 'z': found[i + 1].z, 'gap': substr(t, found[i].z, found[i + 1].a - found[i].z), 'low': found[i].v, 'high': found[i + 1].v}} for i in range(1, len(found))]
-    if regexp_matches(p.gap, {quoted(rates.RANGE_GAP)}) AND {_near('p', 48, 48, rates.NEAR)} AND NOT {_near('p', 28, 32, rates.AGAINST)} AND NOT {_ahead('p', 32, rates.SPREAD_BEFORE)}] AS pairs FROM f),
-m AS (SELECT *, CASE WHEN regexp_extract(t, '^\s*([0-9]{{1,3}}(?:\.[0-9]+)?)\s*%?\s*$', 1) <> '' THEN [CAST(regexp_extract(t, '^\s*([0-9]{{1,3}}(?:\.[0-9]+)?)\s*%?\s*$', 1) AS DOUBLE)] WHEN len(pairs) > 0 THEN list_concat(intro, pairs[1]) ELSE list_concat(intro, single) END AS mined FROM g),
+WITH o AS (SELECT *, lower(trim(regexp_replace(regexp_replace(coalesce(offer_text, ''), '\*\*|__', '', 'g'), '\s+', ' ', 'g'))) AS t FROM offer), w AS (SELECT *, {_words('t')} AS w FROM o), f AS (SELECT *, [i for i in range(1, len(w) + 1) if regexp_matches(w[i], {quoted(rates.FIGURE)})] AS f FROM w),
+g AS (SELECT *, [{_VALUE} for i in f if {_spoken('i + 1', 'i + 2', rates.INTRO)} OR {_spoken('i - 4', 'i - 1', rates.INTRO)}] AS intro, [{_VALUE} for i in f if {_fits('i', 'i')}] AS single,
+  [p for p in [{{'i': f[k], 'j': f[k + 1]}} for k in range(1, len(f))] if len([1 for x in w[p.i + 1:p.j - 1] if NOT list_contains({_list(rates.BETWEEN)}, x)]) = 0 AND list_has_any(w[p.i + 1:p.j - 1], {_list(rates.TO)}) AND {_fits('p.i', 'p.j')}] AS pairs FROM f),
+m AS (SELECT *, CASE WHEN regexp_extract(t, '^\s*([0-9]{{1,3}}(?:\.[0-9]+)?)\s*%?\s*$', 1) <> '' THEN [CAST(regexp_extract(t, '^\s*([0-9]{{1,3}}(?:\.[0-9]+)?)\s*%?\s*$', 1) AS DOUBLE)] WHEN len(pairs) > 0 THEN list_concat(intro, [{_VALUE} for i in [pairs[1].i, pairs[1].j]]) ELSE list_concat(intro, single) END AS mined FROM g),
 l AS (SELECT *, list_min([r for r in mined if r BETWEEN 0 AND 100]) AS low, CASE WHEN display_rate BETWEEN 0 AND 100 THEN display_rate END AS own FROM m)
 """
 

@@ -67,7 +67,7 @@ SELECT product_id, coalesce(promo, labelled, bare, display_rate) AS rate, CASE W
 def fallback_rates(spark, sf_dir):
     """Passes over a text in fixed order; the first that finds a rate gives it."""
     t = rates.context(F.col("offer_text"))
-    passes = {"promotional": r"\bpromotional\s+rate\s+(?:of\s+)?" + rates.R, "labelled": r"interest rate\D{0,24}" + rates.R, "bare": r"(?:^|[^0-9.])" + rates.R}
+    passes = {"promotional": r"\bpromotional\s+rate\s+(?:of\s+)?" + rates.RATE, "labelled": r"interest rate\D{0,24}" + rates.RATE, "bare": r"(?:^|[^0-9.])" + rates.RATE}
     found = {name: F.nullif(F.regexp_extract(t, p, 1), F.lit("")).try_cast("double") for name, p in passes.items()} | {"shown": F.col("display_rate")}
     return read(spark, sf_dir, "offer").select("product_id", F.coalesce(*found.values()).alias("rate"), quality.first_match([(v.isNotNull(), n) for n, v in found.items()]).alias("pass"))
 
