@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.functions import fieldrules
 from quarrystone.functions import text as tx
 from quarrystone.operators.quality import first_match
 
@@ -19,48 +20,20 @@ def filtered(df: DataFrame, wanted: dict[str, list]) -> DataFrame:
     return df
 
 
-def signal_bonus(field: Column, text: Column) -> Column:
-    """What a chunk says for a field beyond its keywords; the first rule that holds counts."""
-    has = lambda *words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-    rules = [
-        (field.contains("rate") & has("%"), 0.62), (field.contains("rate") & has("interest"), 0.18), (field.contains("fee") & has("fee", "$"), 0.18), (field.contains("balance") & text.rlike(r"\bno\s+minimum\s+balance\b"), 0.5), (field.contains("balance") & has("balance"), 0.18),
-        (field.contains("eligibility") & has("eligible", "qualify"), 0.18), (field.contains("application_method") & has("apply", "open account", "online", "branch", "mobile app"), 0.18), (field.contains("maturity") & has("maturity", "renewal", "reinvest"), 0.18),
-        (field.contains("tax") & has("tax", "tfsa", "rrsp", "registered"), 0.18), (field.contains("insurance") & has("cdic", "insured", "deposit insurance"), 0.18), (field.contains("payment_frequency") & has("monthly"), 0.18), (field.contains("calculation_method") & has("calculated"), 0.18),
-        (field.contains("term_length") & has("term", "year", "month", "day"), 0.18), (field.contains("redeemable") & has("redeemable", "cashable"), 0.18), (field.contains("compounding") & has("compounded", "compound interest"), 0.18), (field.contains("payout_option") & has("paid", "maturity", "interest paid"), 0.18),
-        (field.contains("registered") & has("tfsa", "rrsp", "rrif", "registered"), 0.18), (field.contains("transactions") & has("transaction", "debit", "unlimited"), 0.18), (field.contains("overdraft") & has("overdraft"), 0.18), (field.contains("cheque") & has("cheque", "check"), 0.18),
-    ]
-    out = F.when(*rules[0])
-    for test, bonus in rules[1:]:
-        out = out.when(test, bonus)
-    return out.otherwise(0.05)
-
-
 def hybrid(chunks: DataFrame, fields: DataFrame) -> DataFrame:
-    """(field, chunk_id, score, mode) of every chunk (lowered, tokens, anchor, vector_score) and field (keys, words, phrases).
+    """(field, chunk_id, score, mode) of every chunk (x, its text in lower case, tokens, anchor, vector_score) and field (keys, words, phrases).
 
     The fields are a list in the code; chunks stay where they are. A chunk without a vector score keeps its lexical one.
     """
     overlap = F.size(F.array_intersect(F.array_distinct("tokens"), "words"))
-    phrases = F.size(F.filter("phrases", lambda p: F.col("lowered").contains(p)))
+    phrases = F.size(F.filter("phrases", lambda p: F.col("x").contains(p)))
     anchors = F.size(F.filter("keys", lambda k: F.coalesce(F.col("anchor"), F.lit("")).contains(k)))
-    lexical = F.least(F.lit(0.99), F.least(F.lit(0.55), 0.12 * overlap) + F.least(F.lit(0.25), 0.12 * phrases) + F.least(F.lit(0.1), 0.05 * anchors) + signal_bonus(F.col("field"), F.col("lowered")))
+    lexical = F.least(F.lit(0.99), F.least(F.lit(0.55), 0.12 * overlap) + F.least(F.lit(0.25), 0.12 * phrases) + F.least(F.lit(0.1), 0.05 * anchors) + fieldrules.signal())
     vector = F.col("vector_score")
     score = F.when(vector.isNull(), lexical).otherwise(F.least(F.lit(0.99), 0.55 * lexical + 0.45 * F.greatest(F.lit(0.0), F.least(F.lit(0.99), vector))))
     return chunks.crossJoin(F.broadcast(fields)).select("field", "chunk_id", F.round(score, 4).alias("score"), F.when(vector.isNull(), "metadata-only").otherwise("vector-assisted").alias("mode"))
 
 
-def semantic_score(field: Column, text: Column) -> Column:
-    """How much the words of an excerpt (lower case) speak for a field's value."""
-    points = lambda test, n: F.when(test, n).otherwise(0)
-    fee = points(text.rlike(r"\bstandard monthly fee\b|\bmonthly (?:account )?fee\s*(?:is|:)"), 8) - points(text.rlike("as low as|rebate|eligible for no monthly fee"), 5)
-    promo = points(text.contains("total interest rate including promo"), 14)
-    promo = promo + points(text.rlike(r"\bearn(?:\s+up\s+to)?\s+(?:a\s+savings\s+rate\s+of\s+)?\d{1,2}(?:\.\d+)?\s*%") & text.rlike("first 3 months|for the first|limited time|limited-time"), 10)
-    promo = promo - points(text.rlike("extra|additional|bonus interest rate") & ~text.rlike("total interest rate|promotional interest rate"), 5)
-    shown = points(text.rlike("total interest rate including promo|earn up to"), 12) + points(text.contains("interest rate with bonus"), 9) - points(text.rlike("extra|additional") & ~text.contains("total interest rate"), 4)
-    eligible = points(text.rlike(r"\b(?:eligibility|here(?:'s| is) how to qualify)\b"), 8)
-    return F.when(field.isin("monthly_fee", "public_display_fee"), fee).when(field == "promotional_rate", promo).when(field == "public_display_rate", shown).when(field == "eligibility_text", eligible).otherwise(0)
-
-
 def grounded(quote: Column, excerpt: Column) -> Column:
     """Whether a quote of eight characters or more, without an ellipsis, stands in the excerpt, whatever the case and spacing."""
     q = F.lower(tx.collapsed(quote))

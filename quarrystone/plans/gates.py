@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quarrystone.functions import fieldrules
 from quarrystone.functions import text as tx
 from quarrystone.operators import gates, quality
 from quarrystone.operators.picks import latest_per_key
@@ -41,42 +42,37 @@ def words(keys: list[str]) -> list[str]:
 FIELDS = [(f, keywords(f), words(keywords(f)), [k for k in keywords(f) if " " in k]) for f in HINTS]
 _LIST = lambda items: "[" + ", ".join("'" + i + "'" for i in items) + "]"
 CHUNKS = """
-c AS (SELECT product_id AS chunk_id, lower(offer_text) AS l, regexp_extract_all(lower(offer_text), '[a-z0-9]+') AS tokens, product_type AS anchor, CASE WHEN display_rate IS NULL THEN NULL ELSE display_rate / 100 END AS vector_score, product_family, product_type FROM offer WHERE offer_text IS NOT NULL AND product_type IN ('gic', 'mortgage', 'other'))"""
+c AS (SELECT product_id AS chunk_id, lower(offer_text) AS x, regexp_extract_all(lower(offer_text), '[a-z0-9]+') AS tokens, product_type AS anchor, CASE WHEN display_rate IS NULL THEN NULL ELSE display_rate / 100 END AS vector_score, product_family, product_type FROM offer WHERE offer_text IS NOT NULL AND product_type IN ('gic', 'mortgage', 'other'))"""
 
 
 @query(sql(f"""
 WITH f AS (SELECT * FROM (VALUES {', '.join(f"('{f}', {_LIST(k)}, {_LIST(w)}, {_LIST(p)})" for f, k, w, p in FIELDS)}) x(field, keys, words, phrases)), {CHUNKS},
-s AS (SELECT field, chunk_id, vector_score, least(0.99, least(0.55, 0.12 * len(list_intersect(list_distinct(tokens), words))) + least(0.25, 0.12 * len([1 for p in phrases if contains(l, p)])) + least(0.1, 0.05 * len([1 for k in keys if contains(anchor, k)]))
-  + CASE WHEN contains(field, 'rate') AND contains(l, '%') THEN 0.62 WHEN contains(field, 'rate') AND contains(l, 'interest') THEN 0.18 WHEN contains(field, 'fee') AND (contains(l, 'fee') OR contains(l, '$')) THEN 0.18
-    WHEN contains(field, 'eligibility') AND (contains(l, 'eligible') OR contains(l, 'qualify')) THEN 0.18 WHEN contains(field, 'maturity') AND regexp_matches(l, 'maturity|renewal|reinvest') THEN 0.18
-    WHEN contains(field, 'term_length') AND regexp_matches(l, 'term|year|month|day') THEN 0.18 WHEN contains(field, 'redeemable') AND regexp_matches(l, 'redeemable|cashable') THEN 0.18 WHEN contains(field, 'payout_option') AND regexp_matches(l, 'paid|maturity|interest paid') THEN 0.18 ELSE 0.05 END) AS lexical FROM c, f),
+s AS (SELECT field, chunk_id, vector_score, least(0.99, least(0.55, 0.12 * len(list_intersect(list_distinct(tokens), words))) + least(0.25, 0.12 * len([1 for p in phrases if contains(x, p)])) + least(0.1, 0.05 * len([1 for k in keys if contains(anchor, k)]))
+  + {fieldrules.signal_sql()}) AS lexical FROM c, f),
 h AS (SELECT field, chunk_id, round(CAST(CASE WHEN vector_score IS NULL THEN lexical ELSE least(0.99, 0.55 * lexical + 0.45 * greatest(0.0, least(0.99, vector_score))) END AS DOUBLE), 4) AS score, CASE WHEN vector_score IS NULL THEN 'metadata-only' ELSE 'vector-assisted' END AS mode FROM s)
 SELECT field, chunk_id, score, mode, CAST(rank AS BIGINT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY field ORDER BY score DESC, chunk_id) AS rank FROM h WHERE score > 0) WHERE rank <= CASE field WHEN 'term_rate_table' THEN {KEPT_OF_TABLES} ELSE {KEPT} END""", "offer"))
 def hybrid_retrieval(spark, sf_dir):
     """Chunks of each field under metadata filters, scored by words, phrases, anchor and a field's own signal, with vector scores where there are any."""
     fields = spark.createDataFrame(FIELDS, "field string, keys array<string>, words array<string>, phrases array<string>")
     chunks = read(spark, sf_dir, "offer").where(F.col("offer_text").isNotNull())
-    chunks = gates.filtered(chunks, {"product_type": ["gic", "mortgage", "other"], "product_family": []}).select(F.col("product_id").alias("chunk_id"), F.lower("offer_text").alias("lowered"), tx.tokens(F.col("offer_text")).alias("tokens"), F.col("product_type").alias("anchor"), (F.col("display_rate") / 100).alias("vector_score"))
+    chunks = gates.filtered(chunks, {"product_type": ["gic", "mortgage", "other"], "product_family": []}).select(F.col("product_id").alias("chunk_id"), F.lower("offer_text").alias("x"), tx.tokens(F.col("offer_text")).alias("tokens"), F.col("product_type").alias("anchor"), (F.col("display_rate") / 100).alias("vector_score"))
     found = gates.hybrid(chunks, fields)
     kept = F.when(F.col("field") == "term_rate_table", KEPT_OF_TABLES).otherwise(KEPT)
     return latest_per_key(found.where("score > 0"), ["field"], [F.desc("score"), F.asc("chunk_id")], KEPT_OF_TABLES, "rank").where(F.col("rank") <= kept).select("field", "chunk_id", "score", "mode", F.col("rank").cast("bigint").alias("rank"))
 
 
-OPTIONS = """
-o AS (SELECT product_id, kind AS field, display_rate AS value, lower(offer_text) AS l, product_type, product_family FROM (SELECT *, unnest(['public_display_rate', 'promotional_rate', 'eligibility_text']) AS kind FROM offer WHERE offer_text IS NOT NULL AND display_rate IS NOT NULL)),
-m AS (SELECT *, CASE WHEN contains(l, 'offer') THEN 1 ELSE 0 END AS identity,
-  CASE field WHEN 'promotional_rate' THEN CASE WHEN contains(l, 'total interest rate including promo') THEN 14 ELSE 0 END + CASE WHEN regexp_matches(l, '\\bearn(?:\\s+up\\s+to)?\\s+(?:a\\s+savings\\s+rate\\s+of\\s+)?[0-9]{1,2}(?:\\.[0-9]+)?\\s*%') AND regexp_matches(l, 'first 3 months|for the first|limited time|limited-time') THEN 10 ELSE 0 END
-      - CASE WHEN regexp_matches(l, 'extra|additional|bonus interest rate') AND NOT regexp_matches(l, 'total interest rate|promotional interest rate') THEN 5 ELSE 0 END
-    WHEN 'public_display_rate' THEN CASE WHEN regexp_matches(l, 'total interest rate including promo|earn up to') THEN 12 ELSE 0 END + CASE WHEN contains(l, 'interest rate with bonus') THEN 9 ELSE 0 END - CASE WHEN regexp_matches(l, 'extra|additional') AND NOT contains(l, 'total interest rate') THEN 4 ELSE 0 END
-    ELSE CASE WHEN regexp_matches(l, '\\b(?:eligibility|here(?:''s| is) how to qualify)\\b') THEN 8 ELSE 0 END END AS semantic FROM o)
-""".replace("\\\\", "\\")
+CHOSEN = ("public_display_rate", "promotional_rate", "eligibility_text", "monthly_fee", "unlimited_transactions_flag")
+OPTIONS = f"""
+o AS (SELECT product_id, field, display_rate AS value, display_rate = 0 AS zero, lower(offer_text) AS x, product_type FROM (SELECT *, unnest({_LIST(CHOSEN)}) AS field FROM offer WHERE offer_text IS NOT NULL AND display_rate IS NOT NULL)),
+m AS (SELECT *, CASE WHEN contains(x, 'offer') THEN 1 ELSE 0 END AS identity, {fieldrules.points_sql()} AS semantic FROM o)
+"""
 
 
 @query(sql(f"WITH {OPTIONS} SELECT product_type, field, product_id, value, identity, semantic FROM (SELECT *, row_number() OVER (PARTITION BY product_type, field ORDER BY identity DESC, semantic DESC, value DESC, product_id) AS k FROM m) WHERE k = 1", "offer"))
 def chosen_fields(spark, sf_dir):
     """For each field the value whose evidence names the product, speaks for the field and matched best, in this order."""
-    each = read(spark, sf_dir, "offer").where("offer_text IS NOT NULL AND display_rate IS NOT NULL").select("product_id", "product_type", F.col("display_rate").alias("value"), F.lower("offer_text").alias("l"), F.explode(F.array(*map(F.lit, ("public_display_rate", "promotional_rate", "eligibility_text")))).alias("field"))
-    scored = each.withColumn("identity", F.when(F.col("l").contains("offer"), 1).otherwise(0)).withColumn("semantic", gates.semantic_score(F.col("field"), F.col("l")))
+    each = read(spark, sf_dir, "offer").where("offer_text IS NOT NULL AND display_rate IS NOT NULL").select("product_id", "product_type", F.col("display_rate").alias("value"), F.lower("offer_text").alias("x"), (F.col("display_rate") == 0).alias("zero"), F.explode(F.array(*map(F.lit, CHOSEN))).alias("field"))
+    scored = each.withColumn("identity", F.when(F.col("x").contains("offer"), 1).otherwise(0)).withColumn("semantic", fieldrules.points())
     return latest_per_key(scored, ["product_type", "field"], [F.desc("identity"), F.desc("semantic"), F.desc("value"), F.asc("product_id")]).select("product_type", "field", "product_id", "value", "identity", "semantic")
 
 

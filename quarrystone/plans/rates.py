@@ -30,6 +30,11 @@ def _any(x: str, phrases) -> str:
     return f"len([1 for phrase in {_list(phrases)} if contains({x}, phrase)]) > 0"
 
 
+def left_open(x: str) -> str:
+    """Whether a text leaves a figure open, in DuckDB's SQL."""
+    return f"({_any(x, rates.LEFT_OPEN)} OR len([1 for word in {_words(x)} if regexp_matches(translate(word, '$.%', ''), '^[x*]{{2,}}$')]) > 0)"
+
+
 def _beside(rule: rates.Beside) -> str:
     tests = [f"list_has_any(w[greatest(i - {n}, 1):i - 1], {_list(g)})" for g, n in rule.before] + [f"list_has_any(w[i + 1:i + {n}], {_list(g)})" for g, n in rule.after]
     if rule.never[1]:
@@ -43,10 +48,22 @@ _VALUE = "CAST(replace(w[i], '%', '') AS DOUBLE)"
 _TOTAL = ", ".join(f"[v for v in [{_VALUE} for i in f if {_beside(r)}] if v < {rates.IMPLAUSIBLE}][1]" for r in rates.TOTALS)
 
 
+#: Whether a text with words w and figures f ended before a day, and whether it tells of no annual rate.
+def expired(day: str) -> str:
+    return f"[d for d in [{_DAY_AFTER} for i in range(1, len(w) + 1) if list_contains({_list(rates.ENDING)}, w[i])] if d < {day}][1]"
+
+
+def no_annual_rate(x: str) -> str:
+    return f"({_any(x, rates.NOT_ANNUAL)} OR len([1 for i in f if {' OR '.join(map(_beside, rates.NO_RATES))}]) > 0)"
+
+
+FIGURES = f"[i for i in range(1, len(w) + 1) if regexp_matches(w[i], {quoted(rates.FIGURE)})]"
+
+
 @query(sql(rf"""
 WITH o AS (SELECT product_id, display_rate, reference_date, {T} AS t FROM offer), w AS (SELECT *, {_words('t')} AS w FROM o), f AS (SELECT *, [i for i in range(1, len(w) + 1) if regexp_matches(w[i], {quoted(rates.FIGURE)})] AS f FROM w),
-e AS (SELECT *, [d for d in [{_DAY_AFTER} for i in range(1, len(w) + 1) if list_contains({_list(rates.ENDING)}, w[i])] if d < reference_date][1] AS expired, {_any('t', rates.NOT_ANNUAL)} OR len([1 for i in f if {' OR '.join(map(_beside, rates.NO_RATES))}]) > 0 AS no_rate,
-  {_any('t', rates.LEFT_OPEN)} OR len([1 for x in w if regexp_matches(translate(x, '$.%', ''), '^[x*]{{2,}}$')]) > 0 AS left_open, len([1 for i in f if list_has_any(w[greatest(i - 4, 1):i - 1], {_list(rates.LABELS)}) OR list_has_any(w[i + 1:i + 2], {_list(rates.LABELS)})]) > 0 AS labelled FROM f)
+e AS (SELECT *, {expired('reference_date')} AS expired, {no_annual_rate('t')} AS no_rate,
+  {left_open('t')} AS left_open, len([1 for i in f if list_has_any(w[greatest(i - 4, 1):i - 1], {_list(rates.LABELS)}) OR list_has_any(w[i + 1:i + 2], {_list(rates.LABELS)})]) > 0 AS labelled FROM f)
 SELECT product_id, CASE WHEN expired IS NOT NULL THEN 'expired_promotional_offer' WHEN no_rate THEN 'non_annual_return_context' WHEN display_rate >= {rates.IMPLAUSIBLE} THEN 'implausible_annual_deposit_rate' END AS reason, expired AS expired_on,
   CASE WHEN {_any('t', rates.PROMO_MARKS)} AND NOT no_rate AND expired IS NULL THEN coalesce({_TOTAL}) END AS promotional_total, left_open, NOT left_open AND labelled AS explicit FROM e""", "offer"))
 def rate_suppressions(spark, sf_dir):

@@ -143,30 +143,3 @@ def superseded_by_name_or_url(spark, sf_dir):
     few = tasks.where("url IS NOT NULL").groupBy("url").agg(F.count("*").alias("n")).where("n <= 2").select("url")
     by_url = state.superseded(tasks.join(few, "url", "left_semi"), ["url"], order, "task_id").select("task_id", F.col("superseded_by").alias("by_url"))
     return by_name.join(by_url, "task_id", "full").select("task_id", F.coalesce("by_name", "by_url").alias("superseded_by"), F.when(F.col("by_name").isNotNull(), "name").otherwise("url").alias("rule"))
-
-
-@query(sql("""
-SELECT product_id, CASE WHEN monthly_fee >= 19 THEN NULL ELSE monthly_fee END AS monthly_fee, CASE WHEN product_family = 'lending' OR direct_rate >= 4.9 THEN NULL ELSE direct_rate END AS direct_rate, CASE WHEN product_type <> 'gic' THEN NULL ELSE term_length_days END AS term_length_days,
-  concat_ws(',', CASE WHEN monthly_fee >= 19 THEN 'monthly_fee:implausible' END, CASE WHEN direct_rate IS NOT NULL AND product_family = 'lending' THEN 'direct_rate:other_family' WHEN direct_rate >= 4.9 THEN 'direct_rate:implausible' END, CASE WHEN term_length_days IS NOT NULL AND product_type <> 'gic' THEN 'term_length_days:other_type' END) AS suppressed FROM product""", "product"))
-def suppressed_fields(spark, sf_dir):
-    """Fields that a rule empties, and why; the first rule of a field counts."""
-    c = F.col
-    rules = {"monthly_fee": [(c("monthly_fee") >= 19, "implausible")], "direct_rate": [(c("product_family") == "lending", "other_family"), (c("direct_rate") >= 4.9, "implausible")], "term_length_days": [(c("product_type") != "gic", "other_type")]}
-    why = {f: F.when(c(f).isNotNull(), quality.first_match([(test, f"{f}:{reason}") for test, reason in own])) for f, own in rules.items()}
-    return read(spark, sf_dir, "product").select("product_id", *[F.when(reason.isNull(), c(f)).alias(f) for f, reason in why.items()], F.concat_ws(",", *why.values()).alias("suppressed"))
-
-
-_CASES = r"""CASE WHEN f = 'product_name' AND regexp_matches(x, '^(?:see|view|check)\b.{0,50}\brates?\b') THEN 'cta_copy' WHEN regexp_matches(x, '\{\{|\}\}|\$\{|rds%|%rate\b|\[object object\]|(?:^|[^a-z0-9])(?:\$\s*)?[x*]{2,}(?:\.[x*]+)?\s*%?(?:[^a-z0-9]|$)') THEN 'unresolved_placeholder'
-  WHEN x IN ('home', 'go to main content', 'skip to main content', 'document go to main content', 'document skip to main content', 'learn more', 'read more') OR (x LIKE 'document %' AND len(string_split(x, ' ')) <= 4) THEN 'navigation_copy' WHEN (f LIKE '%\_rate' ESCAPE '\' OR f IN ('rate', 'interest_rate')) AND length(x) >= 150 THEN 'page_copy'
-  WHEN (f LIKE '%\_rate' ESCAPE '\' OR f IN ('rate', 'interest_rate')) AND length(x) >= 45 AND NOT regexp_matches(x, '[0-9]|%|\bprime\b') THEN 'non_value_copy' WHEN f = 'payment_frequency' AND (length(x) > 100 OR regexp_matches(x, 'calculator|prepayment|pre-payment|special offers') OR NOT regexp_matches(x, 'weekly|biweekly|bi-weekly|semi-monthly|monthly|accelerated')) THEN 'non_value_copy'
-  WHEN f = 'amortization_text' AND (length(x) > 160 OR NOT regexp_matches(x, '\b[0-9]{1,3}\s*(?:year|years|month|months)\b')) THEN 'non_value_copy' WHEN length(x) >= 240 AND f = 'rate_type' THEN 'page_copy' END"""
-
-
-@query(rf"""
-WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), n AS (SELECT doc_id, lower(trim(regexp_replace(line, '\s+', ' ', 'g'))) AS x, unnest(['interest_rate', 'payment_frequency', 'amortization_text', 'rate_type']) AS f FROM l WHERE trim(line) <> '')
-SELECT f AS field, {_CASES} AS reason, CAST(count(*) AS BIGINT) AS n FROM n GROUP BY 1, 2""")
-def line_noise(spark, sf_dir):
-    """How many lines of the documents could not be the value of each of four fields, and why."""
-    fields = F.array(*map(F.lit, ("interest_rate", "payment_frequency", "amortization_text", "rate_type")))
-    lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "").select("line", F.explode(fields).alias("field"))
-    return lines.select("field", tx.noise(F.col("field"), F.col("line")).alias("reason")).groupBy("field", "reason").agg(F.count("*").alias("n"))

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quarrystone.sources import samples
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 VIEWS = {
@@ -102,6 +104,14 @@ VIEWS = {
                concat('[{{"name": "rate", "value": "', CAST(p_size % 12 AS STRING), '.5"}}, {{"name": "fee", "value": "', CASE WHEN p_partkey % 6 = 0 THEN 'none' ELSE CAST(p_partkey % 20 AS STRING) END, '"}}', CASE WHEN p_partkey % 2 = 0 THEN ', {{"name": "term"}}' ELSE '' END, ']') AS fields,
                concat('2026-0', CAST(1 + p_size % 9 AS STRING), '-', CAST(10 + p_partkey % 18 AS STRING), CASE p_partkey % 3 WHEN 0 THEN 'T10:30:00Z' WHEN 1 THEN ' 08:00:00' ELSE 'T23:59:59+00:00' END) AS verified_at
         FROM {part}""",
+    "captured": """
+        SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id,
+               concat('{{"product_name": ', CASE p_partkey % 4 WHEN 0 THEN 'null' WHEN 1 THEN '7' ELSE concat('"', p_name, '"') END, ', "monthly_fee": ', CASE p_partkey % 5 WHEN 0 THEN '"free"' WHEN 1 THEN '12' WHEN 2 THEN '9.95' WHEN 3 THEN '{{"amount": 4}}' ELSE 'true' END,
+                      ', "term_length_days": ', CASE p_partkey % 3 WHEN 0 THEN '365' WHEN 1 THEN '365.5' ELSE '"1 year"' END, ', "redeemable_flag": ', CASE p_partkey % 7 WHEN 0 THEN '"yes"' WHEN 1 THEN '1' ELSE 'false' END,
+                      ', "term_rate_table": ', CASE p_partkey % 2 WHEN 0 THEN '[{{"rate": 4}}]' ELSE '"4% for a year"' END, ', "regular_interest_rate": ', CASE p_partkey % 6 WHEN 0 THEN '"2.5%"' ELSE '2.5' END, ', "other": {{"a": [1, "b"]}}}}',
+                      CASE p_partkey % 11 WHEN 0 THEN ' and more' ELSE '' END) AS payload
+        FROM {part}""",
+    "candidate_field": samples.candidate_fields("p_partkey", "{part}"),
 }
 
 NEEDS = {"product": ("bank",)}
