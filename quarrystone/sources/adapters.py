@@ -111,6 +111,15 @@ VIEWS = {
                       ', "term_rate_table": ', CASE p_partkey % 2 WHEN 0 THEN '[{{"rate": 4}}]' ELSE '"4% for a year"' END, ', "regular_interest_rate": ', CASE p_partkey % 6 WHEN 0 THEN '"2.5%"' ELSE '2.5' END, ', "other": {{"a": [1, "b"]}}}}',
                       CASE p_partkey % 11 WHEN 0 THEN ' and more' ELSE '' END) AS payload
         FROM {part}""",
+    "named": """
+        SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id, concat('B', CAST(p_partkey % 10 AS STRING)) AS bank_code,
+               CASE p_partkey % 9 WHEN 8 THEN 'Savings Account' ELSE concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' Account' WHEN 1 THEN ' Plus Account' WHEN 2 THEN '' ELSE ' Plus Savings Account' END) END AS product_name
+        FROM {part}""",
+    "excerpt": """
+        SELECT concat('X', CAST(a.p_partkey AS STRING)) AS evidence_id, concat('B', CAST(a.p_partkey % 10 AS STRING)) AS bank_code, concat('P', CAST(a.p_partkey AS STRING)) AS product_id,
+               CASE a.p_partkey % 8 WHEN 0 THEN concat('The ', a.p_name, ' Account has a monthly fee of $5.') WHEN 1 THEN concat('Monthly fee of the ', b.p_name, ': $9') WHEN 2 THEN concat(b.p_name, ' plus account, and ', a.p_name, '. Fees apply')
+                 WHEN 3 THEN concat(a.p_name, ' Plus Savings Account: 4%') WHEN 4 THEN 'Savings accounts and credit cards of this bank' WHEN 5 THEN concat(b.p_name, '-PLUS! ', b.p_name, ' Account') WHEN 6 THEN NULL ELSE concat('(', a.p_name, ') plus account; plus ', b.p_name) END AS text
+        FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 10""",
     "candidate_field": samples.candidate_fields("p_partkey", "{part}"),
 }
 
