@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text as tx
+from quarrystone.operators.batches import each_text
 from quarrystone.operators.picks import latest_per_key
 
 CHUNK, OVERLAP, DIMENSIONS = 900, 120, 64
@@ -43,12 +41,8 @@ def split_text(text: str, size: int = CHUNK, overlap: int = OVERLAP) -> list[tup
 def chunked(docs: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """(doc_id, chunk_index, start, stop, chunk) of every document: boundaries depend on those before, so Python finds them."""
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(d, i, a, b, t[a:b]) for d, t in zip(f.doc_id, f.text.fillna(""), strict=True) for i, (a, b) in enumerate(split_text(t, size, overlap))]
-            yield pd.DataFrame(rows, columns=["doc_id", "chunk_index", "start", "stop", "chunk"])
-
-    return docs.select("doc_id", "text").mapInPandas(of, "doc_id long, chunk_index int, start int, stop int, chunk string")
+    rows = lambda doc_id, text: [(doc_id, i, a, b, text[a:b]) for i, (a, b) in enumerate(split_text(text, size, overlap))]
+    return each_text(docs, "doc_id", "text", rows, "doc_id long, chunk_index int, start int, stop int, chunk string")
 
 
 def with_offsets(segments: DataFrame, key: str, order: str, text: str, gap: int = 2) -> DataFrame:

@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import json
 import re
 from collections.abc import Iterator
-from html import unescape
 from html.parser import HTMLParser
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text as tx
+from quarrystone.operators import components
+from quarrystone.operators.batches import by_bytes, each_text
 from quarrystone.operators.evidence import CHUNK, OVERLAP, split_text
 
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -141,62 +141,6 @@ def slug(text: str) -> str:
     return re.sub("[^a-z0-9]+", "-", text.lower()).strip("-") or "section"
 
 
-class _Scripts(HTMLParser):
-    """JSON in scripts of a page, and in its data attributes."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.found: list[str] = []
-        self.inside = False
-
-    def handle_starttag(self, tag, attrs):
-        given = dict(attrs)
-        self.inside = tag == "script" and (given.get("type") or "").lower().endswith("json")
-        if self.inside:
-            self.found.append("")
-        self.found += [v for k, v in attrs if k.startswith("data-") and v and v.lstrip()[:1] in "{["]
-
-    def handle_endtag(self, tag):
-        if tag == "script":
-            self.inside = False
-
-    def handle_data(self, data):
-        if self.inside:
-            self.found[-1] += data
-
-
-#: Keys of structured data whose texts a reader of the page would see.
-SHOWN = ("headline", "name", "title", "description", "text", "label", "value", "body", "content")
-
-
-def structured_texts(html: str) -> list[str]:
-    """One text for each JSON object of a page that shows any: the texts under ``SHOWN`` keys in their order, markup taken off; what isn't JSON is passed over."""
-    reader, out = _Scripts(), []
-    reader.feed(html)
-    reader.close()
-    for source in reader.found:
-        try:
-            top = json.loads(source)
-        except (ValueError, RecursionError):
-            continue
-        lines: dict[str, None] = {}
-        waiting = [top]
-        while waiting:
-            at = waiting.pop()
-            if isinstance(at, list):
-                waiting.extend(reversed(at))
-            elif isinstance(at, dict):
-                for key, value in at.items():
-                    if key in SHOWN and isinstance(value, (str, int, float)) and not isinstance(value, bool):
-                        text = " ".join(unescape(re.sub("<[^>]*>", " ", str(value))).split())
-                        if text:
-                            lines.setdefault(text)
-                waiting.extend(v for v in reversed(list(at.values())) if isinstance(v, (dict, list)))
-        if lines:
-            out.append("\n".join(lines))
-    return list(dict.fromkeys(out))
-
-
 SECTIONS = "page_id long, section_index int, anchor string, text string, start int, stop int"
 
 
@@ -208,29 +152,30 @@ def sections(pages: DataFrame) -> DataFrame:
     or empty page has no sections.
     """
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = []
-            for page_id, html in zip(f.page_id, f.html.fillna(""), strict=True):
-                at = 0
-                own = [(slug(heading), text) for heading, text in sections_of(html)] + [(f"structured-component-{k}", text) for k, text in enumerate(structured_texts(html), 1)]
-                for k, (anchor, text) in enumerate(own):
-                    rows.append((page_id, k, anchor, text, at, at + len(text)))
-                    at += len(text) + 2
-            yield pd.DataFrame(rows, columns=["page_id", "section_index", "anchor", "text", "start", "stop"])
+    def rows(page_id: int, html: str) -> list[tuple]:
+        out, at = [], 0
+        own = [(slug(heading), text) for heading, text in sections_of(html)] + [(f"structured-component-{k}", text) for k, text in enumerate(components.texts_of(html), 1)]
+        for k, (anchor, text) in enumerate(own):
+            out.append((page_id, k, anchor, text, at, at + len(text)))
+            at += len(text) + 2
+        return out
 
-    return pages.select("page_id", "html").mapInPandas(of, SECTIONS)
+    return each_text(pages, "page_id", "html", rows, SECTIONS)
 
 
 def section_chunks(parts: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of sections with their number in the page, places in the whole text, and an id made of both."""
 
-    def of(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            rows = [(p, k, a, s + i, s + j, t[i:j], s, e) for p, k, a, t, s, e in zip(f.page_id, f.section_index, f.anchor, f.text, f.start, f.stop, strict=True) for i, j in split_text(t, size, overlap)]
-            yield pd.DataFrame(rows, columns=["page_id", "section_index", "anchor", "start", "stop", "chunk", "section_start", "section_stop"])
+    schema = "page_id long, section_index int, anchor string, start int, stop int, chunk string, section_start int, section_stop int"
+    names = [c.strip().split(" ")[0] for c in schema.split(",")]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in by_bytes(batches, 3):
+            rows = [(p, k, a, s + i, s + j, t[i:j], s, e) for p, k, a, t, s, e in zip(*(b.column(n).to_pylist() for n in range(6)), strict=True) for i, j in split_text(t, size, overlap)]
+            kinds = [pa.int64(), pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), kind) for c, kind in zip(zip(*rows, strict=True) if rows else [()] * len(names), kinds, strict=True)], names)
 
-    cut = parts.mapInPandas(of, "page_id long, section_index int, anchor string, start int, stop int, chunk string, section_start int, section_stop int")
+    cut = parts.select("page_id", "section_index", "anchor", "text", "start", "stop").mapInArrow(of, schema)
     numbered = cut.withColumn("chunk_index", F.row_number().over(Window.partitionBy("page_id").orderBy("section_index", "start")) - 1)
     metadata = F.to_json(F.struct(F.lit("html-sections-1").alias("parser_version"), F.length("chunk").alias("chunk_length"), F.col("section_start").alias("segment_char_start"), F.col("section_stop").alias("segment_char_end")))
     return numbered.select("page_id", "chunk_index", "anchor", "start", "stop", "chunk", tx.short_id("chunk", F.col("page_id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), metadata.alias("metadata"))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quarrystone.functions import text as tx
-from quarrystone.operators import discovery, sections
+from quarrystone.operators import components, discovery, sections
+from quarrystone.operators.batches import each_text
 from quarrystone.operators.picks import latest_per_key
 from quarrystone.plans.registry import query
 from quarrystone.sources.adapters import read, sql
@@ -23,6 +24,19 @@ def section_chunks(spark, sf_dir):
     return sections.section_chunks(sections.sections(read(spark, sf_dir, "pages"))).select("page_id", "chunk_index", "anchor", "start", "stop", "chunk_id", "metadata")
 
 
+@query()
+def component_links(spark, sf_dir):
+    """Links of pages and of their components, each under its URL and the title beside it; tests hold it against brute force."""
+    return components.links(read(spark, sf_dir, "component_page"))
+
+
+@query()
+def component_texts(spark, sf_dir):
+    """What components of pages show, one text for each."""
+    rows = lambda page_id, html: [(page_id, n, text) for n, text in enumerate(components.texts_of(html))]
+    return each_text(read(spark, sf_dir, "component_page"), "page_id", "html", rows, "page_id long, n int, text string")
+
+
 #: The URLs of pages as links would give them: other case, ports, doubled slashes, parameters of sources and of campaigns.
 LINKED = "CASE page_id % 6 WHEN 0 THEN concat(url, '#top') WHEN 1 THEN concat(replace(url, 'https://', 'HTTPS://'), '//rates/') WHEN 2 THEN concat('https://Bank.Example.com:443/fees/?zip=9&CID=7&utm=x&productId=', CAST(page_id AS {0})) WHEN 3 THEN concat('http://10.0.0.', CAST(page_id % 9 AS {0}), '/ca/page?cid=1&state=') WHEN 4 THEN concat('ftp://files.example.com/', CAST(page_id AS {0})) ELSE 'https://www.fr.example.ca/us-x/fr_ca/us' END"
 _KEYS = "', '".join(tx.SOURCE_KEYS)

@@ -111,6 +111,10 @@ VIEWS = {
                       ', "term_rate_table": ', CASE p_partkey % 2 WHEN 0 THEN '[{{"rate": 4}}]' ELSE '"4% for a year"' END, ', "regular_interest_rate": ', CASE p_partkey % 6 WHEN 0 THEN '"2.5%"' ELSE '2.5' END, ', "other": {{"a": [1, "b"]}}}}',
                       CASE p_partkey % 11 WHEN 0 THEN ' and more' ELSE '' END) AS payload
         FROM {part}""",
+    "component_page": """
+        SELECT page_id, url, concat(coalesce(html, ''), '<script type="application/json">{{"products": [{{"title": "Product ', CAST(page_id AS STRING), '", "cta": {{"targetUrl": "/products/', CAST(page_id % 50 AS STRING), '/"}}}}, {{"name": "Card ', CAST(page_id % 7 AS STRING),
+                      '", "learnMore": {{"path": "cards/', CAST(page_id % 20 AS STRING), '/"}}, "monthlyFee": "$', CAST(page_id % 9 AS STRING), '"}}]}}</script><div data-cardname="Visa ', CAST(page_id % 5 AS STRING), '" data-cardurl="/content/site/visa-', CAST(page_id % 5 AS STRING), '.html"></div>') AS html
+        FROM {pages}""",
     "named": """
         SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id, concat('B', CAST(p_partkey % 10 AS STRING)) AS bank_code,
                CASE p_partkey % 9 WHEN 8 THEN 'Savings Account' ELSE concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' Account' WHEN 1 THEN ' Plus Account' WHEN 2 THEN '' ELSE ' Plus Savings Account' END) END AS product_name

@@ -2,7 +2,7 @@
 
 import pytest
 
-from quarrystone.operators import sections
+from quarrystone.operators import components, sections
 
 PAGE = """<html><head><title>t</title><style>p{}</style></head><body><nav><p>menu</p></nav><main><div>Lead <b>in</b></div>
 <h1>Rates &amp; fees</h1><p>One  two</p><p>One two</p><ul><li>Item</li></ul><div><span>Leaf</span><span>4.5%</span></div><script>var t="</p>";</script>
@@ -22,7 +22,7 @@ def test_odd_pages(html, want):
 def test_structured_texts():
     html = """<script type="application/ld+json">{"@type": "Product", "name": "Card &amp; more", "offers": [{"description": "<b>No</b> fee", "price": 3}, {"value": 4.5}], "url": "x"}</script>
 <div data-props='{"title": "Rate", "nested": {"text": "5%", "flag": true}}' data-id="7"></div><script type="application/json">{broken</script><script>var a = {"name": "no"};</script><script type="text/json">[]</script>"""
-    assert sections.structured_texts(html) == ["Card & more\nNo fee\n4.5", "Rate\n5%"] and sections.structured_texts("") == []
+    assert components.texts_of(html) == ["Card & more\nNo fee\n4.5", "Rate\n5%"] and components.texts_of("") == []
 
 
 def test_sections_and_chunks_of_a_table(spark):
