@@ -144,6 +144,16 @@ def slug(text: str) -> str:
 SECTIONS = "page_id long, section_index int, anchor string, text string, start int, stop int"
 
 
+def rows_of(key: object, html: str) -> list[tuple]:
+    """(key, section_index, anchor, text, start, stop) of a page's sections."""
+    out, at = [], 0
+    own = [(slug(heading), text) for heading, text in sections_of(html)] + [(f"structured-component-{k}", text) for k, text in enumerate(components.texts_of(html), 1)]
+    for k, (anchor, text) in enumerate(own):
+        out.append((key, k, anchor, text, at, at + len(text)))
+        at += len(text) + 2
+    return out
+
+
 def sections(pages: DataFrame) -> DataFrame:
     """(page_id, section_index, anchor, text, start, stop) of every page; places count in the sections' texts joined by an empty line.
     Texts of structured data follow the sections.
@@ -152,15 +162,7 @@ def sections(pages: DataFrame) -> DataFrame:
     or empty page has no sections.
     """
 
-    def rows(page_id: int, html: str) -> list[tuple]:
-        out, at = [], 0
-        own = [(slug(heading), text) for heading, text in sections_of(html)] + [(f"structured-component-{k}", text) for k, text in enumerate(components.texts_of(html), 1)]
-        for k, (anchor, text) in enumerate(own):
-            out.append((page_id, k, anchor, text, at, at + len(text)))
-            at += len(text) + 2
-        return out
-
-    return each_text(pages, "page_id", "html", rows, SECTIONS)
+    return each_text(pages, "page_id", "html", rows_of, SECTIONS)
 
 
 def section_chunks(parts: DataFrame, size: int = CHUNK, overlap: int = OVERLAP) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import admin, cleaning, discovery, documents, gates, lifecycle, mentions, pages, public, quality, rates, records, supplements  # noqa: F401
+from quarrystone.plans import admin, cleaning, discovery, documents, gates, lifecycle, mentions, pages, public, quality, rates, records, sources, supplements  # noqa: F401
 from quarrystone.plans.registry import QUERIES, SQL, Query
 
 

@@ -115,6 +115,21 @@ VIEWS = {
         SELECT page_id, url, concat(coalesce(html, ''), '<script type="application/json">{{"products": [{{"title": "Product ', CAST(page_id AS STRING), '", "cta": {{"targetUrl": "/products/', CAST(page_id % 50 AS STRING), '/"}}}}, {{"name": "Card ', CAST(page_id % 7 AS STRING),
                       '", "learnMore": {{"path": "cards/', CAST(page_id % 20 AS STRING), '/"}}, "monthlyFee": "$', CAST(page_id % 9 AS STRING), '"}}]}}</script><div data-cardname="Visa ', CAST(page_id % 5 AS STRING), '" data-cardurl="/content/site/visa-', CAST(page_id % 5 AS STRING), '.html"></div>') AS html
         FROM {pages}""",
+    "registered": """
+        SELECT page_id AS source_id, concat('https://www.bank.example/p', CAST(page_id AS STRING), CASE WHEN page_id % 9 = 4 THEN '.pdf' ELSE '' END) AS url, CASE WHEN page_id % 9 = 4 THEN 'pdf' ELSE 'html' END AS source_type,
+               CASE WHEN page_id % 40 = 0 THEN 'entry' WHEN page_id % 9 = 4 THEN 'supporting' ELSE 'detail' END AS role
+        FROM {pages} WHERE page_id % 7 <> 6""",
+    "site_link": """
+        SELECT concat('https://www.bank.example/p', CAST(page_id AS STRING)) AS from_url,
+               CASE k WHEN 0 THEN concat('https://www.bank.example/p', CAST(page_id * 2 + 1 AS STRING), CASE WHEN (page_id * 2 + 1) % 9 = 4 THEN '.pdf' ELSE '' END) WHEN 1 THEN concat('https://www.bank.example/p', CAST(page_id + 3 AS STRING)) WHEN 2 THEN concat('https://www.bank.example/compare/p', CAST(page_id % 5 AS STRING))
+                 WHEN 3 THEN CASE page_id % 4 WHEN 0 THEN 'https://other.example/offers/x' WHEN 1 THEN 'https://other.example/x' WHEN 2 THEN 'https://secure.bank.example/login' ELSE NULL END ELSE concat('https://www.bank.example/p', CAST(page_id AS STRING)) END AS target_url
+        FROM {pages} JOIN (VALUES (0), (1), (2), (3), (4)) AS listed (k) ON true""",
+    "listing": """
+        SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'credit-card' WHEN 1 THEN 'line-of-credit' ELSE 'mortgage' END AS product_type,
+               concat('<main><h1>Overview</h1><p>Annual fee: $1</p><p>Purchase rate: 9%</p><h2>Gold ', CAST(page_id % 11 AS STRING), '</h2><p>Annual fee: $', CAST(page_id % 130 AS STRING), '</p><p>', CASE page_id % 4 WHEN 0 THEN 'No rate' ELSE 'Purchase rate: 19.99%' END,
+                      '</p><p>A rate of prime</p><p>Secured by home equity</p><p>Limit of $', CAST(page_id AS STRING), '</p><p>Interest only</p><h2>Silver</h2><p>Annual fee: $0</p><p>Purchase APR 20.5 %</p><h3>', CASE page_id % 5 WHEN 0 THEN 'Silver' ELSE 'Student Line' END,
+                      '</h3><p>Rate: 7%</p><p>Unsecured</p><p>Your limit depends</p><p>Minimum payment: 3%</p><p>No annual fee</p></main>') AS html
+        FROM {pages}""",
     "named": """
         SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id, concat('B', CAST(p_partkey % 10 AS STRING)) AS bank_code,
                CASE p_partkey % 9 WHEN 8 THEN 'Savings Account' ELSE concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' Account' WHEN 1 THEN ' Plus Account' WHEN 2 THEN '' ELSE ' Plus Savings Account' END) END AS product_name
