@@ -130,6 +130,32 @@ VIEWS = {
                       '</p><p>A rate of prime</p><p>Secured by home equity</p><p>Limit of $', CAST(page_id AS STRING), '</p><p>Interest only</p><h2>Silver</h2><p>Annual fee: $0</p><p>Purchase APR 20.5 %</p><h3>', CASE page_id % 5 WHEN 0 THEN 'Silver' ELSE 'Student Line' END,
                       '</h3><p>Rate: 7%</p><p>Unsecured</p><p>Your limit depends</p><p>Minimum payment: 3%</p><p>No annual fee</p></main>') AS html
         FROM {pages}""",
+    "source_snapshot": """
+        SELECT concat('N', CAST(o_orderkey AS STRING)) AS snapshot_id, concat('D', CAST(o_custkey % 300 AS STRING)) AS source_document_id, o_orderdate AS fetched_at FROM {orders}""",
+    "parsed_document": """
+        SELECT concat('A', CAST(o_orderkey AS STRING)) AS parsed_document_id, concat('N', CAST(o_orderkey AS STRING)) AS snapshot_id FROM {orders} WHERE o_orderkey % 13 <> 5""",
+    "evidence_chunk": """
+        SELECT DISTINCT concat('K', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS chunk_id, concat('A', CAST(l_orderkey AS STRING)) AS parsed_document_id FROM {lineitem}""",
+    "field_evidence_link": """
+        SELECT concat('K', CAST(l_orderkey AS STRING), '-', CAST(l_linenumber AS STRING)) AS chunk_id, concat('F', CAST(l_partkey AS STRING)) AS field_id FROM {lineitem} WHERE l_partkey % 50 = 3""",
+    "ingestion_run": """
+        SELECT concat('R', CAST(o_orderkey AS STRING)) AS run_id, CASE WHEN o_orderstatus = 'P' AND o_orderkey % 5 = 0 THEN 'started' WHEN o_orderstatus = 'F' THEN 'failed' ELSE 'completed' END AS run_state, o_orderdate AS started_at,
+               CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE o_orderdate + INTERVAL '2' HOUR END AS completed_at, concat('{{"pipeline_stage": "parse", "bank_code": "B', CAST(o_custkey % 10 AS STRING), '"', CASE o_orderkey % 3 WHEN 0 THEN ', "notes": ["long", "ones"]' ELSE '' END, '}}') AS run_metadata
+        FROM {orders}""",
+    "run_source_item": """
+        SELECT concat('R', CAST(o_orderkey AS STRING)) AS run_id, concat('N', CAST(o_orderkey * 7 % 15000 AS STRING)) AS selected_snapshot_id FROM {orders}""",
+    "model_execution": """
+        SELECT concat('M', CAST(event_id AS STRING)) AS execution_id, concat('R', CAST(event_id * 3 AS STRING)) AS run_id, CASE WHEN event_id % 17 = 0 THEN 'started' ELSE 'completed' END AS execution_status,
+               CASE event_type WHEN 'view' THEN 'ai_verification' ELSE event_type END AS stage_name, CASE WHEN event_id % 4 = 0 THEN NULL ELSE concat('T', CAST(user_id AS STRING)) END AS review_task_id, ts AS started_at FROM {events}""",
+    "candidate": """
+        SELECT concat('N', CAST(o_orderkey AS STRING)) AS candidate_id, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE concat('M', CAST(o_orderkey % 4000 AS STRING)) END AS execution_id FROM {orders}""",
+    "refresh_request": """
+        SELECT concat('Q', CAST(event_id AS STRING)) AS request_id, CASE event_type WHEN 'view' THEN 'waiting' WHEN 'click' THEN 'failed' ELSE 'completed' END AS request_status, ts AS requested_at, CASE WHEN event_id % 5 = 0 THEN NULL ELSE ts + INTERVAL '3' HOUR END AS completed_at FROM {events}""",
+    "login_attempt": """
+        SELECT event_id AS attempt_id, CASE WHEN event_id % 29 = 0 THEN NULL WHEN event_id % 3 = 0 THEN '10.0.0.1' ELSE concat('10.0.', CAST(user_id % 7 AS STRING), '.', CAST(user_id AS STRING)) END AS ip_address,
+               CASE event_type WHEN 'view' THEN 'success' WHEN 'click' THEN 'failed' WHEN 'error' THEN 'locked_out' ELSE 'rate_limited' END AS attempt_outcome, ts AS attempted_at FROM {events}""",
+    "admin_session": """
+        SELECT concat('S', CAST(event_id AS STRING)) AS session_id, CASE WHEN event_id % 3 = 0 THEN ts ELSE NULL END AS revoked_at, ts + INTERVAL '12' HOUR AS absolute_expires_at FROM {events}""",
     "named": """
         SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id, concat('B', CAST(p_partkey % 10 AS STRING)) AS bank_code,
                CASE p_partkey % 9 WHEN 8 THEN 'Savings Account' ELSE concat(p_name, CASE p_partkey % 4 WHEN 0 THEN ' Account' WHEN 1 THEN ' Plus Account' WHEN 2 THEN '' ELSE ' Plus Savings Account' END) END AS product_name
