@@ -130,6 +130,16 @@ VIEWS = {
                       '</p><p>A rate of prime</p><p>Secured by home equity</p><p>Limit of $', CAST(page_id AS STRING), '</p><p>Interest only</p><h2>Silver</h2><p>Annual fee: $0</p><p>Purchase APR 20.5 %</p><h3>', CASE page_id % 5 WHEN 0 THEN 'Silver' ELSE 'Student Line' END,
                       '</h3><p>Rate: 7%</p><p>Unsecured</p><p>Your limit depends</p><p>Minimum payment: 3%</p><p>No annual fee</p></main>') AS html
         FROM {pages}""",
+    "profiled": """
+        SELECT concat('P', CAST(p_partkey AS STRING)) AS product_id, CASE p_partkey % 6 WHEN 0 THEN 'CA' WHEN 1 THEN ' us' WHEN 2 THEN 'JP' WHEN 3 THEN '' WHEN 4 THEN NULL ELSE 'US' END AS country_code,
+               CASE p_partkey % 11 WHEN 0 THEN 'chequing' WHEN 1 THEN 'Savings' WHEN 2 THEN 'gic' WHEN 3 THEN 'credit-card' WHEN 4 THEN 'mortgage' WHEN 5 THEN 'personal-loan' WHEN 6 THEN 'line-of-credit' WHEN 7 THEN '' WHEN 8 THEN 'new-type' WHEN 9 THEN 'savings' ELSE 'gic' END AS product_type,
+               concat('{{"monthly_fee": ', CASE p_partkey % 4 WHEN 0 THEN '0' WHEN 1 THEN '"$5"' WHEN 2 THEN '4.5' ELSE 'null' END, CASE p_partkey % 3 WHEN 0 THEN ', "public_display_rate": 2.5' WHEN 1 THEN ', "standard_rate": "as agreed", "base_12_month_rate": "3.1%"' ELSE '' END,
+                      CASE p_partkey % 5 WHEN 0 THEN ', "promotional_rate": 5' WHEN 1 THEN ', "minimum_balance": 100' WHEN 2 THEN ', "minimum_deposit": "500", "fee_waiver_condition": " "' ELSE ', "fee_waiver_condition": "Keep $4,000"' END,
+                      CASE p_partkey % 7 WHEN 0 THEN ', "redeemable_flag": "true"' WHEN 1 THEN ', "redeemable_flag": false, "unlimited_transactions_flag": false' WHEN 2 THEN ', "non_redeemable_flag": true, "unlimited_transactions_flag": true' ELSE ', "included_transactions": 12' END,
+                      CASE p_partkey % 8 WHEN 0 THEN ', "term_rate_table": [{{"rate": "4%", "term_label": "1 year"}}]' WHEN 1 THEN ', "term_rate_table": [{{"rate": 4}}], "term_length_text": "1 year"' WHEN 2 THEN ', "interest_rate_summary": "Interest rate of 4.5%", "rate_type": "fixed", "term_length_text": "5 years"'
+                        WHEN 3 THEN ', "interest_rate_summary": "Ask us", "interest_rate": 7, "loan_amount_text": "up to $5", "credit_limit_text": "$9"' ELSE ', "annual_fee": "$120", "purchase_interest_rate": 19.99, "secured_flag": true, "early_withdrawal_penalty": "90 days"' END, '}}') AS payload,
+               CASE p_partkey % 2 WHEN 0 THEN 'standard_rate,monthly_fee,notes' ELSE 'standard_rate,notes' END AS expected
+        FROM {part}""",
     "source_snapshot": """
         SELECT concat('N', CAST(o_orderkey AS STRING)) AS snapshot_id, concat('D', CAST(o_custkey % 300 AS STRING)) AS source_document_id, o_orderdate AS fetched_at FROM {orders}""",
     "parsed_document": """
