@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import admin, cleaning, discovery, documents, gates, lifecycle, mentions, pages, profiles, public, quality, rates, records, retention, sources, supplements  # noqa: F401
+from quarrystone.plans import admin, attempts, cleaning, discovery, documents, gates, lifecycle, mentions, pages, profiles, public, quality, rates, records, retention, sources, supplements  # noqa: F401
 from quarrystone.plans.registry import QUERIES, SQL, Query
 
 
