@@ -7,9 +7,11 @@ shingle of it, so the necessary prefix of that order is one shingle, the rarest.
 are joined with the windows on it; the shingle's place in the window and the lengths bound
 where the window may stand; what is left is verified word by word.
 
-The windows of a block of at most ``BLOCK`` rows go to all tasks, and documents never move.
-A larger benchmark is taken in several blocks, each a pass over all documents that adds to
-what the passes before have found; so no size of benchmark is out of reach of a task.
+The windows of a block, at most ``BLOCK`` different ones, go to all tasks without their items,
+and documents never move. A larger benchmark is taken in several blocks, each a pass over all
+documents that adds to what the passes before have found; so no size of benchmark is out of
+reach of a task. Which items hold a window is joined afterwards, once for each different set
+of windows that documents hold; so a window that very many items share goes to no task whole.
 
 * Null texts, in either table, have no words and so no windows and no hits. A document with
   no words isn't contaminated.
@@ -20,7 +22,7 @@ what the passes before have found; so no size of benchmark is out of reach of a
 
 from __future__ import annotations
 
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -82,19 +84,17 @@ def document_frequencies(docs: DataFrame, wanted: set[tuple[bytes, ...]]) -> dic
 class Index:
     """Windows by their rarest shingle, then by the shingle's place in the window and the window's length."""
 
-    def __init__(self, rows: list[tuple[str | None, bytes]], frequency: dict[tuple[bytes, ...], int], size: int = SHINGLE):
-        items: dict[tuple[bytes, ...], list[str]] = defaultdict(list)
-        for item, text in rows:
-            items[tuple(text.split(b" "))].extend([item] if item is not None else [])
+    def __init__(self, rows: list[tuple[int, bytes]], frequency: dict[tuple[bytes, ...], int], size: int = SHINGLE):
         self.by: dict[int, dict] = {}
-        for words, own in items.items():
+        for number, text in rows:
+            words = tuple(text.split(b" "))
             shingles = shingled(list(words), min(size, len(words)))
             rarest = min(shingles, key=lambda s: (frequency.get(s, 0), s))
             places = self.by.setdefault(len(rarest), {}).setdefault(rarest, {})
-            places.setdefault((shingles.index(rarest), len(words)), {})[words] = own
+            places.setdefault((shingles.index(rarest), len(words)), {})[words] = number
 
-    def search(self, words: list[bytes], spans: list[tuple[int, int]], items: set[str]) -> None:
-        """Adds the places of windows in ``words``, as (start, end), and the items they come from."""
+    def search(self, words: list[bytes], spans: list[tuple[int, int]], found: set[int]) -> None:
+        """Adds the places of windows in ``words``, as (start, end), and the windows' numbers."""
         n = len(words)
         for size, index in self.by.items():
             shingles = shingled(words, size)
@@ -104,9 +104,9 @@ class Index:
                 if shingle in index:
                     for (offset, length), exact in index[shingle].items():
                         start = at - offset
-                        if start >= 0 and start + length <= n and (own := exact.get(tuple(words[start : start + length]))) is not None:
+                        if start >= 0 and start + length <= n and (number := exact.get(tuple(words[start : start + length]))) is not None:
                             spans.append((start, start + length))
-                            items.update(own)
+                            found.add(number)
 
 
 def merged(spans: list[tuple[int, int]]) -> list[int]:
@@ -120,64 +120,79 @@ def merged(spans: list[tuple[int, int]]) -> list[int]:
     return out
 
 
-FOUND = "n_words long, spans array<int>, items array<string>"
-
-
-def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> DataFrame:
-    """``docs`` with n_words, spans (hit words, as start, end, start, end ...) and items (ids as text)."""
+def occurrences(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """``docs`` with n_words, spans (hit words, as start, end, start, end ...) and windows (numbers of those found), and (window, item) of the benchmark."""
     spark = docs.sparkSession
-    names = [*docs.columns, "n_words", "spans", "items"]
+    names = [*docs.columns, "n_words", "spans", "windows"]
     at = names.index("text")
     parts = written(windows(benchmark, window), "windows")
-    blocks = max(1, -(-parts.count() // block))
-    state = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    forms = written(parts.select("words").distinct().withColumn("window", F.monotonically_increasing_id()), "window-forms")
+    blocks = max(1, -(-forms.count() // block))
+    state = docs.select("*", F.lit(0).cast("long").alias("n_words"), F.array().cast("array<int>").alias("spans"), F.array().cast("array<long>").alias("windows"))
     for k in range(blocks):
-        rows = [(r["item"], r["words"].encode()) for r in parts.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()]
+        rows = [(r["window"], r["words"].encode()) for r in forms.where(F.pmod(F.xxhash64("words"), F.lit(blocks)) == k).collect()]
         wanted = {s for _, w in rows for s in shingled(w.split(b" "), min(shingle, w.count(b" ") + 1))}
         shared = spark.sparkContext.broadcast(Index(rows, document_frequencies(docs, wanted) if wanted else {}, shingle))
 
         def search(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             index = shared.value
             for b in sliced(batches, at):
-                n_words, all_spans, all_items = [], [], []
+                n_words, all_spans, all_found = [], [], []
                 for text, before, had in zip(texts_of(b.column(at)), b.column(len(names) - 2).to_pylist(), b.column(len(names) - 1).to_pylist(), strict=True):
-                    words, items = words_of(text), set(had)
+                    words, found = words_of(text), set(had)
                     spans = list(zip(before[::2], before[1::2], strict=True))
-                    index.search(words, spans, items)
+                    index.search(words, spans, found)
                     n_words.append(len(words))
                     all_spans.append(merged(spans))
-                    all_items.append(sorted(items))
-                yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n_words, pa.int64()), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_items, pa.list_(pa.string()))], names)
+                    all_found.append(sorted(found))
+                yield pa.RecordBatch.from_arrays([*b.columns[:-3], pa.array(n_words, pa.int64()), pa.array(all_spans, pa.list_(pa.int32())), pa.array(all_found, pa.list_(pa.int64()))], names)
 
         state = state.mapInArrow(search, state.schema)
         if k + 1 < blocks:
             state = written(state, "contamination")
-    return state
+    return state, parts.where("item IS NOT NULL").join(forms, "words").select("window", "item")
+
+
+def judged(found: DataFrame) -> DataFrame:
+    """``found`` with n_hit and contaminated in place of spans."""
+    n_hit = F.expr("aggregate(sequence(0, size(spans) - 2, 2), 0L, (n, i) -> n + spans[i + 1] - spans[i])")
+    hit = found.withColumn("n_hit", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0)).cast("long")).drop("spans")
+    return hit.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
+
+
+def with_items(found: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``found`` (doc_id, windows, ...), written, with items (ids as text, sorted) in place of windows.
+
+    Each different set of windows is looked up once. Documents without windows, most of all, are
+    dealt out by their id.
+    """
+    sets = found.where(F.size("windows") > 0).select("windows").distinct()
+    each = sets.select("windows", F.explode("windows").alias("window")).join(pairs, "window")
+    named = each.groupBy("windows").agg(F.sort_array(F.collect_set("item")).alias("items")).withColumnRenamed("windows", "asked")
+    key = F.when(F.size("windows") > 0, F.col("windows")).otherwise(F.array(-1 - F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))))
+    joined = found.join(named, key == F.col("asked"), "left")
+    return joined.withColumn("items", F.coalesce("items", F.array().cast("array<string>"))).drop("windows", "asked")
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items, items and contaminated (see the module)."""
-    n_hit = F.expr("aggregate(sequence(0, size(spans) - 2, 2), 0L, (n, i) -> n + spans[i + 1] - spans[i])")
-    return (
-        occurrences(docs, benchmark, **how)
-        .withColumn("n_hit", F.when(F.size("spans") > 0, n_hit).otherwise(F.lit(0)).cast("long"))
-        .withColumn("n_items", F.size("items").cast("long"))
-        .withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * SHARE >= F.col("n_words")))
-        .drop("spans")
-    )
+    found, pairs = occurrences(docs, benchmark, **how)
+    return with_items(written(judged(found), "contamination"), pairs).withColumn("n_items", F.size("items").cast("long"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't contaminated."""
     names = docs.columns
     own = docs.select(*[F.col(c).alias(f"doc_{i}") if c != "text" else F.col(c) for i, c in enumerate(names)])
-    return contamination(own, benchmark).where(~F.col("contaminated")).select(*[F.col(f"doc_{i}" if c != "text" else c).alias(c) for i, c in enumerate(names)])
+    found, _ = occurrences(own, benchmark)
+    return judged(found).where(~F.col("contaminated")).select(*[F.col(f"doc_{i}" if c != "text" else c).alias(c) for i, c in enumerate(names)])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
-    named = F.array_join(F.array_sort("items"), ",")
-    return contamination(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark).select("doc_id", "n_words", "n_hit", "n_items", F.sha2(named, 256).alias("items_sha256"), "contaminated")
+    found, pairs = occurrences(docs.select("doc_id", F.col("text").cast("string").alias("text")), benchmark)
+    told = with_items(written(judged(found).drop("text"), "contamination"), pairs)
+    return told.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
 SQL = r"""

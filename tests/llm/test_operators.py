@@ -560,13 +560,28 @@ def test_contamination(spark, odd, block):
     items = [(1, "Same TEXT, for two"), (2, "word " * 20), (10, None), (11, ""), (12, "漢字"), (13, " ".join(map(str, range(20)))), (2, "word " * 20), (None, "one")]
     benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("words", F.lit(1))
     extra = [(50, " ".join(map(str, range(4, 30))) + " and more"), (51, " ".join(map(str, range(8, 20)))), (52, "x " * 300 + " ".join(map(str, range(13))))]
-    docs = odd.select("doc_id", "text").where("doc_id <> 10").union(spark.createDataFrame(extra, "doc_id long, text string"))
+    docs = odd.select("doc_id", "text").union(spark.createDataFrame(extra, "doc_id long, text string"))
     found = decontaminate.contamination(docs, benchmark, block=block).select("doc_id", "text", "n_words", "n_hit", "n_items", F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("sha"), "contaminated").collect()
     assert len(found) == docs.count()
     for r in found:
         assert (r.n_words, r.n_hit, r.n_items, r.sha, r.contaminated) == brute_contamination(r.text, items)
 
 
+def test_a_window_of_all_items(spark):
+    """No task, and not the driver, holds the items of a window that all of them have; sets of windows are looked up once."""
+    common = " ".join(f"w{k}" for k in range(13))
+    items = [(k, f"{common} tail{k}") for k in range(400)]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    docs = spark.createDataFrame([(k, f"some words {common}" if k % 3 else f"clean {k}") for k in range(60)] + [(99, f"{common} tail7 and"), (None, common)], "doc_id long, text string")
+    rows = {r.doc_id: r for r in decontaminate.report(docs, benchmark).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for i in (0, 1, 2, 99, None):
+        r = rows[i]
+        assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == brute_contamination(texts[i], items)
+    found, pairs = decontaminate.occurrences(docs, benchmark)
+    assert found.where("size(windows) > 0").select("windows").distinct().count() == 2 and pairs.select("window").distinct().count() == 401
+
+
 def test_contamination_of_empty_tables(spark, odd):
     benchmark = spark.createDataFrame([(1, "a b c")], "item_id long, text string")
     assert decontaminate.report(empty(odd), benchmark).count() == 0
