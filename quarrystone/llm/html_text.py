@@ -29,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarrystone.llm.common import sliced
 from quarrystone.llm.html_blocks import Block, blocks
 
 PATH_DIMS, WORD_DIMS, MEASURES, HIDDEN = 256, 64, 8, 24
@@ -325,6 +326,8 @@ def trained() -> Labeller:
 
 
 TEXT = "page_id long, url string, text string, n_chars long"
+#: Bytes of pages that are cut into blocks at a time.
+PAGE_BYTES = 8 << 20
 
 
 def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
@@ -332,7 +335,7 @@ def extract(pages: DataFrame, model: Labeller | None = None) -> DataFrame:
     shared = pages.sparkSession.sparkContext.broadcast(model or trained())
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches, 2, PAGE_BYTES):
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 cut = [blocks(h or "") for h in part.column(2).to_pylist()]
