@@ -71,14 +71,18 @@ def hashed_embedding(df: DataFrame, key: str, text: str) -> DataFrame:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = ASKED) -> DataFrame:
     """The ``k`` nearest vectors of each query by cosine, brute force.
 
-    Queries are dealt into blocks of some ``block``. A task holds one block against one part
-    of the vectors and keeps its best ``k`` of each query; only those meet.
+    Vectors are brought to unit length once, before they are paired. Queries are dealt into
+    blocks of some ``block``. A task holds one block against one part of the vectors and keeps
+    its best ``k`` of each query; only those meet.
     """
-    dot = F.aggregate(F.zip_with("embedding", "asked", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, x: s + x)
-    norm = lambda c: F.sqrt(F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("asked"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.transform("embedding", lambda x: x.cast("double") / F.col("norm"))
+    units = lambda df: df.withColumn("norm", norm).select("vec_id", unit.alias("unit"))
+    dot = F.aggregate(F.zip_with("unit", "asked", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    asked = units(queries).toDF("query_id", "asked")
     asked = asked.repartition(max(1, -(-asked.count() // block)))
-    scored = vectors.crossJoin(asked.hint("shuffle_replicate_nl")).where("vec_id <> query_id").select("query_id", "vec_id", (dot / (norm("embedding") * norm("asked"))).alias("cosine"))
+    own = units(vectors).repartition(vectors.sparkSession.sparkContext.defaultParallelism)  # made once, not for each block
+    scored = own.crossJoin(asked.hint("shuffle_replicate_nl")).where("vec_id <> query_id").select("query_id", "vec_id", dot.alias("cosine"))
     return latest_per_key(scored, ["query_id"], [F.desc("cosine"), F.asc("vec_id")], k, "rank")
 
 

@@ -84,18 +84,19 @@ t AS (SELECT page_id, url, lower(trim(regexp_replace(regexp_extract(html, '(?is)
 
 
 @query(rf"""
-WITH {TITLED}, g AS (SELECT *, row_number() OVER (PARTITION BY bank, substr(title, 1, 3), substr(heading, 1, 3) ORDER BY length(url), url, page_id) AS k FROM t WHERE title <> '' AND heading <> '')
-SELECT bank, substr(title, 1, 3) AS title_key, substr(heading, 1, 3) AS heading_key, min(CASE WHEN k = 1 THEN page_id END) AS page_id, CAST(count(*) AS BIGINT) AS n, coalesce(string_agg(CASE WHEN k > 1 THEN url END, ' ' ORDER BY k), '') AS aliases FROM g GROUP BY 1, 2, 3""")
+WITH {TITLED}, g AS (SELECT *, first_value(page_id) OVER w AS preferred_id, count(*) OVER (PARTITION BY bank, title, heading) AS n FROM t WHERE title <> '' AND heading <> '' WINDOW w AS (PARTITION BY bank, title, heading ORDER BY length(url), url, page_id))
+SELECT page_id, preferred_id, CASE WHEN page_id <> preferred_id THEN url END AS alias, CAST(n AS BIGINT) AS n FROM g""")
 def preferred_details(spark, sf_dir):
-    """Of pages with one identity that with the shortest URL, and the others' URLs as its aliases.
+    """Of pages of a bank with one title and heading that with the shortest URL, and each other page as an alias of it.
 
-    The others are gathered per identity; an identity that very many pages share is what this is to find.
+    The choice is an aggregation, and its result goes back to the pages by a join, so an identity that very many
+    pages share is in no row and no task whole.
     """
     clean = lambda pattern: F.lower(tx.collapsed(F.regexp_extract("html", pattern, 1)))
     own = read(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") % 3).alias("bank"), clean(discovery.TITLE).alias("title"), clean(discovery.HEADING).alias("heading")).where("title <> '' AND heading <> ''")
-    rows = F.array_sort(F.collect_list(F.struct(F.length("url").alias("size"), "url", "page_id")))
-    found = own.groupBy("bank", F.substring("title", 1, 3).alias("title_key"), F.substring("heading", 1, 3).alias("heading_key")).agg(rows.alias("rows"))
-    return found.select("bank", "title_key", "heading_key", F.col("rows")[0]["page_id"].alias("page_id"), F.size("rows").cast("bigint").alias("n"), F.array_join(F.transform(F.slice("rows", 2, 1 << 30), lambda r: r["url"]), " ").alias("aliases"))
+    own = own.select("page_id", "url", F.sha2(F.concat_ws("\n", F.col("bank").cast("string"), "title", "heading"), 256).alias("identity"))
+    best = own.groupBy("identity").agg(F.min(F.struct(F.length("url").alias("size"), "url", "page_id")).alias("best"), F.count("*").alias("n"))
+    return own.join(best, "identity").select("page_id", F.col("best.page_id").alias("preferred_id"), F.when(F.col("page_id") != F.col("best.page_id"), F.col("url")).alias("alias"), "n")
 
 
 #: What fetching a page gave: redirects, other types, failures.

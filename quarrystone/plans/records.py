@@ -71,13 +71,14 @@ def verification_age(spark, sf_dir):
 
 @query(sql("""
 WITH e AS (SELECT product_id, '[' || string_agg('{"no":' || version_no || ',"note":"' || note || '"}', ',' ORDER BY version_no) || ']' AS evidence FROM version WHERE version_no <= 3 GROUP BY 1)
-SELECT bank_code, CAST(count(*) AS BIGINT) AS n, '[' || string_agg('{"product_id":"' || product_id || '","evidence":' || coalesce(evidence, '[]') || '}', ',' ORDER BY product_id) || ']' AS export FROM product LEFT JOIN e USING (product_id) WHERE status = 'active' GROUP BY 1""", "product", "version"))
+SELECT bank_code, product_id, '{"product_id":"' || product_id || '","evidence":' || coalesce(evidence, '[]') || '}' AS export FROM product LEFT JOIN e USING (product_id) WHERE status = 'active'""", "product", "version"))
 def result_export(spark, sf_dir):
-    """Products of each bank with their first evidence nested, as one JSON text; a bank's export is one row by its nature."""
+    """Active products with their first evidence nested, a JSON text for each; a bank's export is its rows."""
     row = F.struct(F.col("version_no").alias("no"), "note")
     evidence = read(spark, sf_dir, "version").where("version_no <= 3").groupBy("product_id").agg(F.array_sort(F.collect_list(row)).alias("evidence"))
-    products = read(spark, sf_dir, "product").where("status = 'active'").join(evidence, "product_id", "left").select("bank_code", F.struct("product_id", F.coalesce("evidence", F.array().cast("array<struct<no: int, note: string>>")).alias("evidence")).alias("p"))
-    return products.groupBy("bank_code").agg(F.count("*").alias("n"), F.to_json(F.array_sort(F.collect_list("p"))).alias("export"))
+    products = read(spark, sf_dir, "product").where("status = 'active'").join(evidence, "product_id", "left")
+    own = F.struct("product_id", F.coalesce("evidence", F.array().cast("array<struct<no: int, note: string>>")).alias("evidence"))
+    return products.select("bank_code", "product_id", F.to_json(own).alias("export"))
 
 
 @query(sql("""
@@ -86,9 +87,8 @@ SELECT change_id, product.product_id, version.version_id, bank.bank_name, refres
 JOIN bank ON bank.bank_code = product.bank_code AND bank.country_code = product.country_code LEFT JOIN refresh ON refresh.snapshot_id = 'S' || substr(change.change_id, 2)""", "change", "product", "version", "bank", "refresh"))
 def change_lineage(spark, sf_dir):
     """A change back to its product, that one's current version by number, its bank, and the snapshot that showed it."""
-    version = read(spark, sf_dir, "version").select("product_id", "version_id", "version_no")
-    current = version.groupBy("product_id").agg(F.max("version_no").alias("version_no"))
-    product = read(spark, sf_dir, "product").select("product_id", "bank_code", "country_code").join(current, "product_id", "left").join(version, ["product_id", "version_no"], "left")
+    current = read(spark, sf_dir, "version").groupBy("product_id").agg(F.max_by("version_id", "version_no").alias("version_id"))
+    product = read(spark, sf_dir, "product").select("product_id", "bank_code", "country_code").join(current, "product_id", "left")
     bank = read(spark, sf_dir, "bank").select("bank_code", "country_code", F.col("bank_name"))
     refresh = read(spark, sf_dir, "refresh").select("snapshot_id", F.concat(F.lit("E"), F.substring("snapshot_id", 2, 40)).alias("change_id"))
     return read(spark, sf_dir, "change").select("change_id", "product_id").join(product, "product_id").join(bank, ["bank_code", "country_code"]).join(refresh, "change_id", "left").select("change_id", "product_id", "version_id", "bank_name", "snapshot_id")
