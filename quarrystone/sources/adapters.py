@@ -140,6 +140,16 @@ VIEWS = {
                         WHEN 3 THEN ', "interest_rate_summary": "Ask us", "interest_rate": 7, "loan_amount_text": "up to $5", "credit_limit_text": "$9"' ELSE ', "annual_fee": "$120", "purchase_interest_rate": 19.99, "secured_flag": true, "early_withdrawal_penalty": "90 days"' END, '}}') AS payload,
                CASE p_partkey % 2 WHEN 0 THEN 'standard_rate,monthly_fee,notes' ELSE 'standard_rate,notes' END AS expected
         FROM {part}""",
+    "judged": """
+        SELECT concat('N', CAST(p_partkey AS STRING)) AS candidate_id, CASE p_partkey % 13 WHEN 0 THEN 'US' WHEN 1 THEN 'JP' ELSE 'CA' END AS country_code, concat('B', CAST(p_partkey % 10 AS STRING)) AS bank_code, 'deposit' AS product_family,
+               CASE p_partkey % 4 WHEN 0 THEN 'savings' WHEN 1 THEN 'chequing' WHEN 2 THEN 'gic' ELSE 'savings' END AS product_type, CASE p_partkey % 19 WHEN 3 THEN 'No-Fee Banking' ELSE p_name END AS product_name,
+               CASE p_partkey % 11 WHEN 0 THEN 'fixed' WHEN 1 THEN NULL ELSE 'other' END AS subtype_code, CASE p_partkey % 17 WHEN 0 THEN '' ELSE 'CAD' END AS currency, CASE p_partkey % 23 WHEN 0 THEN 'English' ELSE 'en-CA' END AS source_language,
+               CASE p_partkey % 29 WHEN 0 THEN 'partial read' ELSE 'read' END AS note, CASE p_partkey % 31 WHEN 0 THEN 'hub_page_not_detail' ELSE 'detail' END AS reason, CAST(p_size % 13 AS STRING) AS standard_rate,
+               CASE p_partkey % 37 WHEN 0 THEN '2' ELSE CAST(p_size % 13 AS STRING) END AS linked_rate, CASE p_partkey % 41 WHEN 0 THEN 'Rates as of 2020-01-02' ELSE 'Rates as of 2026-01-02' END AS excerpt,
+               concat('{{"status": "active", "last_verified_at": "', CASE p_partkey % 43 WHEN 0 THEN 'soon' ELSE '2026-04-01T00:00:00Z' END, '", "standard_rate": ', CAST(p_size % 13 AS STRING), ', "monthly_fee": ', CASE p_partkey % 7 WHEN 0 THEN '600' WHEN 1 THEN '"free"' ELSE '0' END,
+                      ', "minimum_balance": ', CASE p_partkey % 9 WHEN 0 THEN '-1' WHEN 1 THEN 'null' ELSE '5' END, ', "minimum_deposit": 1, "redeemable_flag": true, "included_transactions": 12, "term_length_days": ', CASE p_partkey % 6 WHEN 0 THEN '0' WHEN 1 THEN '1.5' ELSE '365' END,
+                      CASE p_partkey % 5 WHEN 0 THEN ', "public_display_rate": 4' WHEN 1 THEN ', "non_redeemable_flag": true' WHEN 2 THEN ', "unlimited_transactions_flag": true' ELSE '' END, '}}') AS payload
+        FROM {part}""",
     "source_snapshot": """
         SELECT concat('N', CAST(o_orderkey AS STRING)) AS snapshot_id, concat('D', CAST(o_custkey % 300 AS STRING)) AS source_document_id, o_orderdate AS fetched_at FROM {orders}""",
     "parsed_document": """
@@ -175,6 +185,7 @@ VIEWS = {
                CASE a.p_partkey % 8 WHEN 0 THEN concat('The ', a.p_name, ' Account has a monthly fee of $5.') WHEN 1 THEN concat('Monthly fee of the ', b.p_name, ': $9') WHEN 2 THEN concat(b.p_name, ' plus account, and ', a.p_name, '. Fees apply')
                  WHEN 3 THEN concat(a.p_name, ' Plus Savings Account: 4%') WHEN 4 THEN 'Savings accounts and credit cards of this bank' WHEN 5 THEN concat(b.p_name, '-PLUS! ', b.p_name, ' Account') WHEN 6 THEN NULL ELSE concat('(', a.p_name, ') plus account; plus ', b.p_name) END AS text
         FROM {part} a JOIN {part} b ON b.p_partkey = a.p_partkey + 10""",
+    "page_chunk": samples.page_chunks("p_partkey", "{part}"),
     "candidate_field": samples.candidate_fields("p_partkey", "{part}"),
 }
 

@@ -29,6 +29,22 @@ CANDIDATES = (
     ("chequing", None, (("description_short", "Banking with these extras:", None), ("monthly_fee", "$1,200.50", "Monthly fee $1,200.50"), ("included_transactions", "25", "25 transactions"), ("overdraft_available", "TRUE", "Overdraft"), ("product_name", "Plain", "Plain"))),
 )
 
+#: Pages as (family, chunks), each chunk as a page has it.
+PAGES = (
+    ("chequing", ("Everyday banking. Monthly fee: $10.95. Monthly fee waived with a $4,000 minimum balance", "25 transactions included; each additional transaction costs $1.25. Free Interac e-Transfer transfers", "Overdraft protection is there; for students it is free for 4 years. Open online or visit a branch.")),
+    ("chequing", ("No monthly fee. Unlimited debit transactions. No minimum balance", "You must be the age of majority. CDIC insured deposits")),
+    ("savings", ("Earn 5.25% for the first 3 months. The standard rate is 1.5%", "Interest is calculated daily and paid monthly. No monthly fee. Start with $25", "Promotional rate of 4.75% for 120 days, TFSA or RRSP")),
+    ("savings", ("Interest rate: 2.1%. An additional 1% is yours. No minimum deposit", "$4 per month. Newcomers to Canada: new to Canada bonus")),
+    ("gic", ("Non-redeemable. 1 year term at an annual rate of 4.5%. Minimum investment $1,000", "Interest is compounded annually; paid at maturity. Tax-free in a TFSA", "Minimum deposit: $500")),
+    ("gic", ("Cashable at any time. 90 days term. Invest from $100. Interest paid monthly or at maturity", "Regular rate 3.05%")),
+    ("credit-card", ("Annual fee: $120; annual fee for additional card $30", "Purchase rate 19.99%. Cash advance rate: 22.99%. Balance transfer: 20.5%", "Purchase APR of 19.49% to 29.49% variable. Minimum payment is $10. Credit limit of $5,000")),
+    ("credit-card", ("No annual fee. Introductory purchase rate 0% for the first 9 months", "20.99% on purchases")),
+    ("mortgage", ("5-year fixed rate of 4.89%. Amortization up to 30 years. Prepay up to 15% each year", "Prime rate less 0.5%. Weekly, biweekly or monthly payments")),
+    ("personal-loan", ("Borrow $5,000 to $50,000. Interest rate of 8.99%. Unsecured", "Apply online. Fixed interest for 3 year term. Make biweekly payments")),
+    ("line-of-credit", ("Secured by your home. Prime plus 0.5%. Borrow up to 65% of its value", "Interest only. To qualify, own a home|Book an appointment")),
+    ("savings", ("Nothing of use here", "", "Rates")),
+)
+
 
 def _literal(x: str | None) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'"
@@ -40,3 +56,10 @@ def candidate_fields(key: str, table: str) -> str:
     # the apostrophes of English texts are written as typographic ones in Spark and DuckDB alike
     values = ", ".join(f"({n}, {', '.join(_literal(x.replace(chr(39), chr(0x2019)) if x else x) for x in rest)})" for n, *rest in rows)
     return f"SELECT concat('K', CAST({key} AS STRING)) AS candidate_id, family, product_name, field, value, context FROM {table} JOIN (VALUES {values}) AS listed (n, family, product_name, field, value, context) ON {key} % {len(CANDIDATES)} = n"
+
+
+def page_chunks(key: str, table: str) -> str:
+    """SQL of (candidate_id, family, chunk_id, chunk_index, text): each row of ``table`` has the chunks of one page in turn."""
+    rows = [(n, family, k, text) for n, (family, chunks) in enumerate(PAGES) for k, text in enumerate(chunks)]
+    values = ", ".join(f"({n}, {_literal(family)}, {k}, {_literal(text)})" for n, family, k, text in rows)
+    return f"SELECT concat('K', CAST({key} AS STRING)) AS candidate_id, family, concat('K', CAST({key} AS STRING), '-', CAST(chunk_index AS STRING)) AS chunk_id, chunk_index, text FROM {table} JOIN (VALUES {values}) AS listed (n, family, chunk_index, text) ON {key} % {len(PAGES)} = n"
