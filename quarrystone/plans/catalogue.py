@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quarrystone.plans import admin, attempts, cleaning, discovery, documents, extraction, gates, lifecycle, mentions, pages, profiles, public, published, quality, rates, records, retention, sources, supplements, validation  # noqa: F401
+from quarrystone.plans import admin, attempts, cleaning, discovery, documents, extraction, gates, lifecycle, mentions, pages, profiles, public, published, quality, rates, records, retention, review, sources, supplements, validation  # noqa: F401
 from quarrystone.plans.registry import QUERIES, SQL, Query
 
 

@@ -22,7 +22,7 @@ def judged(spark, sf_dir):
     return validation.issues(df, F.lit(DAY).cast("date"))
 
 
-@query(sql(f"""
+ISSUES = f"""
 WITH p AS (SELECT *, CAST(payload AS JSON) AS j FROM judged), v AS (SELECT *, CAST(standard_rate AS DOUBLE) AS rate, CASE WHEN json_type(j, '$.monthly_fee') = 'VARCHAR' THEN 0.0 ELSE CAST(j ->> '$.monthly_fee' AS DOUBLE) END AS fee, CAST(j ->> '$.minimum_balance' AS DOUBLE) AS balance, CAST(j ->> '$.public_display_rate' AS DOUBLE) AS shown,
   j ->> '$.non_redeemable_flag' IS NOT NULL AS both_flags, j ->> '$.unlimited_transactions_flag' IS NOT NULL AS unlimited, j ->> '$.term_length_days' AS days, country_code = 'JP' AS elsewhere, country_code = 'US' AS us FROM p),
 c AS (SELECT candidate_id, [CASE WHEN source_language = 'English' THEN 'ambiguous_mapping' END, CASE WHEN reason = 'hub_page_not_detail' THEN 'ambiguous_product_boundary' END,
@@ -31,7 +31,10 @@ c AS (SELECT candidate_id, [CASE WHEN source_language = 'English' THEN 'ambiguou
   CASE WHEN json_type(j, '$.monthly_fee') = 'VARCHAR' OR days = '1.5' THEN 'invalid_field_type' END, CASE WHEN rate >= 10 OR fee >= 500 OR coalesce(balance < 0, false) THEN 'invalid_numeric_range' END, CASE WHEN NOT ({_SUBTYPES}) THEN 'invalid_taxonomy_code' END,
   CASE WHEN days IN ('0', '1.5') THEN 'invalid_term_value' END, CASE WHEN note = 'partial read' THEN 'partial_source_failure' END,
   CASE WHEN currency = '' OR j ->> '$.last_verified_at' = 'soon' OR elsewhere OR CASE product_type WHEN 'savings' THEN balance IS NULL AND NOT us OR us AND fee > 0 WHEN 'chequing' THEN CASE WHEN us THEN fee > 0 ELSE fee > 0 AND balance IS NULL END ELSE us END THEN 'required_field_missing' END] AS codes FROM v)
-SELECT candidate_id, array_to_string([x for x in codes if x IS NOT NULL], ',') AS codes, CASE WHEN len([x for x in codes if x IN {validation.ERRORS}]) > 0 THEN 'error' WHEN len([x for x in codes if x IS NOT NULL]) > 0 THEN 'warning' ELSE 'pass' END AS validation_status FROM c""", "judged"))
+SELECT candidate_id, array_to_string([x for x in codes if x IS NOT NULL], ',') AS codes, CASE WHEN len([x for x in codes if x IN {validation.ERRORS}]) > 0 THEN 'error' WHEN len([x for x in codes if x IS NOT NULL]) > 0 THEN 'warning' ELSE 'pass' END AS validation_status FROM c"""
+
+
+@query(sql(ISSUES, "judged"))
 def candidate_issues(spark, sf_dir):
     """Codes of what is wrong with each candidate, and the status that follows."""
     return judged(spark, sf_dir).select("candidate_id", F.array_join("codes", ",").alias("codes"), "validation_status")
