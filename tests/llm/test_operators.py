@@ -652,16 +652,20 @@ def test_secret_model_spans_on_planted_keys(spark):
     network, r, letters = secrets.train(docs), random.Random(77), string.ascii_letters + string.digits
     texts = [d.text for d in docs.orderBy("doc_id").limit(300).collect()]
     some = lambda alphabet, n: "".join(r.choice(alphabet) for _ in range(n))
-    kinds = [lambda: "ghp_" + some(letters, 36), lambda: "sk_live_" + some(letters, 24), lambda: some(letters + "+/", 40), lambda: some("0123456789ABCDEF", 40), lambda: some(string.ascii_letters, 32), lambda: "/hooks/services/" + some(letters, 40)]
+    kinds = [
+        lambda: "ghp_" + some(letters, 36), lambda: "sk_live_" + some(letters, 24), lambda: some(letters + "+/", 40), lambda: some("0123456789ABCDEF", 40), lambda: some(string.ascii_letters, 32), lambda: "/hooks/services/" + some(letters, 40),
+        lambda: "xoxb-" + some(string.digits, 12) + "-" + some(letters, 24), lambda: some(letters, 20), lambda: "-".join(some("0123456789abcdef", n) for n in (8, 4, 4, 4, 12)), lambda: "AIza" + some(letters + "-_", 35),
+    ]
     assert not any(k == 3 for own in secrets.spans_of([t.encode() for t in texts], network) for _, k, _ in own)
     planted, keys = [], []
-    for k in range(120):
-        text, key = r.choice(texts), kinds[k % len(kinds)]()
+    for k in range(400):
+        text, key = r.choice(texts)[:3000], kinds[k % len(kinds)]()
         at = text.find(" ", r.randrange(len(text) // 2)) + 1
         planted.append(text[:at] + key + " " + text[at:])
         keys.append((at, at + len(key)))
     got = list(secrets.spans_of([t.encode() for t in planted], network))
-    assert np.mean([any(k == 3 and s < z and a < e for s, k, e in own) for own, (a, z) in zip(got, keys, strict=True)]) > 0.9
+    hit = np.array([any(k == 3 and s < z and a < e for s, k, e in own) for own, (a, z) in zip(got, keys, strict=True)]).reshape(-1, len(kinds))
+    assert (hit.mean(0) >= 0.9).all(), hit.mean(0)
     for text, own in zip(planted, got, strict=True):
         data = text.encode()
         chars = [len(data[:k].decode("utf-8", "ignore")) for k in range(len(data) + 1)] if not data.isascii() else range(len(data) + 1)
