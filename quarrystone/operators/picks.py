@@ -30,10 +30,10 @@ def or_top(df: DataFrame, test: Column, order: list[Column], size: int, instead:
 
 
 def breakdown(df: DataFrame, code: str) -> DataFrame:
-    """code, n and share_percent of the total, for the non-blank values of a column."""
+    """code, n and share_percent of the total (halves to even), for the non-blank values of a column."""
     counts = df.where(F.col(code).isNotNull() & (F.col(code) != "")).groupBy(F.col(code).alias("code")).agg(F.count("*").alias("n"))
     total = counts.agg(F.sum("n").alias("total"))
-    return counts.crossJoin(F.broadcast(total)).select("code", "n", F.round(F.col("n") * 100.0 / F.col("total"), 2).alias("share_percent"))
+    return counts.crossJoin(F.broadcast(total)).select("code", "n", F.bround(F.col("n") * 100.0 / F.col("total"), 2).alias("share_percent"))
 
 
 def page(df: DataFrame, order: list[Column], number: int = 1, size: int = 20) -> DataFrame:

@@ -23,6 +23,33 @@ HINTS = {
     "eligibility_text": ["eligible", "eligibility", "qualify", "who can apply"],
     "payout_option": ["paid monthly", "paid annually", "at maturity", "interest paid"],
     "post_maturity_interest_rate": ["after maturity", "post-maturity", "maturity", "renewal", "reinvest"],
+    "base_12_month_rate": ["12 month", "1 year", "one year", "annual rate", "standard rate", "interest rate"],
+    "public_display_rate": ["interest rate", "rate", "earn", "%"],
+    "interest_rate_summary": ["interest rate", "variable rate", "variable return", "linked to", "rate formula", "rate at time of purchase", "return", "%"],
+    "promotional_period_text": ["promo period", "offer ends", "promotional period", "for the first"],
+    "introductory_rate_flag": ["introductory", "promotional", "bonus"],
+    "application_method": ["apply", "open account", "online", "branch", "mobile app", "phone"],
+    "tax_benefits": ["tax free", "tax-free", "tax deferred", "tfsa", "rrsp", "tax benefit"],
+    "deposit_insurance": ["cdic", "deposit insurance", "insured", "canada deposit insurance corporation"],
+    "interest_calculation_method": ["calculated daily", "daily closing balance", "interest is calculated"],
+    "interest_payment_frequency": ["paid monthly", "monthly", "interest is paid", "payment frequency"],
+    "tiered_rate_flag": ["tiered", "tiers", "interest rate tiers"],
+    "tier_definition_text": ["tier", "tiers", "balance range"],
+    "withdrawal_limit_text": ["withdrawal", "withdrawals", "debit transaction", "transaction limit"],
+    "registered_flag": ["tfsa", "rrsp", "registered"],
+    "term_length_days": ["term", "year", "month", "days"],
+    "non_redeemable_flag": ["non-redeemable", "non redeemable", "non-cashable", "non cashable"],
+    "early_withdrawal_penalty": ["early withdrawal penalty", "penalty for early withdrawal", "withdraw before maturity", "days of interest", "months of interest"],
+    "compounding_frequency": ["compounded", "compounding", "compound interest"],
+    "registered_plan_supported": ["tfsa", "rrsp", "rrif", "registered plan", "registered account"],
+    "included_transactions": ["transactions included", "debits included", "transactions per month", "free transactions"],
+    "unlimited_transactions_flag": ["unlimited transactions", "unlimited debits", "unlimited banking"],
+    "interac_e_transfer_included": ["interac e-transfer", "e-transfer included", "free e-transfer"],
+    "overdraft_available": ["overdraft", "overdraft protection"],
+    "cheque_book_info": ["cheque book", "cheques", "checks"],
+    "student_plan_flag": ["student", "student banking", "youth"],
+    "newcomer_plan_flag": ["newcomer", "new to canada"],
+    "notes": ["note", "additional information", "important", "conditions apply"],
 }
 #: Chunks that are kept of a field, and of one that is a table.
 KEPT, KEPT_OF_TABLES = 5, 12
@@ -167,8 +194,8 @@ EVIDENCE = "ev AS (SELECT product_id, avg(CAST(rate_value AS DOUBLE) / 50) AS me
 @query(sql(f"""
 WITH {CANDIDATES}, {EVIDENCE}, p AS (SELECT v.*, mean, fields, (CAST(country_code IS NOT NULL AS INTEGER) + CAST(bank_code IS NOT NULL AS INTEGER) + CAST(product_family IS NOT NULL AS INTEGER) + CAST(product_type IS NOT NULL AS INTEGER) + CAST(product_name IS NOT NULL AS INTEGER) + CAST(subtype_code IS NOT NULL AS INTEGER) + CAST(status IS NOT NULL AS INTEGER) + CAST(minimum_balance IS NOT NULL AS INTEGER)) / 8.0
   + CASE WHEN product_type = 'chequing' AND coalesce(display_fee, monthly_fee) IS NOT NULL OR product_type = 'savings' AND coalesce(direct_rate, posted_rate) IS NOT NULL OR product_type = 'gic' AND minimum_deposit IS NOT NULL THEN 0.1 ELSE 0.0 END AS complete FROM v LEFT JOIN ev USING (product_id))
-SELECT product_id, round(greatest(0.0, least(0.99, 0.28 * CAST(least(1.0, complete) AS DOUBLE) + 0.28 * coalesce(mean, 0.4) + 0.16 * least(1.0, coalesce(fields, 0) / 8.0) + 0.14 * (0.92 - CASE WHEN c1 IS NOT NULL THEN 0.15 ELSE 0.0 END) + 0.14 * 0.95
-  - CASE validation_status WHEN 'warning' THEN 0.08 WHEN 'error' THEN 0.2 ELSE 0.0 END - CASE WHEN fields > 2 THEN 0.15 ELSE 0.0 END)), 8) AS confidence FROM p""", "product", "version"))
+SELECT product_id, floor(10000 * greatest(0.0, least(0.99, 0.28 * CAST(least(1.0, complete) AS DOUBLE) + 0.28 * coalesce(mean, 0.4) + 0.16 * least(1.0, coalesce(fields, 0) / 8.0) + 0.14 * (0.92 - CASE WHEN c1 IS NOT NULL THEN 0.15 ELSE 0.0 END) + 0.14 * 0.95
+  - CASE validation_status WHEN 'warning' THEN 0.08 WHEN 'error' THEN 0.2 ELSE 0.0 END - CASE WHEN fields > 2 THEN 0.15 ELSE 0.0 END)) + 0.500001) / 10000 AS confidence FROM p""", "product", "version"))
 def source_confidence(spark, sf_dir):
     """How far a candidate can be believed: completeness, evidence, coverage, mapping and parsing, less what validation found."""
     evidence = read(spark, sf_dir, "version").groupBy("product_id").agg(F.avg(F.col("rate_value").cast("double") / 50).alias("mean"), F.count_distinct("note").alias("fields"))
@@ -177,7 +204,7 @@ def source_confidence(spark, sf_dir):
     bonus = ((kind == "chequing") & F.coalesce("display_fee", "monthly_fee").isNotNull()) | ((kind == "savings") & F.coalesce("direct_rate", "posted_rate").isNotNull()) | ((kind == "gic") & F.col("minimum_deposit").isNotNull())
     complete = gates.completeness(["country_code", "bank_code", "product_family", "product_type", "product_name", "subtype_code", "status", "minimum_balance"], bonus)
     score = gates.confidence(complete, F.col("mean"), F.col("fields"), F.array_contains("codes", "ambiguous_mapping"), F.col("validation_status"), F.col("fields") > 2)
-    return df.select("product_id", F.round(score, 8).alias("confidence"))
+    return df.select("product_id", (F.floor(10000 * score + 0.500001) / 10000).alias("confidence"))
 
 
 @query(sql(f"""

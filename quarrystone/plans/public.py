@@ -147,7 +147,7 @@ def dashboard_summary(spark, sf_dir):
 
 
 @query(projected("""
-SELECT breakdown, code, CAST(n AS BIGINT) AS n, round(n * 100.0 / total, 2) AS share_percent FROM (
+SELECT breakdown, code, CAST(n AS BIGINT) AS n, round_even(n * 100.0 / total, 2) AS share_percent FROM (
   SELECT *, sum(n) OVER (PARTITION BY breakdown) AS total FROM (
     SELECT 'type' AS breakdown, product_type AS code, count(*) AS n FROM active GROUP BY 2 UNION ALL SELECT 'bank', bank_code, count(*) FROM active GROUP BY 2))"""))
 def dashboard_composition(spark, sf_dir):
