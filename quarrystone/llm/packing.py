@@ -31,7 +31,7 @@ from quarrystone.llm.common import flat, sliced
 SEQUENCE = 1024
 DIMENSIONS, BITS = 4, 15
 FEATURES = 1024
-#: Text bytes that one task tokenizes at a time, and bytes of words whose ids it keeps.
+#: Text bytes that one task tokenizes at a time, and bytes of words whose ids a worker keeps, from task to task.
 BLOCK_BYTES, KEPT_BYTES = 4 << 20, 4 << 20
 #: Text bytes and documents whose hashed vectors are made at a time: few enough for a core's cache.
 VECTOR_BYTES, VECTORS = 1 << 19, 1000
@@ -111,7 +111,7 @@ class Ids:
         self.clear()
 
     def clear(self) -> None:
-        """Forgets all words: at the end of each task, so that no later one of the worker carries them."""
+        """Forgets all words."""
         self.words: dict[str, int] = {}
         self.heads: dict[str, int] = {}
         self.starts, self.lens, self.odd = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(1024, bool)
@@ -243,15 +243,12 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = SEQUENCE, end_id: int
             rows, made.rows = made.rows, []
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * len(names), names)
 
-        try:
-            for b in sliced(batches, 1, BLOCK_BYTES):
-                for doc_id, own in zip(b.column(0).to_pylist(), ids.of(b.column(1)), strict=True):
-                    made.put(doc_id, np.append(own, np.int32(end_id)))
-                yield out()
-            made.end()
+        for b in sliced(batches, 1, BLOCK_BYTES):
+            for doc_id, own in zip(b.column(0).to_pylist(), ids.of(b.column(1)), strict=True):
+                made.put(doc_id, np.append(own, np.int32(end_id)))
             yield out()
-        finally:
-            ids.clear()
+        made.end()
+        yield out()
 
     return (
         docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.monotonically_increasing_id().alias("row"))
