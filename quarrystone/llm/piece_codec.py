@@ -37,9 +37,9 @@ SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 MERGES = 2
 #: Characters of the longest stretch whose ids are kept, and of those that are kept before the ones not met since are forgotten.
-STRETCH, KEPT = 64, 4 << 20
+STRETCH, KEPT = 64, 3 << 20
 #: Neighbours whose compatibility is kept, and text bytes encoded at a time.
-PAIRS, BLOCK_BYTES = 400_000, 4 << 20
+PAIRS, BLOCK_BYTES = 300_000, 3 << 20
 #: Characters of a text from which its stretches are cut out one by one.
 LONG = 1 << 20
 
