@@ -12,6 +12,19 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[Column], keep: in
     return ranked.withColumnRenamed("_rank", rank) if rank else ranked.drop("_rank")
 
 
+def placed(df: DataFrame, key: str, order: str, head: int = 5) -> DataFrame:
+    """``df`` with ``place``, from 0 in each key's order of a text, and ``n``, the rows of the key; a key may have any number of rows.
+
+    Rows are ranked among those whose texts begin alike; what lies before them is a sum over the few counts of beginnings.
+    """
+    marked = df.withColumn("_head", F.substring(order, 1, head))
+    own = Window.partitionBy(key).orderBy("_head")
+    counts = marked.groupBy(key, "_head").agg(F.count("*").alias("_n"))
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("_n").over(Window.partitionBy(key))).drop("_n")
+    ranked = marked.withColumn("_rank", F.row_number().over(Window.partitionBy(key, "_head").orderBy(order)))
+    return ranked.join(counts, [key, "_head"]).withColumn("place", F.col("_before") + F.col("_rank") - 1).drop("_head", "_before", "_rank")
+
+
 def ranking(df: DataFrame, order: list[Column], size: int = 5, least: int = 3) -> DataFrame:
     """The first ``size`` rows with their rank, or none where fewer than ``least`` are there.
 

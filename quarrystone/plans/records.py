@@ -69,16 +69,22 @@ def verification_age(spark, sf_dir):
     return read(spark, sf_dir, "payload").select("product_id", at.alias("verified_at"), F.round(days, 4).alias("days_ago"))
 
 
-@query(sql("""
-WITH e AS (SELECT product_id, '[' || string_agg('{"no":' || version_no || ',"note":"' || note || '"}', ',' ORDER BY version_no) || ']' AS evidence FROM version WHERE version_no <= 3 GROUP BY 1)
-SELECT bank_code, product_id, '{"product_id":"' || product_id || '","evidence":' || coalesce(evidence, '[]') || '}' AS export FROM product LEFT JOIN e USING (product_id) WHERE status = 'active'""", "product", "version"))
+#: Products of one part of a bank's export.
+PART = 100
+
+
+@query(sql(f"""
+WITH e AS (SELECT product_id, '[' || string_agg('{{"no":' || version_no || ',"note":"' || note || '"}}', ',' ORDER BY version_no) || ']' AS evidence FROM version GROUP BY 1),
+p AS (SELECT bank_code, product_id, count(*) OVER (PARTITION BY bank_code) AS n, (row_number() OVER (PARTITION BY bank_code ORDER BY product_id) - 1) // {PART} AS part, '{{"product_id":"' || product_id || '","evidence":' || coalesce(evidence, '[]') || '}}' AS own FROM product LEFT JOIN e USING (product_id) WHERE status = 'active')
+SELECT bank_code, CAST(part AS BIGINT) AS part, CAST(n AS BIGINT) AS n, '[' || string_agg(own, ',' ORDER BY product_id) || ']' AS export FROM p GROUP BY 1, 2, 3""", "product", "version"))
 def result_export(spark, sf_dir):
-    """Active products with their first evidence nested, a JSON text for each; a bank's export is its rows."""
+    """Each bank's export: its active products in order with all their evidence nested, and how many they are; as JSON lists of ``PART`` products, which follow one another."""
     row = F.struct(F.col("version_no").alias("no"), "note")
-    evidence = read(spark, sf_dir, "version").where("version_no <= 3").groupBy("product_id").agg(F.array_sort(F.collect_list(row)).alias("evidence"))
-    products = read(spark, sf_dir, "product").where("status = 'active'").join(evidence, "product_id", "left")
+    evidence = read(spark, sf_dir, "version").groupBy("product_id").agg(F.array_sort(F.collect_list(row)).alias("evidence"))
+    products = picks.placed(read(spark, sf_dir, "product").where("status = 'active'").select("bank_code", "product_id"), "bank_code", "product_id")
     own = F.struct("product_id", F.coalesce("evidence", F.array().cast("array<struct<no: int, note: string>>")).alias("evidence"))
-    return products.select("bank_code", "product_id", F.to_json(own).alias("export"))
+    rows = products.join(evidence, "product_id", "left").select("bank_code", F.floor(F.col("place") / PART).alias("part"), "n", own.alias("own"))
+    return rows.groupBy("bank_code", "part", "n").agg(F.to_json(F.array_sort(F.collect_list("own"))).alias("export"))
 
 
 @query(sql("""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarrystone.functions import filters
 from quarrystone.functions import text as tx
 from quarrystone.operators import gates, picks, state
+from quarrystone.plans import records
 from quarrystone.sources import files, sinks
 
 
@@ -98,3 +99,14 @@ def test_source_urls_and_domains(spark):
     domains = {"https://www.Bank.com/x": "bank.com", "bank.ca/y": "bank.ca", "http://10.0.0.1/": None, "http://localhost:80": None, "intranet": None, "": None}
     df = spark.createDataFrame([(u,) for u in domains], "u string")
     assert {r.u: r.y for r in df.select("u", tx.official_domain(F.col("u")).alias("y")).collect()} == domains
+
+
+def test_an_export_holds_all_evidence_and_products_of_a_bank_in_order(spark, monkeypatch):
+    ids = sorted(f"P{k}" for k in range(230))
+    tables = {"product": spark.createDataFrame([("B1", p, "active") for p in ids] + [("B2", "P1", "active"), ("B2", "P9", "inactive")], "bank_code string, product_id string, status string"), "version": spark.createDataFrame([("P7", k, "N") for k in range(9, 0, -1)], "product_id string, version_no int, note string")}
+    monkeypatch.setattr(records, "read", lambda spark, sf_dir, name: tables[name])
+    rows = records.result_export(spark, "").collect()
+    own = sorted((r for r in rows if r.bank_code == "B1"), key=lambda r: r.part)
+    assert [r.part for r in own] == [0, 1, 2] and {r.n for r in own} == {230} and [(r.n, json.loads(r.export)) for r in rows if r.bank_code == "B2"] == [(1, [{"product_id": "P1", "evidence": []}])]
+    whole = [p for r in own for p in json.loads(r.export)]
+    assert [p["product_id"] for p in whole] == ids and [e["no"] for p in whole if p["product_id"] == "P7" for e in p["evidence"]] == list(range(1, 10))
