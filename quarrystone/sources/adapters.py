@@ -190,6 +190,17 @@ VIEWS = {
 }
 
 NEEDS = {"product": ("bank",)}
+#: Relations whose rows cost much to work on and whose table is a file too small for a task of each core, by that table.
+DEALT = {"offer": "part"}
+#: Rows of such a table in one task at most, and at least where there are tasks enough.
+MOST, LEAST = 20_000, 500
+
+
+def dealt(df: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
+    """``df`` dealt to all cores, and to more tasks the more rows it has; Parquet splits no row group, however much work a row is."""
+    n = df.count()  # from the footers of a file
+    tasks = max(-(-n // most), min(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // least)))
+    return df.repartition(tasks) if tasks > 1 else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -197,7 +208,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     names = [n for n in BASE + tuple(VIEWS) if f"{{{n}}}" in VIEWS[name]]
-    return spark.sql(VIEWS[name], **{n: read(spark, sf_dir, n) for n in names})
+    own = {n: read(spark, sf_dir, n) for n in names}
+    if name in DEALT:
+        own[DEALT[name]] = dealt(own[DEALT[name]])
+    return spark.sql(VIEWS[name], **own)
 
 
 def sql(text: str, *views: str) -> str:

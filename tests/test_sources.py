@@ -5,6 +5,7 @@ import random
 import pytest
 
 from quarrystone.operators import frontier, increments, sections, variants
+from quarrystone.sources import adapters
 
 
 def brute(links, registry, domains, depth):
@@ -103,3 +104,16 @@ def test_known_snapshots_are_read_from_their_version_alone(spark, tmp_path):
     known = increments.parsed(spark, store).where("parser_version = 'v2'").select("snapshot_id")
     plan = known._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(parser_version" in plan and "ReadSchema: struct<snapshot_id:string>" in plan
+
+
+def test_dear_rows_are_dealt_to_all_cores(spark):
+    one = spark.range(0, 1000, 1, 1)
+    parts = lambda n, **o: adapters.dealt(spark.range(0, n, 1, 1), **o).rdd.getNumPartitions()
+    assert [parts(n, most=100, least=10) for n in (5, 20, 60, 750, 1000, 1801)] == [1, 2, 6, 8, 10, 19]
+    assert {r.id for r in adapters.dealt(one, 100, 10).collect()} == set(range(1000))
+
+
+@pytest.mark.parametrize("name", ["offer"])
+def test_relations_of_few_row_groups_are_dealt(spark, name):
+    base = adapters.read(spark, "/root/testdata/sf0.01", adapters.DEALT[name])
+    assert base.rdd.getNumPartitions() == 1 and adapters.read(spark, "/root/testdata/sf0.01", name).rdd.getNumPartitions() > 1
