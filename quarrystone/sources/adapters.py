@@ -191,7 +191,7 @@ VIEWS = {
 
 NEEDS = {"product": ("bank",)}
 #: Relations whose rows cost much to work on and whose table is a file too small for a task of each core, by that table.
-DEALT = {"offer": "part", "judged": "part"}
+DEALT = {"offer": "part", "judged": "part", "candidate_field": "part", "captured": "part", "profiled": "part", "page_chunk": "part"}
 #: Rows of such a table in one task at most, and at least where there are tasks enough.
 MOST, LEAST = 20_000, 500
 

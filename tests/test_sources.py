@@ -113,7 +113,7 @@ def test_dear_rows_are_dealt_to_all_cores(spark):
     assert {r.id for r in adapters.dealt(one, 100, 10).collect()} == set(range(1000))
 
 
-@pytest.mark.parametrize("name", ["offer", "judged"])
+@pytest.mark.parametrize("name", sorted(adapters.DEALT))
 def test_relations_of_few_row_groups_are_dealt(spark, name):
     base = adapters.read(spark, "/root/testdata/sf0.01", adapters.DEALT[name])
     assert base.rdd.getNumPartitions() == 1 and adapters.read(spark, "/root/testdata/sf0.01", name).rdd.getNumPartitions() > 1
