@@ -152,3 +152,12 @@ def test_nearest_takes_queries_in_blocks(spark):
     want = {(q, round(c, 9)) for q in range(0, 60, 2) for c in sorted((cosine(rows[v], rows[q]) for v in rows if v != q), reverse=True)[:3]}
     got = found.collect()
     assert len(got) == 90 and {(r.query_id, round(r.cosine, 9)) for r in got} == want
+
+
+def test_nearest_keeps_order_among_copies_and_missing_vectors(spark):
+    rows = [(i, [1.0, 2.0, float(i % 3)]) for i in range(40)] + [(99, None), (100, [5.0, 1.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = evidence.nearest(vectors, vectors.where("vec_id in (0, 5, 99, 100)"), 5, 2, 7)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().executedPlan().toString()
+    got = {q: [r.vec_id for r in sorted((r for r in found.collect() if r.query_id == q), key=lambda r: r["rank"])] for q in (0, 5, 99, 100)}
+    assert got == {0: [3, 6, 9, 12, 15], 5: [2, 8, 11, 14, 17], 99: [0, 1, 2, 3, 4], 100: [0, 3, 6, 9, 12]}
