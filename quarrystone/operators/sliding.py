@@ -21,7 +21,12 @@ def preceding(df: DataFrame, key: str, at: str, counted: Column, seconds: int, n
     micros, span = F.unix_micros(F.col(at).cast("timestamp")), seconds * MICROS
     own = F.floor(micros / span)
     marked = df.where(F.col(key).isNotNull() & F.col(at).isNotNull()).withColumn("_at", micros).withColumn("_counted", F.coalesce(counted, F.lit(False)).cast("int"))
-    lent = marked.withColumn("_lent", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_period", own + F.col("_lent")).where("_lent = 0 OR _counted = 1")
-    frame = Window.partitionBy(key, "_period").orderBy("_at").rangeBetween(-span, 0)
-    found = lent.withColumn(name, F.sum("_counted").over(frame)).where("_lent = 0").select(*df.columns, name)
+    lent = marked.withColumn("_lent", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("_period", own + F.col("_lent")).where("_lent = 0 OR _counted = 1").withColumn("_place", F.col("_at") - own * span)
+    # of its own period a row counts what lies no later in it, of the period before what lies no earlier: sums that only grow, so no row is looked at again
+    by_place = Window.partitionBy(key, "_period").orderBy("_place")
+    borrowed, here = F.when(F.col("_lent") == 1, F.col("_counted")).otherwise(0), F.when(F.col("_lent") == 0, F.col("_counted")).otherwise(0)
+    upto = F.sum(here).over(by_place.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    missed = F.coalesce(F.sum(borrowed).over(by_place.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    all_borrowed = F.sum(borrowed).over(Window.partitionBy(key, "_period"))
+    found = lent.withColumn(name, upto + all_borrowed - missed).where("_lent = 0").select(*df.columns, name)
     return found.unionByName(df.where(F.col(key).isNull() | F.col(at).isNull()).withColumn(name, F.lit(0).cast("long")))

@@ -60,3 +60,11 @@ def test_a_stream_in_order_tells_what_a_batch_tells(spark, tmp_path):
         assert spark.read.parquet(f"{tmp_path}/out").count() == b, n
     got = {r.attempt_id: r.n_before for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == brute(given, 900)
+
+
+def test_no_row_is_counted_again_for_each_that_looks_back(spark):
+    df = spark.createDataFrame([(k, "hot", START + datetime.timedelta(seconds=k // 50), "failed") for k in range(500)], "attempt_id long, ip string, at timestamp, outcome string")
+    found = sliding.preceding(df, "ip", "at", F.col("outcome") == "failed", 3)
+    frames = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "RangeFrame, unboundedpreceding$(), -1" in frames and "-3000000" not in frames
+    assert {r.attempt_id: r.n_before for r in found.collect()} == {k: 50 * min(k // 50 + 1, 4) for k in range(500)}
