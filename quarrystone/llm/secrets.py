@@ -6,14 +6,14 @@ characters, each with 24 before it and what follows; views of a longer candidate
 half, up to its end, and the highest score counts. The calibrated score adds spans of kind
 ``model`` where no other span lies.
 
-It is trained on labelled findings: candidates of a sample of documents, labelled by the
+It is trained on labelled findings: all different candidates of all documents, labelled by the
 patterns, and generated ones for secrets that have no keyword beside them and for strings that
 only look alike. A third of the labelled findings calibrate the scores (Platt) and set the
 threshold: the highest one that still finds ``RECALL`` of the labelled secrets of every kind there.
 
-* The sample is bounded: ``SAMPLE`` documents are expected, those with the smallest hashes of
-  their id, and of the different findings in them at most four times as many, by hash, so that
-  very long documents don't outgrow the driver. Everything else reads all documents and whole texts.
+* Findings are dealt by hash into parts of some ``PART``. A network that has learned from one of them goes
+  on learning in all of them at once, ``ROUNDS`` times, and what they have made of it is averaged by their
+  numbers of findings. Scores that calibrate are counted in steps of 1 / ``STEPS``; the driver holds networks and counts alone.
 * A null text counts as empty: no spans. Offsets are code points, ends exclusive. Repeated
   rows are repeated; an empty table gives no rows and a network of generated findings only.
 """
@@ -21,6 +21,7 @@ threshold: the highest one that still finds ``RECALL`` of the labelled secrets o
 from __future__ import annotations
 
 import hashlib
+import pickle
 import random
 import re
 from collections.abc import Iterator
@@ -30,10 +31,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarrystone.llm.common import sliced, texts_of
+from quarrystone.llm.common import drop_path, shared_path, sliced, texts_of
 
 KINDS = ("assign", "access", "hex", "model")
-SAMPLE, RECALL = 2000, 0.98
+RECALL, PART, ROUNDS, STEPS = 0.98, 20_000, 3, 256
 BEFORE, WITHIN, AFTER = 24, 40, 8
 WIDTH, FILTERS, EMBEDDED = 5, 24, 8
 
@@ -137,18 +138,28 @@ class Network:
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float, kind: np.ndarray | None = None) -> None:
         """Platt's parameters, and the highest threshold that finds ``recall`` of the secrets of every ``kind``."""
-        z = self.forward(x)[0]
+        self.settle(self.places(x), y, np.ones(len(x)), np.zeros(len(x), np.int64) if kind is None else kind, recall)
+
+    def settle(self, z: np.ndarray, y: np.ndarray, n: np.ndarray, kind: np.ndarray, recall: float) -> None:
+        """The same from the network's outputs ``z``, each of which stands for ``n`` findings."""
         for _ in range(300):  # Platt's two parameters, by plain gradient steps
-            d = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30))) - y
-            self.scale -= 0.05 * float((d * z).mean())
-            self.shift -= 0.05 * float(d.mean())
-        scores, kind = self.scores(x), np.zeros(len(x), np.int64) if kind is None else kind
-        found = [np.sort(scores[(y == 1) & (kind == k)]) for k in np.unique(kind[y == 1])]
-        self.threshold = min((float(own[int((1 - recall) * len(own))]) for own in found), default=1.0)
+            d = n * (1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30))) - y)
+            self.scale -= 0.05 * float((d * z).sum() / n.sum())
+            self.shift -= 0.05 * float(d.sum() / n.sum())
+        scores, least = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30))), []
+        for k in np.unique(kind[y == 1]):
+            own = np.nonzero((y == 1) & (kind == k))[0]
+            own = own[np.argsort(scores[own], kind="stable")]
+            upto = np.cumsum(n[own])
+            least.append(float(scores[own[np.searchsorted(upto, int((1 - recall) * upto[-1]), "right")]]))
+        self.threshold = min(least, default=1.0)
+
+    def places(self, x: np.ndarray) -> np.ndarray:
+        out = [self.forward(x[i : i + 512])[0] for i in range(0, len(x), 512)]
+        return np.concatenate(out) if out else np.zeros(0)
 
     def scores(self, x: np.ndarray) -> np.ndarray:
-        out = [1 / (1 + np.exp(-np.clip(self.scale * self.forward(x[i : i + 512])[0] + self.shift, -30, 30))) for i in range(0, len(x), 512)]
-        return np.concatenate(out) if out else np.zeros(0)
+        return 1 / (1 + np.exp(-np.clip(self.scale * self.places(x) + self.shift, -30, 30)))
 
 
 def generated(n: int = 8000, seed: int = 11) -> tuple[list[np.ndarray], list[int], list[int]]:
@@ -207,38 +218,98 @@ def generated(n: int = 8000, seed: int = 11) -> tuple[list[np.ndarray], list[int
     return x, y, kind
 
 
-def train(docs: DataFrame, sample: int = SAMPLE, recall: float = RECALL) -> Network:
-    """A network from generated findings and those of a sample of ``docs``, labelled by the patterns."""
-    x, y, kind = generated()
-    n = docs.count()
-    if n:
-        part = min(1.0, sample / n)
-        drawn = F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(2**31))
-
-        def findings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in sliced(batches, 0):
-                views, labels = [], []
-                for text in texts_of(b.column(0)):
-                    spans = base_spans(text)
-                    for start, end in candidates(text):
+def _aside(x: np.ndarray) -> np.ndarray:
+    """Which findings calibrate: a third, by what they are."""
+    return np.array([hashlib.md5(row.tobytes()).digest()[0] % 3 == 0 for row in x], bool)
+
+
+def _views(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1).astype(np.int64)
+
+
+def findings(docs: DataFrame) -> DataFrame:
+    """(view, label): the different parts of all candidates of all documents, labelled by the patterns."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = lambda views, labels: pa.RecordBatch.from_arrays([pa.array(views, pa.binary()), pa.array(labels, pa.int32())], ["view", "label"])
+        for b in sliced(batches, 0):
+            views, labels = [], []
+            for text in texts_of(b.column(0)):
+                found = candidates(text)
+                spans = base_spans(text) if found else []
+                for start, end in found:
+                    own = [(s, e) for s, _, e in spans if s < end and start < e]
+                    for a, z in parts(start, end):
                         # a part without the secret is no example against it where the candidate holds one
-                        held = any(s < end and start < e for s, _, e in spans)
-                        for a, z in parts(start, end):
-                            if (label := any(s < z and a < e for s, _, e in spans)) or not held:
-                                views.append(view(text, a, z).astype(np.uint8).tobytes())
-                                labels.append(int(label))
-                yield pa.RecordBatch.from_arrays([pa.array(views, pa.binary()), pa.array(labels, pa.int32())], ["view", "label"])
-
-        rows = docs.where(drawn < int(part * 2**31)).select(F.col("text").cast("string")).mapInArrow(findings, "view binary, label int")
-        for r in rows.distinct().orderBy(F.xxhash64("view"), "label").limit(4 * sample).collect():
-            x.append(np.frombuffer(bytes(r["view"]), np.uint8).astype(np.int64))
-            y.append(r["label"])
-            kind.append(-1)
-    x, y, kind = np.array(x), np.array(y, np.float64), np.array(kind)
-    aside = np.array([hashlib.md5(row.tobytes()).digest()[0] % 3 == 0 for row in x])
-    made = Network()
-    made.fit(x[~aside], y[~aside])
-    made.calibrate(x[aside], y[aside], recall, kind[aside])
+                        if (label := any(s < z and a < e for s, e in own)) or not own:
+                            views.append(view(text, a, z).astype(np.uint8).tobytes())
+                            labels.append(int(label))
+                    if len(views) >= 8192:
+                        yield batch(views, labels)
+                        views, labels = [], []
+            yield batch(views, labels)
+
+    return docs.select(F.col("text").cast("string")).mapInArrow(of, "view binary, label int").distinct()
+
+
+def learned(rows: DataFrame, network: Network, given: tuple[np.ndarray, np.ndarray], epochs: int) -> Network:
+    """``network`` after ``epochs`` over the findings of each part and the ``given`` ones, averaged over the parts by their findings."""
+    shared = rows.sparkSession.sparkContext.broadcast((network, given[0].astype(np.uint8), given[1]))
+
+    def of(part: pa.Table) -> pa.Table:
+        own, x, y = shared.value
+        part = part.sort_by([("view", "ascending"), ("label", "ascending")])
+        views = _views(part.column("view"))
+        kept = ~_aside(views)
+        made = pickle.loads(pickle.dumps(own))
+        made.fit(np.concatenate([x.astype(np.int64), views[kept]]), np.concatenate([y, part.column("label").to_numpy()[kept].astype(np.float64)]), epochs)
+        return pa.table({"part": part.column("part")[:1], "n": pa.array([len(views)], pa.int64()), "w": pa.array([np.concatenate([w.ravel() for w in made.w])], pa.list_(pa.float64()))})
+
+    made = sorted((r["part"], r["n"], np.array(r["w"])) for r in rows.groupBy("part").applyInArrow(of, "part int, n long, w array<double>").collect())
+    flat, at = sum(n * w for _, n, w in made) / sum(n for _, n, _ in made), 0
+    out = Network()
+    for k, w in enumerate(out.w):
+        out.w[k] = flat[at : at + w.size].reshape(w.shape)
+        at += w.size
+    return out
+
+
+def counted(rows: DataFrame, network: Network) -> list[tuple[int, int, int]]:
+    """(step, label, n): how many findings that calibrate have an output of the network in each step."""
+    shared = rows.sparkSession.sparkContext.broadcast(network)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = _views(b.column(0))
+                kept = _aside(x)
+                steps = np.floor(np.clip(shared.value.places(x[kept]), -32, 32) * STEPS).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(steps), b.column(1).filter(pa.array(kept))], ["step", "label"])
+
+    return [tuple(r) for r in rows.select("view", "label").mapInArrow(of, "step long, label int").groupBy("step", "label").count().orderBy("step", "label").collect()]
+
+
+def train(docs: DataFrame, recall: float = RECALL, size: int = PART) -> Network:
+    """A network from generated findings and those of all ``docs``, labelled by the patterns."""
+    x, y, kind = (np.array(a) for a in generated())
+    y, aside, spark = y.astype(np.float64), _aside(x), docs.sparkSession
+    made, given, path = Network(), (x[~aside], y[~aside]), shared_path(spark, "findings")
+    findings(docs).write.parquet(path)
+    rows = spark.read.parquet(path)
+    n = -(-rows.count() // size)
+    steps = []
+    if n:
+        rows = rows.withColumn("part", F.pmod(F.xxhash64("view"), F.lit(n)).cast("int"))
+        made = learned(rows.where("part = 0"), made, given, 12)
+        for _ in range(ROUNDS if n > 1 else 0):
+            made = learned(rows, made, given, 1)
+        steps = counted(rows, made)
+    else:
+        made.fit(*given)
+    drop_path(spark, path)
+    at, label, many = np.array(steps, np.float64).reshape(-1, 3).T
+    z = np.concatenate([made.places(x[aside]), at / STEPS])
+    made.settle(z, np.concatenate([y[aside], label]), np.concatenate([np.ones(int(aside.sum())), many]), np.concatenate([kind[aside], np.full(len(many), -1)]), recall)
     return made
 
 

@@ -756,3 +756,13 @@ def test_equal_texts_without_ids_are_spread_over_ranges(spark):
 def test_ids_of_words_are_those_of_texts(encoder):
     texts = ["", None, " ", "a  b", "a \nb", "\na", "a\n", "a\nb", "a b c", "　x y", "\x1c a", "it's 's a's\nb's", "a\r\nb\tc d", "\n\nq", " lead", "trail ", "a\x85b \x85", "<|endoftext|> x", "é\nß 12ab", "a\n\nb c\n d"]
     assert [x.tolist() for x in encoder.of(pa.array(texts))] == encoder.encode([t or "" for t in texts])
+
+
+def test_secret_network_learns_from_all_documents(spark):
+    docs = spark.createDataFrame([(k, f"see thing{k:08d}abcdefg and token = {k:08d}{'k' * (k % 9)}abcd") for k in range(3000)], "doc_id long, text string")
+    rows = secrets.findings(docs)
+    assert rows.count() == rows.distinct().count() >= 3000 and rows.where("label = 1").count() > 0
+    network = secrets.train(docs, size=1000)
+    assert sum(n for _, _, n in secrets.counted(rows, network)) == sum(secrets._aside(np.frombuffer(bytes(r.view), np.uint8).astype(np.int64)[None])[0] for r in rows.collect())
+    again = secrets.train(docs.repartition(7), size=1000)
+    assert all((a == b).all() for a, b in zip(network.w, again.w, strict=True)) and network.threshold == again.threshold
