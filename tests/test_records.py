@@ -110,3 +110,12 @@ def test_an_export_holds_all_evidence_and_products_of_a_bank_in_order(spark, mon
     assert [r.part for r in own] == [0, 1, 2] and {r.n for r in own} == {230} and [(r.n, json.loads(r.export)) for r in rows if r.bank_code == "B2"] == [(1, [{"product_id": "P1", "evidence": []}])]
     whole = [p for r in own for p in json.loads(r.export)]
     assert [p["product_id"] for p in whole] == ids and [e["no"] for p in whole if p["product_id"] == "P7" for e in p["evidence"]] == list(range(1, 10))
+
+
+def test_followed_works_out_what_pairs_are_asked_before_they_meet(spark):
+    at = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    a, b = spark.createDataFrame([("k", n, at(n)) for n in range(0, 400, 7)], "key string, a int, at timestamp"), spark.createDataFrame([("k", n, at(n)) for n in range(0, 500, 3)], "key string, b int, next timestamp")
+    got = state.followed(a, b, "key", "at", "next", 5, F.col("next") > F.col("at"))
+    assert {(r.a, r.b) for r in got.collect()} == {(n, m) for n in range(0, 400, 7) for m in range(0, 500, 3) if n < m <= n + 120}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "make_interval" not in plan.split("Join", 1)[1].split("\n", 1)[0] and "_until" in plan
