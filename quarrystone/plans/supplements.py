@@ -13,7 +13,7 @@ from quarrystone.operators import picks, quality, state
 from quarrystone.plans import lifecycle, public
 from quarrystone.plans.rates import T
 from quarrystone.plans.registry import query
-from quarrystone.sources.adapters import read, sql
+from quarrystone.sources.adapters import SORTED, read, sql, tasks
 
 
 @query(public.projected("SELECT product_id, tags, fee_bucket, balance_bucket FROM active WHERE len(list_intersect(string_split(coalesce(tags, ''), ','), ['student', 'senior'])) > 0 AND fee_bucket = 'low' AND balance_bucket IN ('under_1000', '1000_to_5000') AND lower(country_code) IN ('ca', 'us')"))
@@ -88,7 +88,8 @@ def version_events(spark, sf_dir):
     from pyspark.sql import Window
 
     own = Window.partitionBy("product_id").orderBy("version_no")
-    steps = read(spark, sf_dir, "version").join(read(spark, sf_dir, "product").select("product_id"), "product_id", "left_semi").withColumn("old_note", F.lag("note").over(own)).withColumn("old_rate", F.lag("rate_value").over(own))
+    versions = read(spark, sf_dir, "version").repartition(tasks(read(spark, sf_dir, "lineitem"), *SORTED), "product_id")
+    steps = versions.join(read(spark, sf_dir, "product").select("product_id"), "product_id", "left_semi").withColumn("old_note", F.lag("note").over(own)).withColumn("old_rate", F.lag("rate_value").over(own))
     rules = [(F.col("old_note").isNull(), "New"), ((F.col("note") == "R") & (F.col("old_note") != "R"), "ManualOverride"), (F.col("note") != F.col("old_note"), "Reclassified"), (F.col("rate_value") != F.col("old_rate"), "Updated")]
     return steps.select("product_id", F.col("version_no").cast("bigint").alias("version_no"), quality.first_match(rules, "Verified").alias("event_type"))
 

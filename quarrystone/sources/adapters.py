@@ -194,13 +194,20 @@ NEEDS = {"product": ("bank",)}
 DEALT = {"offer": "part", "judged": "part", "candidate_field": "part", "captured": "part", "profiled": "part", "page_chunk": "part"}
 #: Rows of such a table in one task at most, and at least where there are tasks enough.
 MOST, LEAST = 20_000, 500
+#: The same of rows that are sorted by key, whose tasks hold them all.
+SORTED = 200_000, 20_000
+
+
+def tasks(df: DataFrame, most: int, least: int) -> int:
+    """Into how many tasks a table goes, by its rows: at most ``most`` in one, and all cores where they get ``least`` each."""
+    n = df.count()  # from the footers of a file
+    return max(1, -(-n // most), min(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // least)))
 
 
 def dealt(df: DataFrame, most: int = MOST, least: int = LEAST) -> DataFrame:
     """``df`` dealt to all cores, and to more tasks the more rows it has; Parquet splits no row group, however much work a row is."""
-    n = df.count()  # from the footers of a file
-    tasks = max(-(-n // most), min(2 * df.sparkSession.sparkContext.defaultParallelism, -(-n // least)))
-    return df.repartition(tasks) if tasks > 1 else df
+    n = tasks(df, most, least)
+    return df.repartition(n) if n > 1 else df
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -209,6 +216,8 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     names = [n for n in BASE + tuple(VIEWS) if f"{{{n}}}" in VIEWS[name]]
     own = {n: read(spark, sf_dir, n) for n in names}
+    if name == "version":
+        own["lineitem"] = own["lineitem"].repartition(tasks(own["lineitem"], *SORTED), "l_partkey")
     if name in DEALT:
         own[DEALT[name]] = dealt(own[DEALT[name]])
     return spark.sql(VIEWS[name], **own)

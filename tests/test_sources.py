@@ -117,3 +117,12 @@ def test_dear_rows_are_dealt_to_all_cores(spark):
 def test_relations_of_few_row_groups_are_dealt(spark, name):
     base = adapters.read(spark, "/root/testdata/sf0.01", adapters.DEALT[name])
     assert base.rdd.getNumPartitions() == 1 and adapters.read(spark, "/root/testdata/sf0.01", name).rdd.getNumPartitions() > 1
+
+
+def test_versions_are_sorted_in_more_tasks_the_more_rows_there_are(spark, monkeypatch):
+    from quarrystone.plans import supplements
+
+    monkeypatch.setattr(adapters, "SORTED", (1000, 1000))
+    monkeypatch.setattr(supplements, "SORTED", (1000, 1000))
+    plan = supplements.version_events(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert all(f"hashpartitioning({key}" in plan and f"{n}), REPARTITION_BY_NUM" in plan for key, n in (("l_partkey", 6), ("product_id", 6)))
