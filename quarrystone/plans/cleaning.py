@@ -96,5 +96,9 @@ SELECT field, {fieldrules.first_reason_sql(fieldrules.NOISE)} AS reason, CAST(co
 def line_noise(spark, sf_dir):
     """How many lines of the documents could not be the value of each of some fields, and why."""
     lines = read(spark, sf_dir, "documents").select(F.explode(F.split("text", "\n")).alias("line")).where(F.trim("line") != "").select(fieldrules.lowered(F.col("line")).alias("v"))
-    asked = lines.withColumn("open_value", rates.placeholder(F.col("v"))).withColumn("field", F.explode(F.array(*map(F.lit, ASKED))))
-    return asked.select("field", fieldrules.first_reason(fieldrules.NOISE).alias("reason")).groupBy("field", "reason").agg(F.count("*").alias("n"))
+    tests = {f"test_{k}": rule.test.spark() for k, rule in enumerate(fieldrules.NOISE)}
+    # lines are counted by the tests that they pass, once for all fields; the few counts are then asked for each field
+    passed = lines.withColumn("open_value", rates.placeholder(F.col("v"))).groupBy(*[test.alias(name) for name, test in tests.items()]).agg(F.count("*").alias("n"))
+    rules = tuple(rule._replace(test=fieldrules.Flag(name)) for name, rule in zip(tests, fieldrules.NOISE, strict=True))
+    asked = passed.withColumn("field", F.explode(F.array(*map(F.lit, ASKED))))
+    return asked.select("field", fieldrules.first_reason(rules).alias("reason"), "n").groupBy("field", "reason").agg(F.sum("n").alias("n"))

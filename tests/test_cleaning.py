@@ -1,10 +1,13 @@
 """Cleaning of candidate fields: each rule on a text that triggers it and on one that doesn't, types, and breaches of contracts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 from quarrystone.functions import contracts, fieldrules
 from quarrystone.operators import cleaning
+from quarrystone.plans import cleaning as plans
 
 SCHEMA = "candidate_id string, family string, product_name string, field string, value string, context string"
 DAY = "2026-04-13"
@@ -130,6 +133,11 @@ def test_values_in_their_types(spark):
         assert r.n.type == kind and values == ([want] if want is not None else []), rows[r.k]
 
 
+def test_lines_are_tested_once_for_all_fields(spark):
+    plan = plans.line_noise(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"Generate explode\(\[interest_rate.*Aggregate \[.*Generate explode\(split\(text", plan, re.S)
+
+
 def test_breaches_of_contracts(spark):
     rows = [
         (1, '{"monthly_fee": "12", "term_length_days": 365.5, "redeemable_flag": "yes", "unheard_of": {"a": 1}, "annual_fee": 3, "interest_rate": 4.25, "term_rate_table": "x", "notes": [1], "product_name": null}'),
