@@ -8,8 +8,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bytes of a batch's texts: what a task holds at a time, unless one text alone is longer.
-BYTES = 8 << 20
+#: Bytes of a batch's texts: what a task reads at a time, unless one text alone is longer. What Python makes of them (trees
+#: of pages, rows that wait for the batch to end) is many times as large, and a worker gives little of it back.
+BYTES = 256 << 10
 
 
 def by_bytes(batches: Iterator[pa.RecordBatch], at: int, size: int = BYTES) -> Iterator[pa.RecordBatch]:

@@ -84,6 +84,30 @@ def test_links_are_resolved_and_told_once(spark):
     ]
 
 
+def test_a_worker_holds_the_rows_of_few_texts():
+    """Of a full Arrow batch (10,000 rows, 40 MB) little is in Python at a time, and every text's rows come out."""
+    import tracemalloc
+
+    import pyarrow as pa
+    from quarrystone.operators.batches import each_text
+
+    class Frame:
+        def select(self, *columns):
+            return self
+
+        def mapInArrow(self, function, schema):
+            return function
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10_000)), pa.array(["a" * 4000] * 9_999 + [None])], ["k", "t"])
+    seen = 0
+    tracemalloc.start()
+    for out in each_text(Frame(), "k", "t", lambda k, t: [(k, t + "b")], "k long, t string")(iter([batch])):
+        assert out.column(0).to_pylist() == list(range(seen, seen := seen + out.num_rows))
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert seen == 10_000 and out.column(1)[-1].as_py() == "b" and most < 3 << 20
+
+
 def test_batches_are_bounded_by_bytes():
     import pyarrow as pa
 
