@@ -119,3 +119,29 @@ def test_followed_works_out_what_pairs_are_asked_before_they_meet(spark):
     assert {(r.a, r.b) for r in got.collect()} == {(n, m) for n in range(0, 400, 7) for m in range(0, 500, 3) if n < m <= n + 120}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "make_interval" not in plan.split("Join", 1)[1].split("\n", 1)[0] and "_until" in plan
+
+
+def test_followed_writes_its_pairs_in_an_order_that_files_hold_small(spark, monkeypatch, tmp_path):
+    at = "timestamp '2024-01-01' + make_interval(0, 0, 0, cast(id % 50 AS int))"
+    a = spark.range(4000).selectExpr("concat('K', id DIV 50 % 2) AS key", "concat('R', 1000000 + id) AS a", f"{at} AS at").orderBy(F.xxhash64("a"))
+    b = a.select("key", F.col("a").alias("b"), F.col("at").alias("next"))
+    later = (F.col("next") > F.col("at")) | ((F.col("next") == F.col("at")) & (F.col("b") > F.col("a")))
+    state.followed(a, b, "key", "at", "next", 20, later).write.parquet(str(tmp_path / "pairs"))
+    pairs = spark.read.parquet(str(tmp_path / "pairs"))
+    n = 2 * (sum(40 * 40 * min(20, 49 - d) for d in range(50)) + 50 * 40 * 39 // 2)
+    assert pairs.columns == ["key", "a", "at", "b", "next"] and pairs.count() == n
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < n * 0.4
+
+
+def test_followed_deals_rows_once_to_tasks_by_their_number_and_joins_lists(spark, monkeypatch):
+    day = lambda d: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=d)
+    a, b = spark.createDataFrame([("k", n, day(n % 200)) for n in range(1000)], "key string, a int, at timestamp"), spark.createDataFrame([("k", n, day(n % 200)) for n in range(1000)], "key string, b int, next timestamp")
+    monkeypatch.setattr(state, "DEALT", (100, 100), raising=False)
+    monkeypatch.setattr(state, "LISTED", 2, raising=False)
+    got = state.followed(a, b, "key", "at", "next", 20, (F.col("next") > F.col("at")) | (F.col("b") > F.col("a")))
+    want = {(n, m) for n in range(1000) for m in range(1000) if n % 200 < m % 200 <= n % 200 + 20 or (n % 200 == m % 200 and m > n)}
+    rows = got.collect()
+    assert {(r.a, r.b) for r in rows} == want and len(rows) == len(want) and {(r.a, r["at"], r.key) for r in rows} == {(n, day(n % 200), "k") for n, _ in want}
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert got.rdd.getNumPartitions() == 20 and plan.count("hashpartitioning(") == 2
+    assert plan.index("Generate inline") < plan.index("Coalesce") < plan.index("SortMergeJoin")
